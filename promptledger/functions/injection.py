@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import RISK_RANK, THREAT_CATEGORIES
+from ..session import computed_once
 from .rules import Detector, Rule
 from .text import is_blank, strip_blank
 
@@ -20,9 +22,8 @@ ESCALATE_MEDIUM, ESCALATE_HIGH = 0.6, 1.3
 
 
 def _nfkc(values: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.utf8_normalize(values, form="NFKC")
+    # pyarrow's own utf8_normalize leaves letters and accents apart under NFKC.
+    return pa.array([v if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
 
 def normalise(c: Column, nfkc: bool = True) -> Column:
@@ -111,16 +112,16 @@ def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str =
             F.lit(None).cast("string").alias("threat_type"), F.lit(None).cast("string").alias("risk_level"),
             F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_rules"))
         return df.withColumn(out, none)
-    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
+    keep = [c for c in df.columns if c != out]
     # The patterns' \\s covers the ASCII separators as well; Java's does not, so give it another wide blank.
     base = normalise(F.when(~is_blank(F.col(col)), F.col(col)), nfkc)
     step = df.withColumn("_base", F.translate(base, "\x1c\x1d\x1e\x1f", "\u2003" * 4))
     step = step.withColumn("_leet", fold_leet(F.col("_base")))
     step = step.withColumn("_leet", F.when(F.col("_leet") != F.col("_base"), F.col("_leet")))
     step = step.withColumn("_stems", _stem_text(F.col("_base"))).withColumn("_leet_stems", _stem_text(F.col("_leet")))
-    step = step.select(*keep, hits(F.col("_base"), F.col("_leet"), F.col("_stems"), F.col("_leet_stems"),
-                                   detector.rules).alias("_flags"))
-    return step.select(*keep, verdict(F.col("_flags"), detector).alias(out))
+    found = hits(F.col("_base"), F.col("_leet"), F.col("_stems"), F.col("_leet_stems"), detector.rules)
+    step = step.select(*[F.col(f"`{c}`") for c in keep], found.alias("_flags"))
+    return computed_once(step, keep, verdict(F.col("_flags"), detector).alias(out))
 
 
 def blocked(injection: Column, enabled: Column) -> Column:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import computed_once
 from .text import BLANK, BLANK_CHARS, WORD, placeholder_types, strip_blank
 
 Check = Callable[[Column], Column]
@@ -56,7 +57,7 @@ def _luhn(d: Column) -> Column:
     # Rightmost digit first; every second digit is doubled, which maps 0..9 to 0,2,4,6,8,1,3,5,7,9.
     values = F.transform(
         F.split(F.reverse(d), ""),
-        lambda x, i: F.when(i % 2 == 1, F.translate(x, "0123456789", "0246813579")).otherwise(x).cast("int"),
+        lambda x, i: F.when(i % 2 == 1, F.translate(x, "0123456789", "0246813579")).otherwise(x).try_cast("int"),
     )
     return F.aggregate(values, F.lit(0), lambda acc, v: acc + F.coalesce(v, F.lit(0))) % 10 == 0
 
@@ -193,7 +194,7 @@ def scrub(df: DataFrame, col: str, patterns: Sequence[PiiPattern] = DEFAULT_PATT
         types.alias("detected_types"),
         F.map_from_arrays(types, numbers).alias("counts"),
     )
-    return step.select(*[F.col(f"`{c}`") for c in keep if c != out], result.alias(out))
+    return computed_once(step, [c for c in keep if c != out], result.alias(out))
 
 
 def contains_pii(df: DataFrame, col: str, patterns: Sequence[PiiPattern] = DEFAULT_PATTERNS,

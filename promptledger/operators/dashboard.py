@@ -37,15 +37,20 @@ def _mean(total: Column, n: Column) -> Column:
     return F.round(total.cast("double") / n, 2)
 
 
-def _percent(part: Column, whole: Column) -> Column:
+def percent(part: Column, whole: Column) -> Column:
+    """Share in percent to 2 places; 0 of nothing."""
     return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(F.lit(0.0))
 
 
+def latest_allowed(txns: DataFrame, n: int = LATEST) -> DataFrame:
+    """The latest `n` allowed requests."""
+    allowed = txns.filter(F.col("status") == "allowed").select("timestamp", "id", "processing_time_ms")
+    return allowed.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
+
+
 def recent_p95(txns: DataFrame, n: int = LATEST) -> DataFrame:
     """p95 latency of the latest `n` allowed requests, one row."""
-    allowed = txns.filter(F.col("status") == "allowed")
-    top = allowed.select("timestamp", "id", "processing_time_ms").orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
-    return top.agg(nearest_rank("processing_time_ms", 95).alias("p95_response_time_ms"))
+    return latest_allowed(txns, n).agg(nearest_rank("processing_time_ms", 95).alias("p95_response_time_ms"))
 
 
 def kpis(txns: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -64,7 +69,7 @@ def kpis(txns: DataFrame, as_of: datetime | str) -> DataFrame:
         _when(status == "rate_limited").alias("rate_limit_violations"),
         _when(status.isin("unauthorized", "forbidden")).alias("unauthorized_requests"),
         _when(F.col("timestamp") >= hour_ago).alias("requests_last_hour"))
-    return one.withColumn("block_rate_pct", _percent(F.col("blocked_attacks"), F.col("total_requests"))).withColumn(
+    return one.withColumn("block_rate_pct", percent(F.col("blocked_attacks"), F.col("total_requests"))).withColumn(
         "p95_response_time_ms", recent_p95(txns).scalar())
 
 
@@ -134,7 +139,7 @@ def series(txns: DataFrame, as_of: datetime | str, window_minutes: int = 60) ->
     def rate(c: Column) -> Column:
         return F.round(c / width, 2)
 
-    begin = F.timestamp_micros(F.unix_micros(_ntz(start).cast("timestamp")) + F.col("idx") * (width * 60_000_000))
+    begin = F.timestamp_micros(F.unix_micros(_ntz(start).cast("timestamp")) + F.col("idx").cast("long") * (width * 60_000_000))
     return full.orderBy("idx").select(
         "idx", to_iso(begin).alias("label"), rate(total).alias("total"), rate(allowed).alias("allowed"),
         rate(blocked).alias("blocked"), rate(total - allowed - blocked).alias("throttled"), "avg_ms", "p95_ms")

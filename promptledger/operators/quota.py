@@ -244,7 +244,7 @@ def quota_state(admitted: DataFrame, keys: DataFrame, as_of, *, key: str = "key"
         done = resets.filter(micros(F.col("reset_at")) <= now)
         per_key = done.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("reset_at").alias("_own"))
         for_all = done.filter(F.col(key).isNull()).agg(F.max("reset_at").alias("_all"))
-        live = live.join(per_key, key, "left").join(F.broadcast(for_all))  # one aggregate row
+        live = live.join(per_key, key, "left").withColumn("_all", for_all.scalar())
         last = F.greatest(F.col("_own"), F.col("_all"))
         live = live.filter(last.isNull() | (F.col(ts) > last)).drop("_own", "_all")
     sums = live.groupBy(key).agg(F.sum(cost).alias("_used"), F.count("*").alias("_n"), F.min(us).alias("_oldest"))

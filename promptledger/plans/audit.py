@@ -258,8 +258,9 @@ def audit(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses:
     return AuditResult(decided, build_rows(decided), derive_threats(decided), quarantine)
 
 
-def replay(requests: DataFrame, keys: DataFrame, config_a: AuditConfig, config_b: AuditConfig) -> DataFrame:
+def replay(requests: DataFrame, keys: DataFrame, config_a: AuditConfig, config_b: AuditConfig,
+           responses: DataFrame | None = None) -> DataFrame:
     """The same requests under two settings: how many moved from which status to which."""
-    a = decisions(requests, keys, config_a).select("request_id", F.col("status").alias("old_status"))
-    b = decisions(requests, keys, config_b).select("request_id", F.col("status").alias("new_status"))
+    a = decisions(requests, keys, config_a, responses).select("request_id", F.col("status").alias("old_status"))
+    b = decisions(requests, keys, config_b, responses).select("request_id", F.col("status").alias("new_status"))
     return a.join(b, "request_id").groupBy("old_status", "new_status").agg(F.count("*").alias("n"))

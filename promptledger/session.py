@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "promptledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder, so lost executors re-read instead of recompute."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def computed_once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """The kept columns and some costly ones that later filters must not repeat.
+
+    Spark moves a filter below a projection by copying the projected expression into it, which would run
+    detectors twice and blow up chains of them. A one-element generator gives the same rows, and filters
+    on its columns stay above it; filters on the kept columns still reach the scan.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
