@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schemas import RISK_RANK, THREAT_CATEGORIES
 from ..session import computed_once
 from .rules import Detector, Rule
-from .text import is_blank, strip_blank
+from .text import sql_text, strip_blank
 
 # Characters dropped before matching, and the look-alike fold.
 ZERO_WIDTH = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)))
@@ -26,17 +26,28 @@ def _nfkc(values: pa.Array) -> pa.Array:
     return pa.array([v if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
 
+def _not_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
+
+
+def _holds(c: Column, *pieces: str) -> Column:
+    return reduce(Column.__or__, [c.contains(p) for p in pieces])
+
+
 def normalise(c: Column, nfkc: bool = True) -> Column:
     """NFKC, no zero-width characters, runs of blanks other than newline as one space, stripped.
 
-    NFKC is the one step Spark has no built-in for. ASCII text is its own NFKC form, so only text with
-    other characters is handed to the Arrow function; for the rest it gets a null.
+    NFKC is the one step Spark has no built-in for. ASCII text is its own NFKC form and holds nothing to
+    drop, so only text with other characters is handed to the Arrow function; for the rest it gets a null.
     """
     if nfkc:
         fold = F.arrow_udf(_nfkc, "string")
-        c = F.coalesce(fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
-    visible = F.translate(c, ZERO_WIDTH, "")
-    return strip_blank(F.regexp_replace(visible, r"[ \t\r\f\x0B]+", " "))
+        c = F.coalesce(F.translate(fold(F.when(_not_ascii(c), c)), ZERO_WIDTH, ""), c)
+    else:
+        c = F.when(_not_ascii(c), F.translate(c, ZERO_WIDTH, "")).otherwise(c)
+    # Most texts have only lone spaces, which stay as they are.
+    single = F.regexp_replace(c, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    return strip_blank(F.when(_holds(c, "  ", "\t", "\r", "\f", "\x0b"), single).otherwise(c))
 
 
 def fold_leet(c: Column) -> Column:
@@ -45,83 +56,77 @@ def fold_leet(c: Column) -> Column:
 
 def _stem_text(c: Column) -> Column:
     # Besides A-Z, four letters equal an ASCII letter when case is ignored; the Kelvin sign lower-cases to k.
-    return F.lower(F.translate(c, "".join(map(chr, (0x130, 0x131, 0x17F))), "iis"))
+    odd = F.translate(c, "".join(map(chr, (0x130, 0x131, 0x17F))), "iis")
+    return F.lower(F.when(_not_ascii(c), odd).otherwise(c))
+
 
+# The rule set becomes one SQL text per step: hundreds of small expressions that the JVM parses in one go.
+def _search(rule: Rule, text: str, stems: str) -> str:
+    match = f"rlike({text}, {sql_text('(?iU)' + rule.pattern)})"
+    groups = ["(" + " or ".join(f"contains({stems}, {sql_text(s)})" for s in g) + ")" for g in rule.stems]
+    return "(" + " and ".join(groups + [match] if groups else [f"{text} <> ''", match]) + ")"
 
-def _found(text: Column, stems: Column, rule: Rule) -> Column:
-    match = text.rlike("(?iU)" + rule.pattern)
-    if not rule.stems:
-        return match
-    return F.when(reduce(Column.__or__, [stems.contains(s) for s in rule.stems]), match).otherwise(F.lit(False))
 
+def _flags(rules: tuple[Rule, ...]) -> Column:
+    """One boolean per rule: found in `_base` or in its folded variant `_leet`; both are empty rather than null."""
+    found = [f"{_search(r, '_base', '_stems')} or {_search(r, '_leet', '_leet_stems')}" for r in rules]
+    return F.expr(f"array({', '.join(found)})")
 
-def hits(base: Column, folded: Column, base_stems: Column, folded_stems: Column, rules: tuple[Rule, ...]) -> Column:
-    """One boolean per rule: found in the normalised text or in its folded variant.
 
-    `folded` is null when folding changed nothing, so such a text is searched once.
+def _picked(values: list[str], otherwise: str) -> str:
+    return f"zip_with(array({', '.join(values)}), _flags, (v, hit) -> if(hit, v, {otherwise}))"
+
+
+def _tally(rules: tuple[Rule, ...]) -> list[Column]:
+    """Matched names in rule order, their total weight, and the best (risk, category) as one number.
+
+    The number is 4 * (3 - rank) + priority of the category, so the smallest is the highest risk and, among
+    equals, the first category.
     """
-    found = [
-        F.coalesce(_found(base, base_stems, r), F.lit(False))
-        | F.coalesce(F.when(folded.isNotNull(), _found(folded, folded_stems, r)), F.lit(False))
-        for r in rules
+    codes = [str(4 * (3 - RISK_RANK[r.risk_level]) + THREAT_CATEGORIES.index(r.threat_type)) for r in rules]
+    weights = [f"{float(r.weight)!r}D" for r in rules]
+    names = [sql_text(r.name) for r in rules]
+    return [
+        F.expr(f"array_compact({_picked(names, 'null')})").alias("_names"),
+        F.expr(f"aggregate({_picked(weights, '0D')}, 0D, (total, w) -> total + w)").alias("_total"),
+        F.expr(f"array_min({_picked(codes, 'null')})").alias("_best"),
     ]
-    return F.array(*found) if found else F.array().cast("array<boolean>")
-
-
-def _max_of(values: list[Column]) -> Column:
-    return F.greatest(*values) if len(values) > 1 else values[0]
-
-
-def verdict(flags: Column, detector: Detector) -> Column:
-    """Result struct from the per-rule booleans."""
-    rules = detector.rules
-    on = [F.coalesce(F.get(flags, F.lit(i)), F.lit(False)) for i in range(len(rules))]
-    matched = F.array_compact(F.array(*[F.when(o, F.lit(r.name)) for o, r in zip(on, rules)]))
-    total = reduce(Column.__add__, [F.when(o, F.lit(float(r.weight))).otherwise(0.0) for o, r in zip(on, rules)])
-
-    ranks = {}
-    for category in THREAT_CATEGORIES:
-        own = [F.when(o, F.lit(RISK_RANK[r.risk_level])).otherwise(0)
-               for o, r in zip(on, rules) if r.threat_type == category]
-        if own:
-            ranks[category] = _max_of(own)
-    top = _max_of(list(ranks.values()))
-    # Categories are listed in priority order, so the first one that reaches the top rank is dominant.
-    threat = reduce(lambda acc, kv: acc.when(kv[1] == top, F.lit(kv[0])), ranks.items(), F)
-
-    lifted = F.when((top == 1) & (total >= ESCALATE_MEDIUM), 2).otherwise(top)
-    rank = F.when((lifted == 2) & (total >= ESCALATE_HIGH), 3).otherwise(lifted)
-    risk = F.when(rank == 1, "LOW").when(rank == 2, "MEDIUM").when(rank == 3, "HIGH")
-    detected = top > 0
-    return F.struct(
-        detected.alias("detected"),
-        (detected & (rank >= RISK_RANK[detector.threshold])).alias("blocked"),
-        F.when(detected, threat).alias("threat_type"),
-        risk.alias("risk_level"),
-        F.least(total, F.lit(SCORE_CAP)).alias("score"),
-        matched.alias("matched_rules"),
-    )
+
+
+def _verdict(detector: Detector, out: str) -> Column:
+    top = "(3 - _best div 4)"
+    lifted = f"if({top} = 1 and _total >= {ESCALATE_MEDIUM}, 2, {top})"
+    rank = f"if({lifted} = 2 and _total >= {ESCALATE_HIGH}, 3, {lifted})"
+    categories = ", ".join(map(sql_text, THREAT_CATEGORIES))
+    return F.expr(f"""named_struct(
+        'detected', _best is not null,
+        'blocked', coalesce({rank} >= {RISK_RANK[detector.threshold]}, false),
+        'threat_type', get(array({categories}), cast(_best % 4 as int)),
+        'risk_level', get(array('LOW', 'MEDIUM', 'HIGH'), cast({rank} - 1 as int)),
+        'score', least(_total, {SCORE_CAP}D),
+        'matched_rules', _names)""").alias(out)
 
 
 def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str = "injection",
            nfkc: bool = True) -> DataFrame:
     """Add the detection struct for a text column; blank text is never detected."""
     if not detector.rules:
-        none = F.struct(
-            F.lit(False).alias("detected"), F.lit(False).alias("blocked"),
-            F.lit(None).cast("string").alias("threat_type"), F.lit(None).cast("string").alias("risk_level"),
-            F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_rules"))
-        return df.withColumn(out, none)
+        return df.withColumn(out, F.expr(
+            "named_struct('detected', false, 'blocked', false, 'threat_type', cast(null as string), 'risk_level', "
+            "cast(null as string), 'score', 0D, 'matched_rules', cast(array() as array<string>))"))
     keep = [c for c in df.columns if c != out]
-    # The patterns' \\s covers the ASCII separators as well; Java's does not, so give it another wide blank.
-    base = normalise(F.when(~is_blank(F.col(col)), F.col(col)), nfkc)
-    step = df.withColumn("_base", F.translate(base, "\x1c\x1d\x1e\x1f", "\u2003" * 4))
-    step = step.withColumn("_leet", fold_leet(F.col("_base")))
-    step = step.withColumn("_leet", F.when(F.col("_leet") != F.col("_base"), F.col("_leet")))
-    step = step.withColumn("_stems", _stem_text(F.col("_base"))).withColumn("_leet_stems", _stem_text(F.col("_leet")))
-    found = hits(F.col("_base"), F.col("_leet"), F.col("_stems"), F.col("_leet_stems"), detector.rules)
-    step = step.select(*[F.col(f"`{c}`") for c in keep], found.alias("_flags"))
-    return computed_once(step, keep, verdict(F.col("_flags"), detector).alias(out))
+    kept = [F.col(f"`{c}`") for c in keep]
+    base, leet = F.col("_base"), F.col("_leet")
+    step = df.select(*kept, F.coalesce(normalise(F.col(col), nfkc), F.lit("")).alias("_base"))
+    # The patterns' blanks cover the ASCII separators as well; Java's do not, so they become another wide blank.
+    ascii_separators = "\x1c\x1d\x1e\x1f"
+    wide = F.translate(base, ascii_separators, "\u2003" * 4)
+    step = step.withColumn("_base", F.when(_holds(base, *ascii_separators), wide).otherwise(base))
+    step = step.withColumn("_leet", F.when(base.rlike("[013457@$]"), fold_leet(base)).otherwise(F.lit("")))
+    step = step.withColumns({"_stems": _stem_text(base), "_leet_stems": _stem_text(leet)})
+    step = step.select(*kept, _flags(detector.rules).alias("_flags"))
+    step = step.select(*kept, *_tally(detector.rules))
+    return computed_once(step, keep, _verdict(detector, out))
 
 
 def blocked(injection: Column, enabled: Column) -> Column:

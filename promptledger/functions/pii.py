@@ -16,19 +16,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import computed_once
-from .text import BLANK, BLANK_CHARS, WORD, placeholder_types, strip_blank
-
-Check = Callable[[Column], Column]
+from .text import BLANK, BLANK_CHARS, WORD, placeholder_types, sql_text
 
 
 @dataclass(frozen=True)
 class PiiPattern:
-    """A detector. `hint` is an optional cheap test that holds for every text with a match."""
+    """A detector.
+
+    `validator` decides on a match: a function from column to column, or SQL text over the match `m`.
+    `hint` is SQL text over the column `{t}`, a cheap test that holds for every text with an accepted match.
+    """
 
     pii_type: str
     java_regex: str
-    validator: Check | None = None
-    hint: Check | None = None
+    validator: Callable[[Column], Column] | str | None = None
+    hint: str | None = None
 
     @property
     def placeholder(self) -> str:
@@ -36,63 +38,67 @@ class PiiPattern:
 
 
 # ---------------------------------------------------------------- validators
+# SQL text over a match `m`. One text is one call into the JVM, where a Column takes one per operation.
 _DECIMALS = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
-_ND_FROM = "".join(_DECIMALS)
-_ND_TO = "".join(str(unicodedata.decimal(ch)) for ch in _DECIMALS)
+_TO_ASCII = ", ".join(sql_text("".join(p)) for p in zip(*[(d, str(unicodedata.decimal(d))) for d in _DECIMALS]))
+_DIGITS = f"translate(regexp_replace(m, {sql_text(r'\P{Nd}')}, ''), {_TO_ASCII})"
+_TRIMMED = f"trim(both {sql_text(BLANK_CHARS)} from m)"
 
 
-def digits(c: Column) -> Column:
-    """Only the decimal digits of the text, as ASCII."""
-    kept = F.regexp_replace(c, r"\P{Nd}", "")
-    return F.when(kept.rlike(r"[^0-9]"), F.translate(kept, _ND_FROM, _ND_TO)).otherwise(kept)
+def _let(value: str, body: str) -> str:
+    """`body` with `d` standing for `value`, which is computed once."""
+    return f"element_at(transform(array({value}), d -> {body}), 1)"
 
 
-def luhn_valid(c: Column) -> Column:
-    """Luhn checksum over the digits; false below 13 digits."""
-    d = digits(c)
-    return (F.length(d) >= 13) & _luhn(d)
+# Rightmost digit first; every second digit is doubled, which maps 0..9 to 0,2,4,6,8,1,3,5,7,9.
+_SUM_OK = """aggregate(
+    transform(split(reverse(d), ''), (x, i) -> coalesce(
+        try_cast(if(i % 2 = 1, translate(x, '0123456789', '0246813579'), x) as int), 0)),
+    0, (total, x) -> total + x) % 10 = 0"""
+_FOUR_GROUPS = sql_text(r"^\p{Nd}{4}([ -])\p{Nd}{4}\1\p{Nd}{4}\1\p{Nd}{4}$")
+LUHN = _let(_DIGITS, f"length(d) >= 13 and {_SUM_OK}")
+CARD_CHECK = _let(_DIGITS, f"length(d) between 13 and 19 and (rlike({_TRIMMED}, {_FOUR_GROUPS}) or {_SUM_OK})")
+SSN_CHECK = f"rlike({_DIGITS}, '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$')"
+PHONE_CHECK = _let(f"length({_DIGITS})", f"""case
+    when startswith({_TRIMMED}, '+') then d between 8 and 15
+    when rlike({_TRIMMED}, {sql_text(r'[\s\x1c-\x1f\x85\p{Z}().-]')}) then d between 10 and 15
+    else d between 10 and 13 end""")
 
 
-def _luhn(d: Column) -> Column:
-    # Rightmost digit first; every second digit is doubled, which maps 0..9 to 0,2,4,6,8,1,3,5,7,9.
-    values = F.transform(
-        F.split(F.reverse(d), ""),
-        lambda x, i: F.when(i % 2 == 1, F.translate(x, "0123456789", "0246813579")).otherwise(x).try_cast("int"),
-    )
-    return F.aggregate(values, F.lit(0), lambda acc, v: acc + F.coalesce(v, F.lit(0))) % 10 == 0
+def _on(name: str, sql: str) -> Column:
+    return F.expr(f"element_at(transform(array({name}), m -> {sql}), 1)")
+
 
+def digits(name: str) -> Column:
+    """Only the decimal digits of a column, as ASCII. Like the checks below it takes a name or SQL text."""
+    return _on(name, _DIGITS)
 
-def valid_credit_card(c: Column) -> Column:
+
+def luhn_valid(name: str) -> Column:
+    """Luhn checksum over the digits; false below 13 digits."""
+    return _on(name, LUHN)
+
+
+def valid_credit_card(name: str) -> Column:
     """13 to 19 digits that pass Luhn, or four groups of four with one repeated separator."""
-    d = digits(c)
-    grouped = strip_blank(c).rlike(r"^\p{Nd}{4}([ -])\p{Nd}{4}\1\p{Nd}{4}\1\p{Nd}{4}$")
-    return F.length(d).between(13, 19) & (grouped | _luhn(d))
+    return _on(name, CARD_CHECK)
 
 
-def valid_ssn(c: Column) -> Column:
+def valid_ssn(name: str) -> Column:
     """Nine digits; area not 000, 666 or 9xx, group not 00, serial not 0000."""
-    return digits(c).rlike(r"^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    return _on(name, SSN_CHECK)
 
 
-def valid_phone(c: Column) -> Column:
+def valid_phone(name: str) -> Column:
     """8..15 digits with a leading plus, 10..15 with formatting, 10..13 bare."""
-    n, text = F.length(digits(c)), strip_blank(c)
-    return (
-        F.when(text.startswith("+"), n.between(8, 15))
-        .when(text.rlike(r"[\s\x1c-\x1f\x85\p{Z}().-]"), n.between(10, 15))
-        .otherwise(n.between(10, 13))
-    )
+    return _on(name, PHONE_CHECK)
 
 
 # ---------------------------------------------------------------- detectors
-def _email_hint(c: Column) -> Column:
-    return c.contains("@") | c.rlike(rf"(?iu)[\[(]{BLANK}*at{BLANK}*[\])]")
-
-
-def _number_hint(c: Column) -> Column:
-    # A phone, card or SSN has at least 8 digits with never more than 2 other characters between them.
-    return c.rlike(r"\p{Nd}(?:\P{Nd}{0,2}\p{Nd}){7}")
-
+_BRACKETED_AT = sql_text(rf"(?iu)[\[(]{BLANK}*at{BLANK}*[\])]")
+_EMAIL_HINT = f"contains({{t}}, '@') or rlike({{t}}, {_BRACKETED_AT})"
+# A phone, card or SSN has at least 8 digits with never more than 2 other characters between them.
+_NUMBER_HINT = f"rlike({{t}}, {sql_text(r'\p{Nd}(?:\P{Nd}{0,2}\p{Nd}){7}')})"
 
 # The four detector patterns.
 _AT = rf"(?:@|{BLANK}*[\[(]{BLANK}*at{BLANK}*[\])]{BLANK}*)"
@@ -114,10 +120,10 @@ PHONE_REGEX = (
 )
 
 DEFAULT_PATTERNS: tuple[PiiPattern, ...] = (
-    PiiPattern("EMAIL", EMAIL_REGEX, None, _email_hint),
-    PiiPattern("CREDIT_CARD", CREDIT_CARD_REGEX, valid_credit_card, _number_hint),
-    PiiPattern("SSN", SSN_REGEX, valid_ssn, _number_hint),
-    PiiPattern("PHONE", PHONE_REGEX, valid_phone, _number_hint),
+    PiiPattern("EMAIL", EMAIL_REGEX, None, _EMAIL_HINT),
+    PiiPattern("CREDIT_CARD", CREDIT_CARD_REGEX, CARD_CHECK, _NUMBER_HINT),
+    PiiPattern("SSN", SSN_REGEX, SSN_CHECK, _NUMBER_HINT),
+    PiiPattern("PHONE", PHONE_REGEX, PHONE_CHECK, _NUMBER_HINT),
 )
 
 
@@ -133,40 +139,37 @@ def supported_types(patterns: Sequence[PiiPattern] = DEFAULT_PATTERNS) -> list[s
 
 
 # ---------------------------------------------------------------- redaction
-def _matches(text: Column, p: PiiPattern) -> Column:
-    found = F.regexp_extract_all(text, F.lit(p.java_regex), F.lit(0))
-    return F.when(p.hint(text), found) if p.hint else found
-
-
-def _judged(matches: Column, p: PiiPattern) -> Column:
-    """Each match with its verdict and the text to put in its place; leading blanks are kept."""
+def _judged(name: str, p: PiiPattern) -> Column:
+    """The matches in a column, each as (m, ok)."""
+    found = f"regexp_extract_all({name}, {sql_text(p.java_regex)}, 0)"
+    if p.hint:
+        found = f"case when {p.hint.replace('{t}', name)} then {found} end"
+    if callable(p.validator):
+        return F.transform(F.expr(found), lambda m: F.struct(m.alias("m"), p.validator(m).alias("ok")))
+    return F.expr(f"transform({found}, m -> named_struct('m', m, 'ok', {p.validator or 'true'}))")
 
-    def one(m: Column) -> Column:
-        ok = p.validator(m) if p.validator else F.lit(True)
-        lead = F.left(m, F.length(m) - F.length(F.ltrim(m, F.lit(BLANK_CHARS))))
-        marked = F.concat(lead, F.lit(p.placeholder))
-        return F.struct(ok.alias("ok"), F.when(ok, marked).otherwise(m).alias("out"))
 
-    return F.transform(matches, one)
+def _rebuilt(name: str, hits: str, p: PiiPattern) -> Column:
+    """The text with accepted matches replaced; blanks at the start of a match are kept."""
+    lead = f"left(h.m, length(h.m) - length(ltrim({sql_text(BLANK_CHARS)}, h.m)))"
+    return F.expr(f"""case when exists({hits}, h -> h.ok) then array_join(
+        zip_with(split({name}, {sql_text(p.java_regex)}, -1), {hits}, (before, h) -> case
+            when h is null then before
+            when h.ok then concat(before, {lead}, {sql_text(p.placeholder)})
+            else concat(before, h.m) end), '')
+        else {name} end""")
 
 
-def _rebuilt(text: Column, judged: Column, p: PiiPattern) -> Column:
-    between = F.split(text, p.java_regex, -1)
-    pairs = F.zip_with(between, judged["out"], lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.exists(judged, lambda j: j["ok"]), F.array_join(pairs, "")).otherwise(text)
+def _accepted(hits: str) -> str:
+    return f"coalesce(size(filter({hits}, h -> h.ok)), 0)"
 
 
-def _accepted(judged: Column) -> Column:
-    return F.coalesce(F.size(F.filter(judged, lambda j: j["ok"])), F.lit(0))
-
-
-def redact(c: Column, p: PiiPattern) -> Column:
-    """One detector as a struct of the new `text` and the number `n` of replacements.
-
-    `scrub` shares the list of matches between the two fields; prefer it for more than one detector.
-    """
-    judged = _judged(_matches(c, p), p)
-    return F.struct(_rebuilt(c, judged, p).alias("text"), _accepted(judged).alias("n"))
+def redact(df: DataFrame, col: str, p: PiiPattern, out: str = "redacted") -> DataFrame:
+    """One detector: add a struct of the new `text` and the number `n` of replacements."""
+    keep = [c for c in df.columns if c != out]
+    step = df.withColumn("_hits", _judged(f"`{col}`", p))
+    result = F.struct(_rebuilt(f"`{col}`", "_hits", p).alias("text"), F.expr(_accepted("_hits")).alias("n"))
+    return computed_once(step, keep, result.alias(out))
 
 
 def scrub(df: DataFrame, col: str, patterns: Sequence[PiiPattern] = DEFAULT_PATTERNS, out: str = "pii") -> DataFrame:
@@ -175,26 +178,21 @@ def scrub(df: DataFrame, col: str, patterns: Sequence[PiiPattern] = DEFAULT_PATT
     `out` holds `redacted_text`, `redaction_count`, `detected_types` in detector order and `counts`.
     Each step is its own projection, so a list of matches is computed once although it is used twice.
     """
-    keep = df.columns
-    text, counts = F.coalesce(F.col(col), F.lit("")), []
-    step = df.withColumn("_text0", text)
+    keep = [c for c in df.columns if c != out]
+    kept = [F.col(f"`{c}`") for c in keep]
+    step = df.select("*", F.coalesce(F.col(f"`{col}`"), F.lit("")).alias("_text"))
+    counts: list[str] = []
     for i, p in enumerate(patterns):
-        step = step.withColumn(f"_hit{i}", _judged(_matches(F.col(f"_text{i}"), p), p))
-        step = step.withColumn(f"_text{i + 1}", _rebuilt(F.col(f"_text{i}"), F.col(f"_hit{i}"), p))
-        step = step.withColumn(f"_n{i}", _accepted(F.col(f"_hit{i}"))).drop(f"_hit{i}", f"_text{i}")
-        counts.append(F.col(f"_n{i}"))
-    types = F.array_compact(F.array(*[F.when(n > 0, F.lit(p.pii_type)) for n, p in zip(counts, patterns)]))
-    numbers = F.array_compact(F.array(*[F.when(n > 0, n) for n in counts]))
-    total = counts[0]
-    for n in counts[1:]:
-        total = total + n
-    result = F.struct(
-        F.col(f"_text{len(patterns)}").alias("redacted_text"),
-        total.alias("redaction_count"),
-        types.alias("detected_types"),
-        F.map_from_arrays(types, numbers).alias("counts"),
-    )
-    return computed_once(step, [c for c in keep if c != out], result.alias(out))
+        step = step.select(*kept, *counts, "_text", _judged("_text", p).alias("_hits"))
+        step = step.select(*kept, *counts, _rebuilt("_text", "_hits", p).alias("_text"),
+                           F.expr(_accepted("_hits")).alias(f"_n{i}"))
+        counts.append(f"_n{i}")
+    types = ", ".join(f"if({n} > 0, {sql_text(p.pii_type)}, null)" for n, p in zip(counts, patterns))
+    numbers = ", ".join(f"nullif({n}, 0)" for n in counts)
+    result = F.expr(f"""named_struct('redacted_text', _text, 'redaction_count', {' + '.join(counts)},
+        'detected_types', array_compact(array({types})),
+        'counts', map_from_arrays(array_compact(array({types})), array_compact(array({numbers}))))""")
+    return computed_once(step, keep, result.alias(out))
 
 
 def contains_pii(df: DataFrame, col: str, patterns: Sequence[PiiPattern] = DEFAULT_PATTERNS,

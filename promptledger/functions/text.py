@@ -38,6 +38,11 @@ STOP_WORDS = (
 PLACEHOLDER = r"\[REDACTED_[A-Z_]+\]"
 
 
+def sql_text(s: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(c: Column) -> Column:
     """Drop White_Space characters from both ends."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -80,8 +85,8 @@ def topic_tag(c: Column) -> Column:
     low = F.lower(c)
     tag = F
     for name, words in TOPIC_KEYWORDS:
-        hit = F.lit(False)
-        for w in words:
+        hit = low.contains(words[0])
+        for w in words[1:]:
             hit = hit | low.contains(w)
         tag = tag.when(hit, F.lit(name))
     return tag.otherwise(F.lit("generic"))
@@ -93,7 +98,7 @@ def topic_phrase(c: Column, n: int = 4) -> Column:
     words = F.transform(
         F.regexp_extract_all(clean, F.lit(r"[A-Za-z][A-Za-z0-9'-]*"), F.lit(0)), lambda w: F.lower(w)
     )
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    stop = F.split(F.lit(" ".join(STOP_WORDS)), " ")
     kept = F.slice(F.filter(words, lambda w: ~F.array_contains(stop, w)), 1, n)
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.lit("your request"))
 

@@ -53,4 +53,7 @@ def computed_once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame
     detectors twice and blow up chains of them. A one-element generator gives the same rows, and filters
     on its columns stay above it; filters on the kept columns still reach the scan.
     """
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
+    kept = [F.col(f"`{c}`") for c in keep]
+    done = df.select(*kept, *columns)
+    new = [F.col(f"`{c}`") for c in done.columns[len(keep):]]
+    return done.select(*kept, F.inline(F.array(F.struct(*new))))

@@ -32,6 +32,20 @@ def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
     return reader.option("mode", "PERMISSIVE").format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give all task slots a share of a table too small to be read by that many tasks.
+
+    For work that costs much more than a shuffle of the rows, such as running detectors over text. A table
+    that already fills the slots is left alone.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size < slots * split else df
+
+
 def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(API_KEYS).format(fmt).load(path)
 

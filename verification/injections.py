@@ -9,7 +9,7 @@ from promptledger.functions.rules import DEFAULT_RULES, Detector, Rule
 from promptledger.schemas import RISK_RANK
 
 from .registry import query
-from .views import table, view
+from .views import texts, view
 
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]"
 
@@ -60,12 +60,12 @@ def _found(spark, sf, detector=Detector()):
 
 @query("inj1_normalise", f"SELECT doc_id, {sql_base('text')} AS base FROM documents")
 def inj1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", inj.normalise(F.col("text")).alias("base"))
+    return texts(spark, sf).select("doc_id", inj.normalise(F.col("text")).alias("base"))
 
 
 @query("inj2_leet_fold", "SELECT doc_id, translate(text, '013457@$', 'oieastas') AS folded FROM documents")
 def inj2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", inj.fold_leet(F.col("text")).alias("folded"))
+    return texts(spark, sf).select("doc_id", inj.fold_leet(F.col("text")).alias("folded"))
 
 
 @query("inj3_rule_match", "SELECT request_id, string_agg(name, ',' ORDER BY pos) AS rules FROM hits GROUP BY request_id", *HITS)
@@ -77,7 +77,7 @@ def inj3(spark, sf):
 @query("inj4_builtin_rules", "SELECT name AS rule, count(*) AS n FROM hits GROUP BY name",
        *sql_hits("(SELECT 'd' || doc_id AS k, text AS t FROM documents UNION ALL SELECT 'r' || request_id, prompt FROM requests_v)", "k", "t"))
 def inj4(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("text").alias("t"))
+    docs = texts(spark, sf).select(F.col("text").alias("t"))
     both = docs.unionAll(view(spark, sf, "requests_v").select("prompt"))
     found = inj.detect(both, "t")
     return found.select(F.explode("injection.matched_rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))

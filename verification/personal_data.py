@@ -12,7 +12,7 @@ from promptledger.functions import pii
 from promptledger.functions.text import preview
 
 from .registry import query
-from .views import table, view
+from .views import table, texts, view
 
 _CARD_LIKE = "concat(cast(o_orderkey % 9000 + 1000 AS string), lpad(cast(o_custkey * 7919 AS string), 9, '0'), cast(o_orderkey % 10 AS string))"
 
@@ -24,12 +24,12 @@ WITH n AS (SELECT o_orderkey, {_CARD_LIKE} AS c FROM orders),
 SELECT o_orderkey, count(*) >= 13 AND sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END) % 10 = 0 AS ok
 FROM v GROUP BY o_orderkey""")
 def pii1(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", pii.luhn_valid(F.expr(_CARD_LIKE)).alias("ok"))
+    return table(spark, sf, "orders").select("o_orderkey", pii.luhn_valid(_CARD_LIKE).alias("ok"))
 
 
 @query("pii2_digits", r"SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
 def pii2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.digits(F.col("text")).alias("digits"))
+    return texts(spark, sf).select("doc_id", pii.digits("text").alias("digits"))
 
 
 # Candidates any regex engine finds alike: digit runs with separators, counted per document and verdict.
@@ -38,9 +38,9 @@ _SHORT_NUMBER = r"[+(]?[0-9][0-9 ().-]{6,18}[0-9]"
 
 
 def _candidates(spark, sf, regex, verdict):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(regex), F.lit(0))).alias("c")).select(
-        "doc_id", "c", verdict(F.col("c")).alias("ok"))
+        "doc_id", "c", verdict("c").alias("ok"))
 
 
 @query("pii3_card_validator", rf"""
@@ -64,7 +64,7 @@ _SSN_LIKE = """concat(lpad(cast(o_orderkey * 37 % 1000 AS string), 3, '0'), '-',
 SELECT o_orderkey, left(s, 3) NOT IN ('000', '666') AND s[1] <> '9' AND substring(s, 5, 2) <> '00'
    AND right(s, 4) <> '0000' AS ok FROM (SELECT o_orderkey, {_SSN_LIKE} AS s FROM orders)""")
 def pii4(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", pii.valid_ssn(F.expr(_SSN_LIKE)).alias("ok"))
+    return table(spark, sf, "orders").select("o_orderkey", pii.valid_ssn(_SSN_LIKE).alias("ok"))
 
 
 @query("pii5_phone_validator", rf"""
@@ -78,7 +78,7 @@ def pii5(spark, sf):
 
 def _detector(spark, sf, name):
     one = [p for p in pii.DEFAULT_PATTERNS if p.pii_type == name]
-    return pii.scrub(table(spark, sf, "documents"), "text", one).select(
+    return pii.scrub(texts(spark, sf), "text", one).select(
         "doc_id", F.col("pii.redaction_count").alias("n"), F.sha2("pii.redacted_text", 256).alias("text_hash"))
 
 
@@ -112,13 +112,13 @@ def pii9(spark, sf):
 @query("pii10_redaction")
 def pii10(spark, sf):
     phone = pii.DEFAULT_PATTERNS[-1]
-    done = table(spark, sf, "conversations").select("conv_id", "turn", pii.redact(F.col("text"), phone).alias("r"))
+    done = pii.redact(texts(spark, sf, "conversations"), "text", phone, "r")
     return done.select("conv_id", "turn", F.col("r.text").alias("redacted_text"), F.col("r.n").alias("n"))
 
 
 @query("pii11_detector_chain")
 def pii11(spark, sf):
-    return pii.scrub(table(spark, sf, "documents"), "text").select("doc_id", "pii.redacted_text")
+    return pii.scrub(texts(spark, sf), "text").select("doc_id", "pii.redacted_text")
 
 
 @query("pii12_scrub_result")
@@ -132,7 +132,7 @@ def pii12(spark, sf):
 
 @query("pii13_contains_pii")
 def pii13(spark, sf):
-    return pii.contains_pii(table(spark, sf, "documents"), "text").select("doc_id", "contains_pii")
+    return pii.contains_pii(texts(spark, sf), "text").select("doc_id", "contains_pii")
 
 
 @query("pii14_scrub_toggle")
@@ -144,7 +144,7 @@ def pii14(spark, sf):
 
 @query("pii15_findings")
 def pii15(spark, sf):
-    done = pii.scrub(table(spark, sf, "documents"), "text")
+    done = pii.scrub(texts(spark, sf), "text")
     return done.select("doc_id", F.explode(pii.findings(F.col("pii"))).alias("f")).select("doc_id", "f.type", "f.count")
 
 
@@ -171,7 +171,7 @@ SELECT source, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{pii.DASHED
    sum(len(regexp_extract_all(text, '{pii.GROUPED_CARD}')))::BIGINT AS card_like,
    sum(len(regexp_extract_all(text, '{pii.PLAIN_EMAIL}')))::BIGINT AS email_like FROM documents GROUP BY source""")
 def pii18(spark, sf):
-    return pii.pii_presence(table(spark, sf, "documents"), "source")
+    return pii.pii_presence(texts(spark, sf), "source")
 
 
 @query("pii19_rate_by_label", rf"""
@@ -179,7 +179,7 @@ SELECT quality, toxic, count(*) AS n_docs, count(*) FILTER (regexp_matches(text,
 FROM documents JOIN labels USING (doc_id) GROUP BY quality, toxic""")
 def pii19(spark, sf):
     email = [p for p in pii.DEFAULT_PATTERNS if p.pii_type == "EMAIL"]
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     return pii.contains_pii(docs, "text", email).groupBy("quality", "toxic").agg(
         F.count("*").alias("n_docs"), F.count_if("contains_pii").alias("with_email"))
 
@@ -188,5 +188,5 @@ def pii19(spark, sf):
 def ex1(spark, sf):
     hex_id = pii.PiiPattern("HEX_ID", r"\b[0-9a-f]{12,}\b", lambda c: c.rlike("[0-9]") & c.rlike("[a-f]"))
     chain = pii.with_pattern(pii.DEFAULT_PATTERNS, hex_id, before="CREDIT_CARD")
-    done = pii.scrub(table(spark, sf, "documents"), "text", chain)
+    done = pii.scrub(texts(spark, sf), "text", chain)
     return done.select("doc_id", "pii.redaction_count", F.array_join("pii.detected_types", ",").alias("detected_types"))

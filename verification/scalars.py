@@ -8,7 +8,7 @@ from promptledger.functions import masking, text as tx
 from promptledger.operators import requests as rq
 
 from .registry import query
-from .views import SECRET, table, view
+from .views import SECRET, table, texts, view
 
 # RE2 spellings of the blank classes.
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -45,7 +45,7 @@ def sql_tokens(expr: str) -> str:
 # ---------------------------------------------------------------- text
 @query("fn1_token_count", f"SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents")
 def fn1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
+    return texts(spark, sf).select("doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
 
 
 @query("fn2_token_usage", f"""
@@ -119,7 +119,7 @@ def fn7(spark, sf):
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE left(t, 239) || '…' END AS preview
 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)""")
 def fn8(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+    return texts(spark, sf).select("doc_id", tx.preview(F.col("text")).alias("preview"))
 
 
 @query("fn9_percentile", """
@@ -137,7 +137,7 @@ def _topic_sql(low: str) -> str:
 
 @query("fn10_topic_tag", f"SELECT doc_id, {_topic_sql('lower(text)')} AS topic FROM documents")
 def fn10(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.topic_tag(F.col("text")).alias("topic"))
+    return texts(spark, sf).select("doc_id", tx.topic_tag(F.col("text")).alias("topic"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from promptledger.sources.readers import spread
+
 AS_OF = "2024-01-30 12:34:56"
 WINDOW_S = 86_400
 SECRET = "check-secret-0123456789"
@@ -140,10 +142,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, over all task slots."""
+    return spread(table(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
     names = needed([name])
     text = "\n".join(VIEWS[n] for n in names)
-    base = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
-    ctes = base + [f"{n} AS ({VIEWS[n]})" for n in names]
-    return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    ctes = [f"{t} AS (SELECT * FROM {{{t}}})" for t in used] + [f"{n} AS ({VIEWS[n]})" for n in names]
+    frames = {t: table(spark, sf_dir, t) for t in used}
+    if name == "requests_v":
+        frames["events"] = spread(frames["events"])
+    return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}", **frames)
