@@ -19,10 +19,19 @@ def write_threats(threats: DataFrame, path: str, mode: str = "append") -> None:
     write_transactions(threats.withColumn("matched_rules", rules_csv(F.col("matched_rules"))), path, mode)
 
 
-def write_audit(txns: DataFrame, threats: DataFrame, path: str, mode: str = "append") -> None:
-    """Both tables under one folder; `mode="overwrite"` empties them first."""
-    write_transactions(txns, f"{path}/transactions", mode)
-    write_threats(threats, f"{path}/threat_events", mode)
+def write_audit(result, path: str, mode: str = "append") -> None:
+    """Both tables of an audit under one folder; `mode="overwrite"` empties them first.
+
+    The narrow decided rows are kept for the second write, so prompts are scanned once.
+    """
+    from ..plans.audit import build_rows, derive_threats
+
+    decided = result.decided.persist()
+    try:
+        write_transactions(build_rows(decided), f"{path}/transactions", mode)
+        write_threats(derive_threats(decided), f"{path}/threat_events", mode)
+    finally:
+        decided.unpersist()
 
 
 def rules_csv(rules: Column) -> Column:

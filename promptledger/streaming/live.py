@@ -60,11 +60,12 @@ def live_feed(txns: DataFrame, path: str, checkpoint: str, trigger: dict | None
 def live_series(txns: DataFrame, watermark: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Counts per bucket that follow new rows; write it in update mode. Rows later than the watermark are dropped."""
     status = F.col("status")
-    counts = txns.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", width)).agg(
+    clocked = txns.withColumn("timestamp", F.col("timestamp").cast("timestamp"))  # watermarks need a time zone
+    counts = clocked.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", width)).agg(
         F.count("*").alias("total"), F.count_if(status == "allowed").alias("allowed"),
         F.count_if(status == "blocked").alias("blocked"),
         F.count_if(~status.isin("allowed", "blocked")).alias("throttled"))
-    return counts.select(F.col("window.start").alias("bucket_start"), "total", "allowed", "blocked", "throttled")
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("bucket_start"), "total", "allowed", "blocked", "throttled")
 
 
 # ---------------------------------------------------------------- recent buffer

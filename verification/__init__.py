@@ -5,5 +5,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for module in ("scalars", "personal_data", "injections", "reports", "gateway"):
+    for module in ("scalars", "personal_data", "injections", "reports", "gateway", "streams"):
         importlib.import_module(f".{module}", __name__)
