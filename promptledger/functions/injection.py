@@ -60,37 +60,26 @@ def _stem_text(c: Column) -> Column:
     return F.lower(F.when(_not_ascii(c), odd).otherwise(c))
 
 
-# The rule set becomes one SQL text per step: hundreds of small expressions that the JVM parses in one go.
+# The rule set becomes one SQL text: hundreds of small expressions that the JVM parses in one go.
 def _search(rule: Rule, text: str, stems: str) -> str:
     match = f"rlike({text}, {sql_text('(?iU)' + rule.pattern)})"
     groups = ["(" + " or ".join(f"contains({stems}, {sql_text(s)})" for s in g) + ")" for g in rule.stems]
     return "(" + " and ".join(groups + [match] if groups else [f"{text} <> ''", match]) + ")"
 
 
-def _flags(rules: tuple[Rule, ...]) -> Column:
-    """One boolean per rule: found in `_base` or in its folded variant `_leet`; both are empty rather than null."""
-    found = [f"{_search(r, '_base', '_stems')} or {_search(r, '_leet', '_leet_stems')}" for r in rules]
-    return F.expr(f"array({', '.join(found)})")
+def _fired(rules: tuple[Rule, ...]) -> Column:
+    """The rules found in `_base` or in its folded variant `_leet`, in order, as (name, weight, code).
 
-
-def _picked(values: list[str], otherwise: str) -> str:
-    return f"zip_with(array({', '.join(values)}), _flags, (v, hit) -> if(hit, v, {otherwise}))"
-
-
-def _tally(rules: tuple[Rule, ...]) -> list[Column]:
-    """Matched names in rule order, their total weight, and the best (risk, category) as one number.
-
-    The number is 4 * (3 - rank) + priority of the category, so the smallest is the highest risk and, among
-    equals, the first category.
+    The code is 4 * (3 - rank) + priority of the category, so the smallest is the highest risk and, among
+    equals, the first category. Spark evaluates the argument of `filter` as it stands: compiled, so many
+    patterns make one method too long for the JVM to optimise.
     """
-    codes = [str(4 * (3 - RISK_RANK[r.risk_level]) + THREAT_CATEGORIES.index(r.threat_type)) for r in rules]
-    weights = [f"{float(r.weight)!r}D" for r in rules]
-    names = [sql_text(r.name) for r in rules]
-    return [
-        F.expr(f"array_compact({_picked(names, 'null')})").alias("_names"),
-        F.expr(f"aggregate({_picked(weights, '0D')}, 0D, (total, w) -> total + w)").alias("_total"),
-        F.expr(f"array_min({_picked(codes, 'null')})").alias("_best"),
-    ]
+    entries = []
+    for r in rules:
+        code = 4 * (3 - RISK_RANK[r.risk_level]) + THREAT_CATEGORIES.index(r.threat_type)
+        hit = f"{_search(r, '_base', '_stems')} or {_search(r, '_leet', '_leet_stems')}"
+        entries.append(f"named_struct('name', {sql_text(r.name)}, 'weight', {float(r.weight)!r}D, 'code', {code}, 'hit', {hit})")
+    return F.expr(f"filter(array({', '.join(entries)}), r -> r.hit)")
 
 
 def _verdict(detector: Detector, out: str) -> Column:
@@ -104,7 +93,7 @@ def _verdict(detector: Detector, out: str) -> Column:
         'threat_type', get(array({categories}), cast(_best % 4 as int)),
         'risk_level', get(array('LOW', 'MEDIUM', 'HIGH'), cast({rank} - 1 as int)),
         'score', least(_total, {SCORE_CAP}D),
-        'matched_rules', _names)""").alias(out)
+        'matched_rules', _fired.name)""").alias(out)
 
 
 def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str = "injection",
@@ -124,8 +113,9 @@ def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str =
     step = step.withColumn("_base", F.when(_holds(base, *ascii_separators), wide).otherwise(base))
     step = step.withColumn("_leet", F.when(base.rlike("[013457@$]"), fold_leet(base)).otherwise(F.lit("")))
     step = step.withColumns({"_stems": _stem_text(base), "_leet_stems": _stem_text(leet)})
-    step = step.select(*kept, _flags(detector.rules).alias("_flags"))
-    step = step.select(*kept, *_tally(detector.rules))
+    step = step.select(*kept, _fired(detector.rules).alias("_fired"))
+    step = step.select("*", F.expr("aggregate(_fired.weight, 0D, (total, w) -> total + w)").alias("_total"),
+                       F.expr("array_min(_fired.code)").alias("_best"))
     return computed_once(step, keep, _verdict(detector, out))
 
 
