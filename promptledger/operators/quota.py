@@ -276,7 +276,7 @@ def demand(df: DataFrame, key: str, ts: str, order: str, cost: str, window_s: in
     """
     width = window_s * 1_000_000
     base = df.select(key, ts, order, F.col(cost).alias("_cost"), micros(F.col(ts)).alias("_us"))
-    home = F.floor(F.col("_us") / F.lit(width)).cast("long")
+    home = ((F.col("_us") - F.pmod(F.col("_us"), F.lit(width))) / width).cast("long")
     sliced = base.select("*", home.alias("_home"), F.explode(F.array(home, home + 1)).alias("_slice"))
     w = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-(width - 1), 0)
     return (

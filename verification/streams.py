@@ -28,11 +28,17 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
-    if mode == "append":
-        run = sink.format("parquet").start(f"{folder}/out")
-    else:
-        run = sink.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
-    run.awaitTermination()
+    # A stream keeps its number of state partitions for good and has no adaptive merging: size it to the slots.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        if mode == "append":
+            run = sink.format("parquet").start(f"{folder}/out")
+        else:
+            run = sink.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(f"{folder}/out")
 
 
