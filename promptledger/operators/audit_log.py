@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SEARCHED = ("transaction_id", "masked_api_key", "target_model", "threat_type", "masked_ip", "status", "pii_types",
             "prompt_preview")
-MAX_PAGE, MAX_THREATS = 100, 200
+MAX_PAGE, MAX_THREATS, MAX_SEARCH = 100, 200, 100
 
 
 def parse_bound(value: str | None, end: bool = False) -> datetime | None:
@@ -39,6 +39,8 @@ def audit_filter(txns: DataFrame, *, search: str | None = None, status: str | No
     """All given conditions together; time bounds also prune day folders when the table has them."""
     conds = []
     if search:
+        if len(search) > MAX_SEARCH:
+            raise ValueError(f"search takes at most {MAX_SEARCH} characters")
         conds.append(search_condition(txns, search))
     if status:
         conds.append(F.col("status") == status)

@@ -40,7 +40,15 @@ def authenticate(requests: DataFrame, keys: DataFrame, secret: str, raw: str = "
 
 
 def new_keys(existing: DataFrame, incoming: DataFrame, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The incoming keys whose hash is not there yet, with the default limit where none (or 0) is given."""
+    """The incoming keys whose hash is not there yet, with the default limit where none (or 0) is given.
+
+    A hash that comes in twice is taken once, with its lowest id.
+    """
+    if "id" in incoming.columns:
+        one = F.min_by(F.struct(*incoming.columns), F.col("id")).alias("_key")
+        incoming = incoming.groupBy("key_hash").agg(one).select("_key.*")
+    else:
+        incoming = incoming.dropDuplicates(["key_hash"])
     fresh = incoming.join(existing.select("key_hash"), "key_hash", "left_anti")
     return fresh.withColumn("rate_limit", F.coalesce(F.when(F.col("rate_limit") != 0, F.col("rate_limit")),
                                                      F.lit(default_limit)).cast("int"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, QUOTA_TYPE
 from ..session import checkpointed
+from .keys import authenticate
 
 _LIVE = "array<struct<us:bigint,cost:bigint>>"
 _HIT = "chunk bigint, k string, us bigint, ord bigint, cost bigint, lim int"
@@ -257,6 +258,21 @@ def quota_state(admitted: DataFrame, keys: DataFrame, as_of, *, key: str = "key"
         reset.alias("reset_in_seconds"))
 
 
+def key_status(asked: DataFrame, keys: DataFrame, admitted: DataFrame, as_of, secret: str, raw: str = "raw_key",
+               **options) -> DataFrame:
+    """The budget behind each asked raw key at `as_of`, consuming nothing.
+
+    Rows: `masked_key`, `http_status` (200; 401 missing or invalid; 403 revoked), `auth_reason` and the struct
+    `rate_limit`, null for a rejected key. `admitted` holds (`key_hash`, `ts`, `cost`).
+    """
+    known = authenticate(asked, keys, secret, raw)
+    valid = known.filter(F.col("auth_reason").isNull()).select("key_hash", "key_limit").distinct()
+    state = quota_state(admitted, valid, as_of, key="key_hash", limit="key_limit", **options)
+    info = state.select("key_hash", quota_info(F.struct(*[c for c in state.columns if c != "key_hash"])).alias("rate_limit"))
+    code = F.when(F.col("auth_reason").isNull(), 200).when(F.col("auth_reason") == "revoked", 403).otherwise(401)
+    return known.join(info, "key_hash", "left").select("masked_key", code.alias("http_status"), "auth_reason", "rate_limit")
+
+
 def quota_info(quota: Column) -> Column:
     """The part of a quota a caller sees; the reset time to 2 places."""
     return F.struct(*[quota[f].alias(f) for f in ("limit", "used", "remaining", "request_count", "window_seconds")],

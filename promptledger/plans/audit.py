@@ -193,7 +193,7 @@ def trace(decided: DataFrame) -> DataFrame:
     return decided.withColumn("pipeline", F.array_compact(F.array(*stages)))
 
 
-def gateway_response(decided: DataFrame) -> DataFrame:
+def response_record(decided: DataFrame) -> DataFrame:
     """The nested result a caller would get for an allowed or blocked request.
 
     Needs `decided` from `audit(..., keep_text=True)`, which carries the forwarded text.

@@ -13,7 +13,7 @@ from promptledger.operators import keys as ky, requests as rq, responses as rs
 from promptledger.plans import audit as au
 from promptledger.sources.writers import rules_csv
 from verification import load_all
-from verification.gateway import CONFIG, key_dimension
+from verification.decisions import CONFIG, key_dimension
 from verification.registry import QUERIES
 from verification.views import SECRET, view
 
@@ -74,7 +74,7 @@ def test_decisions_and_rows(spark, keys):
     assert len(steps[4]) == 1 and dict(s[:2] for s in steps[1])["llm_forwarding"] == "skipped" and len(steps[8]) == 7
     assert dict(s[:2] for s in steps[3])["pii_redaction"] == "skipped" and steps[2][5][2].startswith("defense disabled")
 
-    body = {r.transaction_id: r for r in au.gateway_response(done.decided).collect()}
+    body = {r.transaction_id: r for r in au.response_record(done.decided).collect()}
     assert len(body) == 6
     b = body[rows[0].transaction_id]
     assert b.response == "fine" and b.sanitized_prompt.startswith("Email [REDACTED_EMAIL]") and b.token_usage.total_tokens == a.total_tokens

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from promptledger import admissions, audit, stream_requests
 from promptledger.plans.audit import build_rows
 from promptledger.streaming import admission, live
-from verification.gateway import CONFIG, key_dimension
+from verification.decisions import CONFIG, key_dimension
 from verification.views import view
 
 ONCE = {"availableNow": True}

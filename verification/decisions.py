@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptledger.functions.masking import hash_key, mask_key
 from promptledger.functions.rules import Detector
-from promptledger.operators import keys as ky, quota as qt, responses as rs
+from promptledger.operators import keys as ky, quota as qt, requests as rq, responses as rs
 from promptledger.plans import audit as au
 
 from .injections import sql_hits, sql_verdict
 from .registry import query
 from .scalars import sql_hash, sql_mask, sql_tokens
-from .views import AS_OF, SECRET, WINDOW_S, view
+from .views import AS_OF, SECRET, WINDOW_S, table, view
 
 W_US = WINDOW_S * 1_000_000
 CONFIG = au.AuditConfig(SECRET, window_s=WINDOW_S)
@@ -277,7 +277,7 @@ def pl6(spark, sf):
 
 @query("pl6_response")
 def pl6_response(spark, sf):
-    body = au.gateway_response(_audit(spark, sf, keep_text=True).decided)
+    body = au.response_record(_audit(spark, sf, keep_text=True).decided)
     return body.select("transaction_id", F.to_json(F.struct("*")).alias("body"))
 
 
@@ -292,6 +292,23 @@ def pl7(spark, sf):
     return au.replay(_requests(spark, sf), key_dimension(spark, sf), CONFIG, strict, view(spark, sf, "responses_v"))
 
 
+@query("w5_key_status", f"""
+SELECT {sql_mask('raw')} AS masked_key, CASE WHEN why IS NULL THEN 200 WHEN why = 'revoked' THEN 403 ELSE 401 END AS http_status, why AS auth_reason,
+   CASE WHEN why IS NULL THEN coalesce(max(kl), 100) END AS token_limit, CASE WHEN why IS NULL THEN coalesce(sum(cost), 0)::BIGINT END AS used,
+   CASE WHEN why IS NULL THEN count(id)::INTEGER END AS request_count
+FROM (SELECT u.raw, u.k, y.rate_limit AS kl, CASE WHEN u.raw IS NULL THEN 'missing' WHEN y.status IS NULL THEN 'invalid' WHEN y.status <> 'active' THEN 'revoked' END AS why
+      FROM (SELECT DISTINCT user_id AS k, 'team-' || user_id || '-key' AS raw FROM events UNION ALL SELECT -1, NULL) u LEFT JOIN keys_v y ON y.raw_key = u.raw) q
+LEFT JOIN (SELECT * FROM fold WHERE allowed AND us <= epoch_us(timestamp '{AS_OF}') AND us > epoch_us(timestamp '{AS_OF}') - {W_US}) a ON a.k = q.k AND why IS NULL
+GROUP BY raw, why""", *sql_decided(), recursive=True)
+def w5_status(spark, sf):
+    dim = key_dimension(spark, sf)
+    charged = qt.admitted_entries(au.charge(au.prepare(rq.validate(_requests(spark, sf))[0], CONFIG), dim, CONFIG))
+    users = table(spark, sf, "events").select(F.concat(F.lit("team-"), F.col("user_id").cast("string"), F.lit("-key")).alias("raw_key")).distinct()
+    asked = users.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("raw_key")))
+    state = qt.key_status(asked, dim, charged.withColumnRenamed("input_tokens", "cost"), AS_OF, SECRET, window_s=WINDOW_S)
+    return state.select("masked_key", "http_status", "auth_reason", F.col("rate_limit.limit").alias("token_limit"), "rate_limit.used", "rate_limit.request_count")
+
+
 # ---------------------------------------------------------------- answers
 @query("jn5_response_attach", """
 SELECT request_id, CASE WHEN error IS NULL THEN text END AS response, latency_ms AS llm_latency_ms, output_tokens, error IS NOT NULL AS upstream_failed

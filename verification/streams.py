@@ -10,7 +10,7 @@ from promptledger.functions import injection as inj, pii
 from promptledger.session import use_checkpoint_dir
 from promptledger.streaming import admission, live
 
-from .gateway import _HITS, sql_fold
+from .decisions import _HITS, sql_fold
 from .injections import HITS
 from .registry import query
 from .reports import _PROJECTED
