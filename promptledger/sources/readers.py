@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..functions.rules import Rule
 from ..schemas import API_KEYS, INJECTION_RULES, REQUEST_LOG
@@ -85,6 +86,6 @@ def load_rules(spark: SparkSession, path: str) -> tuple[list[Rule], DataFrame]:
 def _check_java(spark: SparkSession, pattern: str) -> None:
     """Raise ValueError for a pattern that Spark's regex engine does not take."""
     try:
-        spark.range(1).select(F.lit("").rlike("(?iU)" + pattern)).collect()
-    except Exception as err:
+        spark._jvm.java.util.regex.Pattern.compile("(?iU)" + pattern)
+    except (Py4JJavaError, PySparkException) as err:
         raise ValueError(f"bad pattern: {str(err).splitlines()[0]}") from None
