@@ -1,12 +1,14 @@
 """Token budgets over an exact sliding window.
 
-Whether a request is admitted depends on which earlier ones were, so this is no window sum. Requests are
-range-partitioned by (key, time), which gives every task an equal share even when one key holds most rows.
-Each task folds its stretch in order with memory for the live window only. A stretch that starts in the
-middle of a key needs the window left by the stretch before it. All stretches start from a guess (empty);
-those whose real start turns out different are run again, until nothing changes. Every round settles at
-least the first unsettled stretch of each key, so the result is exact, and since windows forget, two
-rounds are the rule.
+Whether a request is admitted depends on which earlier ones were, so this is no window sum; but it need not be
+one long fold either. Time is cut into slices as wide as the window. Where a key asks for no more than its limit in
+a slice and the one before, every request of the slice is admitted, whatever happened earlier: the window at its end
+is known without folding. A slice without requests leaves an empty window. Behind each such slice a new run
+starts, opened by the slice's own requests. Runs are folded independently, each in order, with the live window as
+the only memory: one plan, no loop, no job of its own.
+
+A key that stays under its limit is as many runs as it has slices. One that asks for too much all the time is one
+run: its decisions depend on each other without end, and one task streams through its narrow rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, QUOTA_TYPE
-from ..session import checkpointed
 from .keys import authenticate
 
-_LIVE = "array<struct<us:bigint,cost:bigint>>"
-_HIT = "chunk bigint, k string, us bigint, ord bigint, cost bigint, lim int"
-_CARRY = f"chunk bigint, first_key string, first_us bigint, last_key string, live {_LIVE}"
 QUOTA_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in QUOTA_TYPE.fields)
 
 
@@ -83,106 +81,44 @@ class LiveWindow:
         return self.width
 
 
-def _stretches(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, list]]:
-    """Fold sorted hits; yields each batch with one (row index, quota fields or None for seeds, window)."""
-    at, window = None, LiveWindow(width)
-    for pdf in batches:
-        out = []
-        rows = zip(pdf["chunk"], pdf["k"], pdf["us"].tolist(), pdf["ord"], pdf["cost"].tolist(), pdf["lim"].tolist(),
-                   pdf["seed"].tolist() if "seed" in pdf else [False] * len(pdf))
-        for chunk, k, us, _, cost, lim, seed in rows:
-            if at != (chunk, k):
-                at, window = (chunk, k), LiveWindow(width)
-            if seed:
-                window.entries.append((us, cost))
-                window.used += cost
-                out.append(None)
-            else:
-                out.append(window.offer(us, cost, lim))
-        yield pdf, out, window
-
-
-def _decide(width: int):
+def _fold(width: int):
+    """Decides the rows of each (key, run) in order; opening rows only fill the window."""
     names = [f.name for f in QUOTA_TYPE.fields]
 
-    def run(batches):
-        for pdf, out, _ in _stretches(batches, width):
-            real = [i for i, q in enumerate(out) if q is not None]
-            quota = pd.DataFrame([out[i] for i in real], columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, window = None, LiveWindow(width)
+        for pdf in batches:
+            out, real = [], []
+            rows = zip(pdf["k"], pdf["run"], pdf["us"].tolist(), pdf["cost"].tolist(), pdf["lim"].tolist(), pdf["opens"].tolist())
+            for i, (k, number, us, cost, lim, opens) in enumerate(rows):
+                if at != (k, number):
+                    at, window = (k, number), LiveWindow(width)
+                if opens:
+                    window.entries.append((us, cost))
+                    window.used += cost
+                else:
+                    out.append(window.offer(us, cost, lim))
+                    real.append(i)
             hits = pdf.iloc[real].reset_index(drop=True)
-            yield pd.concat([hits[["k", "us", "ord", "cost"]], quota], axis=1)
+            yield pd.concat([hits[["k", "us", "ord", "cost"]], pd.DataFrame(out, columns=names)], axis=1)
 
     return run
 
 
-def _carry(width: int):
-    """One row per stretch: its first request, its last key and the window it leaves behind."""
+def _runs(hits: DataFrame) -> DataFrame:
+    """Per key and slice: its `run`, and `next_run` where its requests open the run behind it.
 
-    def run(batches):
-        first, last = None, None
-
-        def row():
-            live = [{"us": us, "cost": c} for us, c in last[2].entries]
-            return pd.DataFrame([{"chunk": last[0], "first_key": first[1], "first_us": first[2],
-                                  "last_key": last[1], "live": live}])
-
-        for pdf, out, window in _stretches(_by_chunk(batches), width):
-            real = [i for i, q in enumerate(out) if q is not None]
-            chunk = pdf["chunk"].iloc[0]
-            if last is not None and last[0] != chunk:
-                yield row()
-                first = last = None
-            if real and first is None:
-                first = (chunk, pdf["k"].iloc[real[0]], pdf["us"].iloc[real[0]])
-            if real:
-                last = (chunk, pdf["k"].iloc[real[-1]], LiveWindow(width, window.entries))
-        if last is not None:
-            yield row()
-
-    return run
-
-
-def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for _, part in pdf.groupby("chunk", sort=False):
-            yield part
-
-
-def _seeds(starts: DataFrame) -> DataFrame:
-    """Window entries as rows that sort ahead of the stretch they open."""
-    return starts.select("chunk", F.col("first_key").alias("k"), F.inline("start")).select(
-        "chunk", "k", "us", F.lit(-(2**63)).alias("ord"), "cost", F.lit(0).alias("lim"), F.lit(True).alias("seed"))
-
-
-def _seeded(hits: DataFrame, starts: DataFrame) -> DataFrame:
-    """Hits with their seeds, one stretch per task and in order."""
-    both = hits.withColumn("seed", F.lit(False)).unionByName(_seeds(starts))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "k", F.desc("seed"), "us", "ord")
-
-
-def _linked(carry: DataFrame, width: int) -> DataFrame:
-    """Each stretch with the window its key brings in; one row per stretch, so one task is enough."""
-    w = Window.orderBy("chunk")
-    prev = F.when(F.lag("last_key").over(w) == F.col("first_key"), F.lag("live").over(w))
-    cutoff = F.col("first_us") - width
-    live = F.filter(F.coalesce(prev, F.array().cast(_LIVE)), lambda e: e["us"] > cutoff)
-    return carry.withColumn("start", live)
-
-
-def _starts(hits: DataFrame, width: int) -> DataFrame:
-    """The true opening window of every stretch that continues a key."""
-    carry = checkpointed(hits.mapInPandas(_carry(width), _CARRY).withColumn("assumed", F.array().cast(_LIVE)))
-    while True:
-        linked = checkpointed(_linked(carry, width))
-        # A stretch with more than one key ends in a key of its own, so its start cannot change its end.
-        stale = linked.filter((F.col("first_key") == F.col("last_key")) & (F.col("start") != F.col("assumed")))
-        if stale.isEmpty():
-            return linked.filter(F.size("start") > 0).select("chunk", "first_key", "start")
-        redo = hits.join(stale.select("chunk"), "chunk", "left_semi")
-        fresh = _seeded(redo, stale).mapInPandas(_carry(width), _CARRY).join(
-            stale.select("chunk", F.col("start").alias("assumed")), "chunk")
-        kept = linked.drop("start").join(stale.select("chunk"), "chunk", "left_anti")
-        carry = checkpointed(kept.unionByName(fresh))
+    One row per key and slice, from sums made in the map tasks.
+    """
+    w = Window.partitionBy("k").orderBy("slice")
+    adjacent = F.coalesce(F.lag("slice").over(w) == F.col("slice") - 1, F.lit(False))
+    sums = hits.groupBy("k", "slice").agg(F.sum("cost").alias("asked"), F.min("lim").alias("least"))
+    sums = sums.select("k", "slice", adjacent.alias("adjacent"), (F.col("asked") + F.when(adjacent, F.lag("asked").over(w)).otherwise(0)
+                                                                   <= F.col("least")).alias("calm"))
+    cut = ~F.col("adjacent") | F.lag("calm").over(w)
+    runs = sums.select("*", F.sum(F.coalesce(cut, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    opens = F.col("calm") & F.coalesce(F.lead("slice").over(w) == F.col("slice") + 1, F.lit(False))
+    return runs.select("k", "slice", "run", F.when(opens, F.col("run") + 1).alias("next_run"))
 
 
 def admissions(df: DataFrame, key: str, ts: str, order: str, cost: str, limit: str | None = None, *,
@@ -191,24 +127,22 @@ def admissions(df: DataFrame, key: str, ts: str, order: str, cost: str, limit: s
     """Decide every request of a log: `key`, `ts`, `order`, `cost` and the struct `quota`, one row each.
 
     `order` is a unique integer; requests of a key are taken by (ts, order). Rows without a key are left
-    out. Runs jobs when called: the narrow hits are checkpointed and opening windows settled.
+    out. Lazy; the rows are read twice, once for the sums per slice, so pass a table rather than a long plan.
+    `partitions` sets the number of folding tasks.
     """
     width = window_s * 1_000_000
     hits = df.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("k"), micros(F.col(ts)).alias("us"), F.col(order).cast("long").alias("ord"),
         effective_cost(F.col(cost)).alias("cost"),
         effective_limit(F.col(limit) if limit else None, default_limit).alias("lim"))
-    by = ["k", "us", "ord"]
-    ranged = hits.repartitionByRange(partitions, *by) if partitions else hits.repartitionByRange(*by)
-    ranged = ranged.sortWithinPartitions(*by).select(F.spark_partition_id().cast("long").alias("chunk"), "*")
-    hits = checkpointed(ranged)
-
-    run = hits
-    if hits.rdd.getNumPartitions() > 1:
-        starts = _starts(hits, width)
-        if not starts.isEmpty():
-            run = _seeded(hits, starts)
-    out = run.mapInPandas(_decide(width), f"k string, us bigint, ord bigint, cost bigint, {QUOTA_DDL}")
+    hits = hits.withColumn("slice", ((F.col("us") - F.pmod("us", F.lit(width))) / width).cast("long"))
+    turns = F.array_compact(F.array(
+        F.struct(F.col("run"), F.lit(False).alias("opens")),
+        F.when(F.col("next_run").isNotNull(), F.struct(F.col("next_run").alias("run"), F.lit(True).alias("opens")))))
+    rows = hits.join(_runs(hits), ["k", "slice"]).select("k", "us", "ord", "cost", "lim", F.inline(turns))
+    rows = rows.repartition(partitions, "k", "run") if partitions else rows.repartition("k", "run")
+    out = rows.sortWithinPartitions("k", "run", "us", "ord").mapInPandas(
+        _fold(width), f"k string, us bigint, ord bigint, cost bigint, {QUOTA_DDL}")
     fields = [f.name for f in QUOTA_TYPE.fields]
     return out.select(
         F.col("k").cast(df.schema[key].dataType).alias(key),

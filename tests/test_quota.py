@@ -65,8 +65,7 @@ def test_same_as_replay_for_any_split(spark, hits, partitions):
     assert [(q.allowed, q.used, q.request_count) for q in got] == replay(hits)
 
 
-def test_one_key_in_many_stretches_that_never_agree(spark):
-    # A steady rhythm: a wrong opening window would never right itself, so every stretch has to be run again.
+def test_one_key_in_a_steady_rhythm(spark):
     hits = [("k", s, 10) for s in range(0, 900)] + [("z", s, 30) for s in range(0, 300, 7)]
     got = run(spark, hits, partitions=9)
     assert [(q.allowed, q.used, q.request_count) for q in got] == replay(hits)
@@ -111,3 +110,20 @@ def test_demand_counts_rejected_requests(spark):
     assert [r.demand for r in demand(df, "k", "ts", "id", "cost", 60).orderBy("id").collect()] == [80, 160, 85, 1]
     with pytest.raises(Exception):
         demand(df, "missing", "ts", "id", "cost", 60).collect()
+
+
+def test_deciding_runs_no_job_of_its_own(spark):
+    tracker = spark.sparkContext.statusTracker()
+    hits = frame(spark, [("k", s, 10) for s in range(300)])
+    before = len(tracker.getJobIdsForGroup())
+    for partitions in (1, 50):
+        admissions(hits, "k", "ts", "id", "cost", "lim", partitions=partitions)
+    assert len(tracker.getJobIdsForGroup()) == before
+
+
+def test_quiet_keys_are_many_runs_and_busy_ones_are_one(spark):
+    hits = [("quiet", s, 1) for s in range(0, 1200, 5)] + [("busy", s, 9) for s in range(0, 1200, 2)]
+    df = frame(spark, hits).selectExpr("k", "unix_micros(cast(ts as timestamp)) as us", "cast(cost as bigint) as cost", "100 as lim")
+    runs = qt._runs(df.withColumn("slice", F.expr("us div 60000000"))).groupBy("k").agg(F.countDistinct("run").alias("n")).collect()
+    assert {r.k: r.n for r in runs} == {"quiet": 20, "busy": 1}
+    assert [(q.allowed, q.used, q.request_count) for q in run(spark, hits, partitions=5)] == replay(hits)
