@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import RISK_RANK, THREAT_CATEGORIES
 from ..session import computed_once
-from .rules import Detector, Rule
+from .rules import DEFAULT_RULES, Detector, Rule
 from .text import sql_text, strip_blank
 
 # Characters dropped before matching, and the look-alike fold.
@@ -119,6 +119,27 @@ def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str =
     return computed_once(step, keep, _verdict(detector, out))
 
 
+def blocks_at(injection: Column, threshold: str) -> Column:
+    """Whether a detection would be blocked at a threshold; the risk level already holds the final rank."""
+    enough = [level for level, rank in RISK_RANK.items() if rank >= RISK_RANK[threshold]]
+    return F.coalesce(injection["risk_level"].isin(enough), F.lit(False))
+
+
+def at_threshold(injection: Column, threshold: str) -> Column:
+    """A detection under another threshold, without looking at the text again."""
+    return injection.withField("blocked", blocks_at(injection, threshold))
+
+
+def category_rollup(found: DataFrame, key: str, rules: tuple[Rule, ...] = DEFAULT_RULES, col: str = "injection") -> DataFrame:
+    """Per row and category of the rules that fired: highest `rank`, number of `rules` and summed `weight`, 2 places."""
+    facts = F.create_map(*[x for r in rules for x in (
+        F.lit(r.name), F.struct(F.lit(r.threat_type).alias("category"), F.lit(RISK_RANK[r.risk_level]).alias("rank"),
+                                F.lit(float(r.weight)).alias("weight")))])
+    fired = found.select(key, F.explode(F.col(col)["matched_rules"]).alias("rule"))
+    return fired.select(key, facts[F.col("rule")].alias("f")).groupBy(key, "f.category").agg(
+        F.max("f.rank").alias("rank"), F.count("*").alias("rules"), F.round(F.sum("f.weight"), 2).alias("weight"))
+
+
 def blocked(injection: Column, enabled: Column) -> Column:
     """With the defence off nothing is blocked; the detection itself stays on record."""
     return enabled & injection["blocked"]

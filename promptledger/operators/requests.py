@@ -59,6 +59,8 @@ def check(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
         ("api_key", f"must have 1 to {MAX_KEY_CHARS} characters", ~F.length(key).between(1, MAX_KEY_CHARS)),
         ("target_model", "unsupported", ~F.col("target_model").isin(*MODEL_NAMES)),
     ]
+    if "request_id" in requests.columns:
+        tests.append(("request_id", "field required", F.col("request_id").isNull()))
     if CORRUPT in requests.columns:
         tests.insert(0, ("body", "malformed record", F.col(CORRUPT).isNotNull()))
     errors = [F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, m, bad in tests]
@@ -73,7 +75,7 @@ def validate(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> tuple[Da
 
 
 def prompt_status(has_pii: Column, scrub_on: Column, n: Column, blocked: Column) -> Column:
-    """What is said about the prompt as it came in."""
+    """What is said about the prompt as it came in; the phrases are fixed values."""
     base = (
         F.when(has_pii & scrub_on, F.concat(F.lit("Contained PII — "), n.cast("string"),
                                             F.lit(" value(s) redacted before forwarding")))

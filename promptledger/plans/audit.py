@@ -1,7 +1,11 @@
 """From requests and keys to audit rows and threat events.
 
-The plan keeps prompts out of shuffles: scrubbing, scoring and the preview happen in the scan stage, and
-only narrow rows meet the quota decisions. Admission itself sees four numbers per request.
+Prompts are read once and never shuffled: scrubbing, scoring and the preview happen in the scan stage. What is left,
+a narrow row per request with its key looked up, is made unique by request id and checkpointed; budgets, decisions,
+audit rows and threat events all start from there.
+
+A request id names one request. Where a log holds it more than once, as at-least-once delivery does, the earliest
+row counts (then the smallest transaction id) and the others are the same request again.
 """
 
 from __future__ import annotations
@@ -11,16 +15,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.injection import blocked as is_blocked, detect
+from ..functions.injection import at_threshold, blocked as is_blocked, detect
 from ..functions.masking import mask_ip
 from ..functions.pii import DEFAULT_PATTERNS, PiiPattern, findings, forwarded_text, scrub
 from ..functions.rules import Detector
 from ..functions.text import count_tokens, preview, to_iso, transaction_id
-from ..operators.keys import resolve_keys, with_key_identity
+from ..operators.keys import resolve_keys, touch_keys, with_key_identity
 from ..operators.quota import admissions, quota_info
 from ..operators.requests import effective_key, model_name, prompt_status, validate
 from ..operators.responses import attach_responses
 from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, MAX_PROMPT_CHARS
+from ..session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -39,15 +44,20 @@ class AuditConfig:
 
 @dataclass(frozen=True)
 class AuditResult:
-    """`decided` has one wide row per valid request; the two tables are projections of it."""
+    """`decided` has one wide row per valid request; the two tables are projections of it.
+
+    `quarantine` holds rejected requests with `errors`; `keys` is the key table with the last use moved on.
+    """
 
     decided: DataFrame
     transactions: DataFrame
     threats: DataFrame
     quarantine: DataFrame
+    keys: DataFrame
 
 
 # ---------------------------------------------------------------- steps
+# The texts a caller sees, in `threat` and `trace`, are fixed values.
 def prepare(valid: DataFrame, config: AuditConfig) -> DataFrame:
     """Identity, token count and masks per request; the raw key ends here."""
     keyed = valid.withColumn("raw_key", effective_key(F.col("api_key"), F.col("header_api_key")))
@@ -69,9 +79,15 @@ def score(prepared: DataFrame, config: AuditConfig, keep_text: bool = False) ->
     return rows.withColumn("pii", slim).drop("prompt")
 
 
-def charge(prepared: DataFrame, keys: DataFrame, config: AuditConfig) -> DataFrame:
-    """Quota decisions of the authenticated requests; the others never touch a budget."""
-    known = resolve_keys(prepared.select("request_id", "ts", "key_hash", "input_tokens"), keys)
+def once(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row per request id with its key looked up, materialised: the only pass over what `rows` reads."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct("ts", "transaction_id", "masked_key"))
+    unique = rows.groupBy(F.col("request_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
+    return checkpointed(resolve_keys(unique, keys))
+
+
+def charge(known: DataFrame, config: AuditConfig) -> DataFrame:
+    """Quota decisions of the authenticated rows of `once`; the others never touch a budget."""
     return admissions(known.filter(F.col("auth_reason").isNull()), "key_hash", "ts", "request_id", "input_tokens",
                       "key_limit", default_limit=config.default_limit, window_s=config.window_s)
 
@@ -225,23 +241,27 @@ def response_record(decided: DataFrame) -> DataFrame:
 ANSWER_FIELDS = {"response": "string", "llm_latency_ms": "double", "output_tokens": "int", "upstream_failed": "boolean"}
 
 
-def _decided(scored: DataFrame, prepared: DataFrame, keys: DataFrame, config: AuditConfig,
-             responses: DataFrame | None) -> DataFrame:
-    quotas = charge(prepared, keys, config).select("request_id", "quota")
-    rows = resolve_keys(scored, keys).join(quotas, "request_id", "left")
+def _answered(rows: DataFrame, responses: DataFrame | None) -> DataFrame:
     if responses is not None:
-        rows = attach_responses(rows, responses)
-    else:
-        rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in ANSWER_FIELDS.items()})
-    return threat(decide(rows))
+        return attach_responses(rows, responses)
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in ANSWER_FIELDS.items()})
+
+
+def _decided(known: DataFrame, config: AuditConfig, responses: DataFrame | None) -> DataFrame:
+    quotas = charge(known, config).select("request_id", "quota")
+    return threat(decide(_answered(known.join(quotas, "request_id", "left"), responses)))
+
+
+def _checked(requests: DataFrame, config: AuditConfig) -> tuple[DataFrame, DataFrame]:
+    valid, quarantine = validate(requests, config.max_prompt_chars)
+    return prepare(valid, config), quarantine
 
 
 def decisions(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses: DataFrame | None = None) -> DataFrame:
     """Status and threat of every valid request, without the PII work that does not influence them."""
-    valid, _ = validate(requests, config.max_prompt_chars)
-    prepared = prepare(valid, config)
-    scored = detect(prepared, "prompt", config.detector, nfkc=config.nfkc).drop("prompt")
-    return _decided(scored, prepared, keys, config, responses)
+    prepared, _ = _checked(requests, config)
+    found = detect(prepared, "prompt", config.detector, nfkc=config.nfkc).drop("prompt")
+    return _decided(once(found, keys), config, responses)
 
 
 def audit(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses: DataFrame | None = None,
@@ -249,18 +269,43 @@ def audit(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses:
     """The whole pipeline. With `keep_text` the text that goes upstream stays in `decided`.
 
     `responses` is the log of upstream answers; a request whose entry has an error ends as `error`, one
-    without an entry counts as not answered yet and is allowed with zero output.
+    without an entry counts as not answered yet and is allowed with zero output. Runs one job when called, over
+    the requests.
     """
-    valid, quarantine = validate(requests, config.max_prompt_chars)
-    prepared = prepare(valid, config)
-    scored = score(prepared, config, keep_text)
-    decided = _decided(scored, prepared, keys, config, responses)
-    return AuditResult(decided, build_rows(decided), derive_threats(decided), quarantine)
+    prepared, quarantine = _checked(requests, config)
+    known = once(score(prepared, config, keep_text), keys)
+    decided = _decided(known, config, responses)
+    valid = known.filter(F.col("auth_reason").isNull())
+    return AuditResult(decided, build_rows(decided), derive_threats(decided), quarantine, touch_keys(keys, valid)
+                       if "last_used_at" in keys.columns else keys)
 
 
 def replay(requests: DataFrame, keys: DataFrame, config_a: AuditConfig, config_b: AuditConfig,
            responses: DataFrame | None = None) -> DataFrame:
-    """The same requests under two settings: how many moved from which status to which."""
-    a = decisions(requests, keys, config_a, responses).select("request_id", F.col("status").alias("old_status"))
-    b = decisions(requests, keys, config_b, responses).select("request_id", F.col("status").alias("new_status"))
-    return a.join(b, "request_id").groupBy("old_status", "new_status").agg(F.count("*").alias("n"))
+    """The same requests under two settings: how many moved from which status to which.
+
+    Settings that only differ in threshold, limit or window share one pass over the prompts, and those with equal
+    budgets one admission; another rule set is matched in the same pass. Settings that change which requests are
+    valid, how keys are hashed or tokens counted are replayed separately.
+    """
+    same = ("secret", "max_prompt_chars", "nfkc", "count")
+    if any(getattr(config_a, f) != getattr(config_b, f) for f in same):
+        a, b = (decisions(requests, keys, c, responses) for c in (config_a, config_b))
+        both = a.select("request_id", F.col("status").alias("old_status")).join(
+            b.select("request_id", F.col("status").alias("new_status")), "request_id")
+        return both.groupBy("old_status", "new_status").agg(F.count("*").alias("n"))
+    prepared, _ = _checked(requests, config_a)
+    found = detect(prepared, "prompt", config_a.detector, "injection", config_a.nfkc)
+    if config_a.detector.rules != config_b.detector.rules:
+        found = detect(found, "prompt", config_b.detector, "_other", config_b.nfkc)
+    else:
+        found = found.withColumn("_other", at_threshold(F.col("injection"), config_b.detector.threshold))
+    known = once(found.drop("prompt"), keys)
+    rows = known.join(charge(known, config_a).select("request_id", F.col("quota")), "request_id", "left")
+    if (config_a.default_limit, config_a.window_s) != (config_b.default_limit, config_b.window_s):
+        rows = rows.join(charge(known, config_b).select("request_id", F.col("quota").alias("_quota")), "request_id", "left")
+    else:
+        rows = rows.withColumn("_quota", F.col("quota"))
+    old = decide(_answered(rows, responses)).withColumn("old_status", F.col("status"))
+    new = decide(old.withColumns({"injection": F.col("_other"), "quota": F.col("_quota")}))
+    return new.groupBy("old_status", F.col("status").alias("new_status")).agg(F.count("*").alias("n"))

@@ -12,7 +12,6 @@ from ..functions.rules import Rule
 from ..schemas import API_KEYS, INJECTION_RULES, REQUEST_LOG
 
 CORRUPT = "_corrupt"
-MAX_RULES = 10_000
 
 
 def _request_schema(fmt: str) -> T.StructType:
@@ -25,26 +24,18 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return reader.option("mode", "PERMISSIVE").format(fmt).load(path)
 
 
-def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """The same log as a stream of files."""
+def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
+    """The same log as a stream of files, at most `max_files` of them in a micro-batch."""
     reader = spark.readStream.schema(_request_schema(fmt)).option("columnNameOfCorruptRecord", CORRUPT)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.option("mode", "PERMISSIVE").format(fmt).load(path)
+    return reader.option("maxFilesPerTrigger", max_files).option("mode", "PERMISSIVE").format(fmt).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give all task slots a share of a table too small to be read by that many tasks.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out to `partitions` tasks, those of the cluster's slots unless given.
 
-    For work that costs much more than a shuffle of the rows, such as running detectors over text. A table
-    that already fills the slots is left alone.
+    For work that costs much more than a shuffle of the rows, over a table of a few large row groups.
     """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if size < slots * split else df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -54,18 +45,16 @@ def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 def load_rules(spark: SparkSession, path: str) -> tuple[list[Rule], DataFrame]:
     """Rules from a JSON array, and the entries that were skipped with the reason.
 
-    A missing or unreadable file gives no rules. Rules are configuration and end up as plan literals, so
-    they are read on the driver; a file of more than MAX_RULES entries is refused.
+    A missing or unreadable file gives no rules. Rules are configuration: they are read on the driver and become
+    literals of the plan, `detect` spreads long rule sets over several projections.
     """
     schema = "name string, pattern string, threat_type string, risk_level string, weight double"
     try:
         raw = spark.read.schema(schema + f", {CORRUPT} string").option("multiLine", True).option(
             "columnNameOfCorruptRecord", CORRUPT).json(path)
-        entries = [r.asDict() for r in raw.limit(MAX_RULES + 1).collect()]
+        entries = [r.asDict() for r in raw.collect()]
     except AnalysisException:
         entries = []
-    if len(entries) > MAX_RULES:
-        raise ValueError(f"{path} holds more than {MAX_RULES} rules")
     good, bad = [], []
     for e in entries:
         broken = e.pop(CORRUPT, None)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import to_iso
+from ..session import checkpointed
 
 RULES_CSV_CHARS = 255
 
@@ -19,19 +21,36 @@ def write_threats(threats: DataFrame, path: str, mode: str = "append") -> None:
     write_transactions(threats.withColumn("matched_rules", rules_csv(F.col("matched_rules"))), path, mode)
 
 
+def _not_there_yet(rows: DataFrame, path: str, mode: str) -> DataFrame:
+    """The rows whose transaction is not stored for that day, so that running twice stores once."""
+    if mode != "append":
+        return rows
+    try:
+        there = rows.sparkSession.read.parquet(path).select(F.col("event_date").alias("_day"), F.col("transaction_id").alias("_txn"))
+    except AnalysisException:
+        return rows
+    same = (F.to_date("timestamp") == F.col("_day")) & (F.col("transaction_id") == F.col("_txn"))
+    return rows.join(there, same, "left_anti")
+
+
+def rejected(quarantine: DataFrame) -> DataFrame:
+    """What is kept of rejected requests: id, time and errors; no prompt and no key."""
+    return quarantine.select("request_id", "ts", "errors")
+
+
 def write_audit(result, path: str, mode: str = "append") -> None:
-    """Both tables of an audit under one folder; `mode="overwrite"` empties them first.
+    """Both tables of an audit and the rejected requests under one folder; `mode="overwrite"` empties them first.
 
-    The narrow decided rows are kept for the second write, so prompts are scanned once.
+    Appending is idempotent: ids are hashes of the requests, and those that are stored already are left out. The
+    narrow decided rows are materialised for both tables; `rejected` is replaced by each run.
     """
     from ..plans.audit import build_rows, derive_threats
 
-    decided = result.decided.persist()
-    try:
-        write_transactions(build_rows(decided), f"{path}/transactions", mode)
-        write_threats(derive_threats(decided), f"{path}/threat_events", mode)
-    finally:
-        decided.unpersist()
+    decided = checkpointed(result.decided)
+    txns, threats = f"{path}/transactions", f"{path}/threat_events"
+    write_transactions(_not_there_yet(build_rows(decided), txns, mode), txns, mode)
+    write_threats(_not_there_yet(derive_threats(decided), threats, mode), threats, mode)
+    rejected(result.quarantine).write.mode("overwrite").parquet(f"{path}/rejected")
 
 
 def rules_csv(rules: Column) -> Column:

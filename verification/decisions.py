@@ -115,12 +115,23 @@ def w1(spark, sf):
        *sql_fold("SELECT CASE WHEN id % 3 = 0 THEN -1 ELSE k END AS k, id, epoch_us(ts) AS us, cost, 100 AS lim FROM quota_hits_v", 3_600_000_000),
        recursive=True)
 def w1_busy(spark, sf):
-    """A third of all rows under one key, cut into many stretches."""
+    """A third of all rows under one key, cut into many runs."""
     hits = view(spark, sf, "quota_hits_v").withColumn("k", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("k")))
     done = qt.admissions(hits, "k", "ts", "id", "cost", window_s=3600, partitions=12)
     return done.select("k", "id", "quota.allowed", "quota.used")
 
 
+@query("w1_saturated_key", "SELECT k, id, allowed, used FROM fold",
+       *sql_fold("SELECT CASE WHEN id % 2 = 0 THEN -1 ELSE k END AS k, id, epoch_us(ts) AS us, cost, 40 AS lim FROM quota_hits_v", 1_800_000_000),
+       recursive=True)
+def w1_saturated(spark, sf):
+    """Half of all rows under one key that always asks for more than its limit."""
+    hits = view(spark, sf, "quota_hits_v").withColumns({
+        "k": F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("k")), "lim": F.lit(40)})
+    done = qt.admissions(hits, "k", "ts", "id", "cost", "lim", window_s=1800, partitions=12)
+    return done.select("k", "id", "quota.allowed", "quota.used")
+
+
 @query("w2_limit_and_cost", "SELECT k, id, allowed, used, lim AS token_limit, cost::BIGINT AS charged FROM fold", *sql_fold(_LIMITED), recursive=True)
 def w2(spark, sf):
     hits = view(spark, sf, "quota_hits_v").withColumns({
@@ -204,7 +215,7 @@ def sql_decided(threshold: int = 2, limit: int = 100) -> list[str]:
     return [
         f"""asked AS (SELECT r.*, {sql_tokens('trim(prompt)')} AS tokens, k.rate_limit AS lim,
    CASE WHEN api_key IS NULL THEN 'missing' WHEN k.status IS NULL THEN 'invalid' WHEN k.status <> 'active' THEN 'revoked' END AS auth
- FROM requests_v r LEFT JOIN keys_v k ON k.raw_key = r.api_key WHERE trim(prompt) <> '')""",
+ FROM requests_v r LEFT JOIN keys_v k ON k.raw_key = r.api_key WHERE trim(prompt) <> '' AND length(trim(prompt)) <= 8000)""",
         *sql_fold(hits), *sql_hits("asked", "request_id", "prompt"), *sql_verdict("request_id", threshold),
         """decided AS (SELECT a.request_id, a.user_id, a.ts, a.tokens, auth, f.allowed, f.used, f.lim AS quota_limit, v.threat_type AS found,
    v.risk_level AS risk, v.matched_rules AS rules,
@@ -302,7 +313,8 @@ LEFT JOIN (SELECT * FROM fold WHERE allowed AND us <= epoch_us(timestamp '{AS_OF
 GROUP BY raw, why""", *sql_decided(), recursive=True)
 def w5_status(spark, sf):
     dim = key_dimension(spark, sf)
-    charged = qt.admitted_entries(au.charge(au.prepare(rq.validate(_requests(spark, sf))[0], CONFIG), dim, CONFIG))
+    known = au.once(au.prepare(rq.validate(_requests(spark, sf))[0], CONFIG).drop("prompt"), dim)
+    charged = qt.admitted_entries(au.charge(known, CONFIG))
     users = table(spark, sf, "events").select(F.concat(F.lit("team-"), F.col("user_id").cast("string"), F.lit("-key")).alias("raw_key")).distinct()
     asked = users.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("raw_key")))
     state = qt.key_status(asked, dim, charged.withColumnRenamed("input_tokens", "cost"), AS_OF, SECRET, window_s=WINDOW_S)

@@ -87,12 +87,7 @@ def inj4(spark, sf):
 SELECT request_id, category, max(rank)::INTEGER AS rank, count(*) AS rules, round(sum(weight), 2) AS weight
 FROM hits GROUP BY request_id, category""", *HITS)
 def inj5(spark, sf):
-    facts = F.create_map(*[F.lit(x) if isinstance(x, str) else x for r in DEFAULT_RULES for x in (
-        r.name, F.struct(F.lit(r.threat_type).alias("category"), F.lit(RISK_RANK[r.risk_level]).alias("rank"),
-                         F.lit(r.weight).alias("weight")))])
-    fired = _found(spark, sf).select("request_id", F.explode("injection.matched_rules").alias("rule"))
-    return fired.select("request_id", facts[F.col("rule")].alias("f")).groupBy("request_id", "f.category").agg(
-        F.max("f.rank").alias("rank"), F.count("*").alias("rules"), F.round(F.sum("f.weight"), 2).alias("weight"))
+    return inj.category_rollup(_found(spark, sf), "request_id")
 
 
 @query("inj6_dominant_category", "SELECT threat_type, count(*) AS n FROM verdict GROUP BY threat_type", *VERDICT)
@@ -122,10 +117,9 @@ def inj8(spark, sf):
 SELECT request_id, coalesce(v.blocked, false) AS at_medium, coalesce(risk_level = 'HIGH', false) AS at_high,
    v.request_id IS NOT NULL AS at_low FROM requests_v LEFT JOIN verdict v USING (request_id)""", *VERDICT)
 def inj9(spark, sf):
-    frame = view(spark, sf, "requests_v").select("request_id", "prompt")
-    for level in ("LOW", "MEDIUM", "HIGH"):
-        frame = inj.detect(frame, "prompt", Detector(threshold=level), out=f"at_{level.lower()}")
-    return frame.select("request_id", *[F.col(f"{c}.blocked").alias(c) for c in ("at_low", "at_medium", "at_high")])
+    found = inj.detect(view(spark, sf, "requests_v").select("request_id", "prompt"), "prompt")
+    return found.select("request_id", *[inj.blocks_at(F.col("injection"), level).alias(f"at_{level.lower()}")
+                                        for level in ("LOW", "MEDIUM", "HIGH")])
 
 
 @query("inj10_blank", """

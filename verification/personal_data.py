@@ -1,7 +1,8 @@
 """PII validators, detectors and reports.
 
-Card, SSN and phone detection need look-around, which the SQL side's RE2 lacks: those run without SQL and
-are compared with a brute-force scan in the tests.
+Card, SSN and phone detection need look-around, which the SQL side's RE2 lacks. Over free text those run without
+SQL and are compared with a brute-force scan in the tests; over notes built from order columns the SQL knows the
+redaction by construction.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from promptledger.functions import pii
 from promptledger.functions.text import preview
+from promptledger.sources.readers import spread
 
 from .registry import query
 from .views import table, texts, view
@@ -184,6 +186,110 @@ def pii19(spark, sf):
         F.count("*").alias("n_docs"), F.count_if("contains_pii").alias("with_email"))
 
 
+# ---------------------------------------------------------------- notes whose redaction is known by construction
+_TAKEN = {"EMAIL": ("email", (7, 8, 11)), "CREDIT_CARD": ("card", (0, 2, 8)), "SSN": ("ssn", (3, 8)), "PHONE": ("phone", (5, 8))}
+
+
+def _expected(*types: str) -> str:
+    """SQL text of a note with the values of the given types redacted."""
+    text = "text"
+    for t in types:
+        value, kinds = _TAKEN[t]
+        text = f"CASE WHEN kind IN {kinds} THEN replace({text}, {value}, '[REDACTED_{t}]') ELSE {text} END"
+    return text
+
+
+def _count(*types: str) -> str:
+    return " + ".join(f"CASE WHEN kind IN {_TAKEN[t][1]} THEN CASE WHEN kind = 11 THEN 2 ELSE 1 END ELSE 0 END" for t in types)
+
+
+_ALL = tuple(_TAKEN)
+_TYPES = "concat_ws(',', " + ", ".join(f"CASE WHEN kind IN {kinds} THEN '{t}' END" for t, (_, kinds) in _TAKEN.items()) + ")"
+
+
+def _noted(spark, sf, patterns=pii.DEFAULT_PATTERNS):
+    return pii.scrub(spread(view(spark, sf, "pii_notes_v")), "text", patterns)
+
+
+def _add_detector_query(name: str, pii_type: str) -> None:
+    @query(name, f"SELECT id, {_expected(pii_type)} AS redacted_text, ({_count(pii_type)})::INTEGER AS n FROM pii_notes_v")
+    def detector(spark, sf):
+        one = [p for p in pii.DEFAULT_PATTERNS if p.pii_type == pii_type]
+        return _noted(spark, sf, one).select("id", "pii.redacted_text", F.col("pii.redaction_count").alias("n"))
+
+
+_add_detector_query("pii7_card_notes", "CREDIT_CARD")
+_add_detector_query("pii8_ssn_notes", "SSN")
+_add_detector_query("pii9_phone_notes", "PHONE")
+
+
+@query("pii10_redaction_notes", f"SELECT id, {_expected('PHONE')} AS redacted_text FROM pii_notes_v")
+def pii10_notes(spark, sf):
+    done = pii.redact(spread(view(spark, sf, "pii_notes_v")), "text", pii.DEFAULT_PATTERNS[-1], "r")
+    return done.select("id", F.col("r.text").alias("redacted_text"))
+
+
+@query("pii11_chain_notes", f"SELECT id, {_expected(*_ALL)} AS redacted_text FROM pii_notes_v")
+def pii11_notes(spark, sf):
+    return _noted(spark, sf).select("id", "pii.redacted_text")
+
+
+@query("pii12_result_notes", f"""
+SELECT id, {_expected(*_ALL)} AS redacted_text, ({_count(*_ALL)})::INTEGER AS redaction_count, {_TYPES} AS detected_types,
+   CASE WHEN kind = 11 THEN 'EMAIL=2' ELSE replace({_TYPES}, ',', '=1,') || CASE WHEN {_TYPES} <> '' THEN '=1' ELSE '' END END AS counts
+FROM pii_notes_v""")
+def pii12_notes(spark, sf):
+    counts = F.array_join(F.transform(F.map_entries("pii.counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return _noted(spark, sf).select("id", "pii.redacted_text", "pii.redaction_count",
+                                    F.array_join("pii.detected_types", ",").alias("detected_types"), counts.alias("counts"))
+
+
+@query("pii13_contains_notes", f"SELECT id, ({_count(*_ALL)}) > 0 AS contains_pii FROM pii_notes_v")
+def pii13_notes(spark, sf):
+    return pii.contains_pii(spread(view(spark, sf, "pii_notes_v")), "text").select("id", "contains_pii")
+
+
+@query("pii14_toggle_notes", f"SELECT id, CASE WHEN id % 2 = 0 THEN {_expected(*_ALL)} ELSE text END AS forwarded, {_expected(*_ALL)} AS prompt_preview FROM pii_notes_v")
+def pii14_notes(spark, sf):
+    return _noted(spark, sf).select("id", pii.forwarded_text(F.col("text"), F.col("pii"), F.col("id") % 2 == 0).alias("forwarded"),
+                                    preview(F.col("pii.redacted_text")).alias("prompt_preview"))
+
+
+@query("pii15_findings_notes", f"""
+SELECT id, type, CASE WHEN kind = 11 THEN 2 ELSE 1 END::INTEGER AS count FROM (
+   SELECT id, kind, unnest(string_split({_TYPES}, ',')) AS type FROM pii_notes_v) WHERE type <> ''""")
+def pii15_notes(spark, sf):
+    found = _noted(spark, sf).select("id", F.explode(pii.findings(F.col("pii"))).alias("f"))
+    return found.select("id", "f.type", F.col("f.count").cast("int").alias("count"))
+
+
+@query("pii17_planted_leaks", f"""
+SELECT id, stored FROM (SELECT id, kind, CASE WHEN id % 7 = 0 THEN text WHEN id % 11 = 3 THEN 'kept raw-' || id || ' here' ELSE {_expected(*_ALL)} END AS stored,
+   id % 7 = 0 AND ({_count(*_ALL)}) > 0 OR id % 7 <> 0 AND id % 11 = 3 AS leak FROM pii_notes_v) WHERE leak""")
+def pii17_planted(spark, sf):
+    """Some notes were stored unredacted, some with the raw key of their row."""
+    key = F.concat(F.lit("raw-"), F.col("id").cast("string"))
+    stored = _noted(spark, sf).select("id", F.when(F.col("id") % 7 == 0, F.col("text")).when(
+        F.col("id") % 11 == 3, F.concat(F.lit("kept "), key, F.lit(" here"))).otherwise(F.col("pii.redacted_text")).alias("stored"))
+    return pii.leak_check(stored, "stored", raw_key=key).select("id", "stored")
+
+
+@query("ex1_added_detector", f"SELECT id, replace({_expected(*_ALL)}, 'desk', '[REDACTED_PLACE]') AS redacted_text FROM pii_notes_v")
+def ex1_added(spark, sf):
+    place = pii.PiiPattern("PLACE", r"\bdesk\b")
+    return _noted(spark, sf, pii.with_pattern(pii.DEFAULT_PATTERNS, place, before="SSN")).select("id", "pii.redacted_text")
+
+
+@query("ex2_supported_types", f"""
+SELECT source, pos, type FROM (SELECT DISTINCT source FROM documents),
+   (VALUES (0, 'EMAIL'), (1, 'CREDIT_CARD'), (2, 'LOCKER'), (3, 'SSN'), (4, 'PHONE')) t(pos, type)""")
+def ex2(spark, sf):
+    """The detectors every source is scanned with."""
+    chain = pii.with_pattern(pii.DEFAULT_PATTERNS, pii.PiiPattern("LOCKER", "x"), before="SSN")
+    types = F.array(*[F.lit(t) for t in pii.supported_types(chain)])
+    return table(spark, sf, "documents").select("source").distinct().select("source", F.posexplode(types).alias("pos", "type"))
+
+
 @query("ex1_custom_detector")
 def ex1(spark, sf):
     hex_id = pii.PiiPattern("HEX_ID", r"\b[0-9a-f]{12,}\b", lambda c: c.rlike("[0-9]") & c.rlike("[a-f]"))

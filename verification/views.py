@@ -52,13 +52,14 @@ SELECT e.event_id AS request_id, e.ts AS ts, e.user_id AS user_id,
             ELSE concat('team-', cast(e.user_id AS string), '-key') END AS api_key,
        CASE e.event_id % 5 WHEN 0 THEN 'GPT-4' WHEN 1 THEN 'Gemini Pro' WHEN 2 THEN 'claude'
                            WHEN 3 THEN 'Llama' ELSE 'gpt4' END AS target_model,
-       CASE WHEN e.event_id % 3 = 0 THEN substring(c.text, 1, 400) ELSE p.t END AS prompt,
+       CASE WHEN c.text IS NOT NULL AND e.round % 3 = 0 THEN c.text ELSE p.t END AS prompt,
        concat('10.', cast(e.user_id % 256 AS string), '.', cast(e.event_id % 256 AS string), '.',
               cast((e.event_id * 7) % 256 AS string)) AS client_ip,
        e.event_id % 11 <> 3 AS enable_pii,
        e.event_id % 13 <> 5 AS enable_injection
-FROM (SELECT event_id, ts, user_id, event_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv FROM events) e
-LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = e.conv
+FROM (SELECT event_id, ts, user_id, event_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv,
+             cast(floor(event_id / (SELECT max(conv_id) + 1 FROM conversations)) AS bigint) AS round FROM events) e
+LEFT JOIN conversations c ON c.conv_id = e.conv AND c.turn = e.round % 8
 LEFT JOIN prompt_pool p ON p.i = e.event_id % 16""",
     "transactions_v": """
 SELECT event_id AS id,
@@ -112,6 +113,26 @@ FROM events""",
 SELECT event_id AS request_id, 1 AS attempt, 'm1' AS model, (event_id + 3) % 4 = 0 AS ok FROM events
 UNION ALL SELECT event_id, 2, 'm2', (event_id + 6) % 4 = 0 FROM events
 UNION ALL SELECT event_id, 3, 'm3', (event_id + 9) % 4 = 0 FROM events""",
+    # Personal data in known frames: `kind` says what a note holds and whether a detector has to take it.
+    "pii_notes_v": """
+SELECT id, kind, email, card, ssn, phone, CASE kind
+   WHEN 0 THEN concat('Paid with ', card, ' at the desk') WHEN 1 THEN concat('Parcel ', card, ' is late')
+   WHEN 2 THEN concat('Groups ', card, '; thanks') WHEN 3 THEN concat('Form ', ssn, ' filed') WHEN 4 THEN concat('Form ', ssn, ' void')
+   WHEN 5 THEN concat('Ring ', phone, ' after noon') WHEN 6 THEN concat('Line ', phone, ' is internal')
+   WHEN 7 THEN concat('Write to ', email, ' today')
+   WHEN 8 THEN concat('From ', email, ' with ', card, ', ', ssn, ' and ', phone, '.')
+   WHEN 9 THEN concat('Serial x9-', card, ' shipped') WHEN 10 THEN 'Nothing here but words'
+   ELSE concat('Copy ', email, ' and again ', email, '!') END AS text
+FROM (SELECT id, kind,
+        concat('user', cast(id AS string), '@mail.example.org') AS email,
+        CASE kind WHEN 2 THEN concat(cast(1000 + id % 9000 AS string), ' ', cast(1000 + c % 9000 AS string), ' 9024 6813')
+             ELSE concat('40', '0', cast(id % 10 AS string), '0', cast(c % 10 AS string), '00000000', '0',
+                         cast((10 - (id % 10 + c % 10) % 10 + CASE WHEN kind = 1 THEN 1 ELSE 0 END + 2) % 10 AS string)) END AS card,
+        concat(CASE kind WHEN 4 THEN '666' ELSE cast(100 + id % 500 AS string) END, '-', cast(10 + c % 90 AS string), '-',
+               cast(1000 + id % 9000 AS string)) AS ssn,
+        CASE kind WHEN 6 THEN concat('555-', cast(1000 + id % 9000 AS string))
+             ELSE concat('+44 20 7946 ', cast(1000 + c % 9000 AS string)) END AS phone
+      FROM (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 12 AS kind FROM orders) o) n""",
     "stage_log_v": """
 SELECT concat('txn_', cast(event_id AS string)) AS transaction_id, 1 AS seq, 'validation' AS stage, ts FROM events
 UNION ALL SELECT concat('txn_', cast(event_id AS string)), 2, 'authentication', ts + interval 1500 microseconds FROM events
