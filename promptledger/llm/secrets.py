@@ -111,7 +111,7 @@ def assigned_literals(text: str) -> list[Span]:
                 scores[part] = max(scores[part], scores[i])
             else:
                 best[part] = max(best.get(part, 0.0), scores[i])
-    return [Span("literal", *s) for s, w in best.items() if w > 0 and w + value_score(text[s[0]:s[1]]) >= MIN_SCORE]
+    return [Span("literal", *s) for s, w in sorted(best.items()) if w > 0 and w + value_score(text[s[0]:s[1]]) >= MIN_SCORE]
 
 
 def _statements(text: str):
