@@ -139,6 +139,15 @@ def derive_threats(decided: DataFrame) -> DataFrame:
         "threat.matched_rules")
 
 
+def forwarded(decided: DataFrame) -> DataFrame:
+    """What goes upstream: (`request_id`, `target_model`, `text`) of the requests nothing stopped.
+
+    For a caller's own batch of model calls; their log, joined by `attach_responses`, completes the audit.
+    Needs `forwarded_text`, as `audit(..., keep_text=True)` leaves it.
+    """
+    return decided.filter(F.col("status").isin("allowed", "error")).select("request_id", "target_model", F.col("forwarded_text").alias("text"))
+
+
 def build_rows(decided: DataFrame) -> DataFrame:
     """Audit rows. Requests turned away early keep the PII flags but have no redaction and no score."""
     passed = ~F.col("status").isin("unauthorized", "forbidden", "rate_limited")

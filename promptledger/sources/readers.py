@@ -42,15 +42,15 @@ def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return spark.read.schema(API_KEYS).format(fmt).load(path)
 
 
-def load_rules(spark: SparkSession, path: str) -> tuple[list[Rule], DataFrame]:
-    """Rules from a JSON array, and the entries that were skipped with the reason.
+def load_rules(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[list[Rule], DataFrame]:
+    """Rules from a JSON array, or with `multi_line` off from one record per line, and the skipped entries with the reason.
 
     A missing or unreadable file gives no rules. Rules are configuration: they are read on the driver and become
     literals of the plan, `detect` spreads long rule sets over several projections.
     """
     schema = "name string, pattern string, threat_type string, risk_level string, weight double"
     try:
-        raw = spark.read.schema(schema + f", {CORRUPT} string").option("multiLine", True).option(
+        raw = spark.read.schema(schema + f", {CORRUPT} string").option("multiLine", multi_line).option(
             "columnNameOfCorruptRecord", CORRUPT).json(path)
         entries = [r.asDict() for r in raw.collect()]
     except AnalysisException:

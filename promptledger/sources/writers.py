@@ -11,14 +11,25 @@ from ..session import checkpointed
 RULES_CSV_CHARS = 255
 
 
-def write_transactions(txns: DataFrame, path: str, mode: str = "append") -> None:
-    """Append audit rows, one folder per day, ordered by time within files so range filters skip row groups."""
-    by_day = txns.withColumn("event_date", F.to_date("timestamp"))
-    by_day.sortWithinPartitions("event_date", "timestamp").write.partitionBy("event_date").mode(mode).parquet(path)
+#: The batch number of rows that no stream wrote.
+NO_BATCH = -1
 
 
-def write_threats(threats: DataFrame, path: str, mode: str = "append") -> None:
-    write_transactions(threats.withColumn("matched_rules", rules_csv(F.col("matched_rules"))), path, mode)
+def write_transactions(txns: DataFrame, path: str, mode: str = "append", batch_id: int = NO_BATCH) -> None:
+    """Append audit rows, a folder per day and in it one per stream batch, ordered by time within files.
+
+    Batch jobs and streams share this layout, so both can be read together and a day filter lists one folder. A
+    stream batch replaces what it wrote before: `mode="batch"` overwrites only the folders it has rows for.
+    """
+    rows = txns.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    writer = rows.sortWithinPartitions("event_date", "timestamp").write.partitionBy("event_date", "batch_id")
+    if mode == "batch":
+        writer, mode = writer.option("partitionOverwriteMode", "dynamic"), "overwrite"
+    writer.mode(mode).parquet(path)
+
+
+def write_threats(threats: DataFrame, path: str, mode: str = "append", batch_id: int = NO_BATCH) -> None:
+    write_transactions(threats.withColumn("matched_rules", rules_csv(F.col("matched_rules"))), path, mode, batch_id)
 
 
 def _not_there_yet(rows: DataFrame, path: str, mode: str) -> DataFrame:

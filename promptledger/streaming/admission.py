@@ -13,6 +13,8 @@ from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, QUOTA_TYPE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UNCHARGED_SLOTS = 256
+#: Times keep their microseconds on the way through the state step.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "true"}
 _FIELDS = [f.name for f in QUOTA_TYPE.fields]
 
 
@@ -63,14 +65,14 @@ def admit_stream(stream: DataFrame, key: str, ts: str, order: str, cost: str, li
         micros(F.col(ts)).alias("us"), F.col(order).cast("long").alias("ord"),
         effective_cost(F.col(cost)).alias("cost"),
         effective_limit(F.col(limit) if limit else None, default_limit).alias("lim"), charged.alias("charge"),
-        F.to_json(F.struct(*[F.col(c) for c in rest])).alias("payload"))
+        F.to_json(F.struct(*[F.col(c) for c in rest]), _JSON).alias("payload"))
     decided = packed.groupBy("slot").transformWithStateInPandas(
         _Admission(window_s * 1_000_000),
         outputStructType=f"k string, us bigint, ord bigint, cost bigint, payload string, {QUOTA_DDL}",
         outputMode="Append", timeMode="None")
     shape = stream.select(*rest).schema
     kinds = {c: stream.schema[c].dataType for c in (key, ts, order)}
-    back = decided.withColumn("_rest", F.from_json("payload", shape))
+    back = decided.withColumn("_rest", F.from_json("payload", shape, _JSON))
     return back.select(
         F.col("k").cast(kinds[key]).alias(key), F.timestamp_micros("us").cast(kinds[ts]).alias(ts),
         F.col("ord").cast(kinds[order]).alias(order), "_rest.*",

@@ -8,46 +8,61 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keys import resolve_keys
 from ..operators.requests import validate
+from ..operators.responses import attach_responses
 from ..plans.audit import ANSWER_FIELDS, AuditConfig, build_rows, decide, derive_threats, prepare, score, threat
-from ..sources.writers import event_json, write_threats, write_transactions
+from ..sources.writers import event_json, rejected, write_threats, write_transactions
 from .admission import admit_stream, use_rocksdb
 
 
-def decided_stream(requests: DataFrame, keys: DataFrame, config: AuditConfig) -> DataFrame:
-    """Every valid request of the stream, decided: same columns as the batch pipeline's `decided`."""
+def decided_stream(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses: DataFrame | None = None) -> DataFrame:
+    """Every valid request of the stream, decided: same columns as the batch pipeline's `decided`.
+
+    `responses`, a table of logged answers, is joined as it stands when a batch runs; what is answered later is
+    brought in by a batch audit of the same requests, which has the same ids.
+    """
     valid, _ = validate(requests, config.max_prompt_chars)
     rows = resolve_keys(score(prepare(valid, config), config), keys)
     rows = rows.withColumn("_ok", F.col("auth_reason").isNull())
     charged = admit_stream(rows, "key_hash", "ts", "request_id", "input_tokens", "key_limit", charge="_ok",
                            default_limit=config.default_limit, window_s=config.window_s).drop("_ok")
-    charged = charged.withColumns({c: F.lit(None).cast(t) for c, t in ANSWER_FIELDS.items()})
+    if responses is not None:
+        charged = attach_responses(charged, responses)
+    else:
+        charged = charged.withColumns({c: F.lit(None).cast(t) for c, t in ANSWER_FIELDS.items()})
     return threat(decide(charged))
 
 
 def write_batch(decided: DataFrame, batch_id: int, path: str) -> None:
     """Fan one micro-batch out to transactions, threat events and the JSON feed.
 
-    Each batch owns a folder per table and overwrites it, so a repeated batch leaves no duplicates.
+    Each batch owns a folder per day and table and overwrites it, so a repeated batch leaves no duplicates.
     """
     decided.persist()
     try:
         txns = build_rows(decided)
-        write_transactions(txns, f"{path}/transactions/batch_id={batch_id}", "overwrite")
-        write_threats(derive_threats(decided), f"{path}/threat_events/batch_id={batch_id}", "overwrite")
+        write_transactions(txns, f"{path}/transactions", "batch", batch_id)
+        write_threats(derive_threats(decided), f"{path}/threat_events", "batch", batch_id)
         event_json(txns).select("event").write.mode("overwrite").text(f"{path}/feed/batch_id={batch_id}")
     finally:
         decided.unpersist()
 
 
 def start_audit(requests: DataFrame, keys: DataFrame, config: AuditConfig, path: str, checkpoint: str,
-                trigger: dict | None = None) -> StreamingQuery:
+                trigger: dict | None = None, responses: DataFrame | None = None) -> StreamingQuery:
     """Run the pipeline on a request stream and keep the audit tables under `path`."""
     use_rocksdb(requests.sparkSession)
-    writer = decided_stream(requests, keys, config).writeStream.option("checkpointLocation", checkpoint)
+    writer = decided_stream(requests, keys, config, responses).writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).foreachBatch(
         lambda batch, batch_id: write_batch(batch, batch_id, path)).start()
 
 
+def start_rejected(requests: DataFrame, config: AuditConfig, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep what the stream's validation turns away: ids, times and errors."""
+    _, bad = validate(requests, config.max_prompt_chars)
+    return rejected(bad).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"processingTime": "10 seconds"})).start(path)
+
+
 def live_feed(txns: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Each new audit row once, as a JSON line."""
     events = event_json(txns).select(F.col("event").alias("value"))

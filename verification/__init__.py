@@ -5,5 +5,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for module in ("scalars", "personal_data", "injections", "reports", "decisions", "streams"):
+    for module in ("scalars", "personal_data", "injections", "reports", "decisions", "streams", "stores"):
         importlib.import_module(f".{module}", __name__)
