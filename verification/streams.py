@@ -10,8 +10,9 @@ from promptledger.functions import injection as inj, pii
 from promptledger.session import use_checkpoint_dir
 from promptledger.streaming import admission, live
 
-from .decisions import _HITS, sql_fold
+from .decisions import CONFIG, _HITS, _requests, key_dimension, sql_decided, sql_fold
 from .injections import HITS
+from .personal_data import _ALL, _expected
 from .registry import query
 from .reports import _PROJECTED
 from .views import VIEWS, WINDOW_S, table, view
@@ -63,6 +64,49 @@ def st2(spark, sf):
 
 
 
+def in_parts(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
+    """The rows as a stream of `n` files, one micro-batch each, cut at equal steps of `by` and written in that order."""
+    spark = rows.sparkSession
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    us = F.unix_micros(F.col(by).cast("timestamp"))
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    step = (high - low) // n + 1
+    for i in range(n):
+        rows.where((us >= low + i * step) & (us < low + (i + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("st1_stream_scrub", f"SELECT id, {_expected(*_ALL)} AS redacted_text FROM pii_notes_v")
+def st1_scrub(spark, sf):
+    """Notes over a stream of orders, redacted."""
+    notes = spark.sql("WITH orders AS (SELECT * FROM {orders})" + f", pii_notes_v AS ({VIEWS['pii_notes_v']}) SELECT * FROM pii_notes_v",
+                      orders=stream_of(spark, sf, "orders"))
+    return drained(pii.scrub(notes, "text").select("id", "pii.redacted_text"))
+
+
+@query("st2_stream_batches", "SELECT k, id, allowed, used FROM fold", *sql_fold(_HITS), recursive=True)
+def st2_batches(spark, sf):
+    """Admission over four micro-batches: windows live on in the state between them."""
+    admission.use_rocksdb(spark)
+    hits = in_parts(view(spark, sf, "quota_hits_v"), "ts", 4, "hits")
+    done = admission.admit_stream(hits, "k", "ts", "id", "cost", window_s=WINDOW_S)
+    return drained(done.select("k", "id", "quota.allowed", "quota.used"))
+
+
+@query("st6_fan_out", """
+SELECT request_id AS id, status, CASE WHEN status = 'allowed' THEN output_tokens ELSE 0 END::INTEGER AS output_tokens
+FROM decided JOIN responses_v USING (request_id)""", *sql_decided(), recursive=True)
+def st6(spark, sf):
+    """The whole audit on a stream, with logged answers, read back from its tables."""
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/audit-{uuid.uuid4().hex}"
+    requests = in_parts(_requests(spark, sf), "ts", 2, "requests")
+    live.start_audit(requests, key_dimension(spark, sf).checkpoint(), CONFIG, folder, f"{folder}/ck", {"availableNow": True},
+                     view(spark, sf, "responses_v")).awaitTermination()
+    return spark.read.parquet(f"{folder}/transactions").select("id", "status", "output_tokens")
+
+
 @query("st3_live_feed", f"SELECT transaction_id, timestamp, status, total_tokens::BIGINT AS total_tokens FROM ({_PROJECTED})")
 def st3(spark, sf):
     """The feed's JSON, parsed again."""
