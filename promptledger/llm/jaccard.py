@@ -7,8 +7,8 @@ used three times, from fine to coarse:
 
 1. Tiles. With shingles as the finest coordinates, ordered from rare to common groups, leave out the first quarter
    of a text: the coordinates left cannot sum up to the overlap a link needs. So linked texts share a tile, one of
-   their leading coordinates. Common passages come last in the order and make no tiles of texts that hold more.
-2. Points. Pairs of a tile are compared by 64 coarse coordinates; most fall under the bound.
+   their leading coordinates; in the first they share, the coordinates left bound the overlap by themselves. Common passages come last in the order and make no tiles of texts that hold more.
+2. Points. Pairs of a tile are compared by 64 coarse coordinates, long texts by more; most fall under the bound.
 3. Boxes. Where a tile holds many texts, they are cut into nodes with bounding boxes, the largest coordinates of a
    node's texts; nodes whose boxes stay under the bound are not opened.
 
@@ -31,10 +31,12 @@ from .shingles import shingle_set, signature
 
 #: Groups whose corpus counts order the coordinates, and in how many pieces those counts travel.
 GROUPS, PIECES = 1 << 20, 64
-#: Coordinates of a point.
-AXES = 64
+#: Coordinates of a point: the fewest, and the most, which very long texts have.
+AXES, MAX_AXES = 64, 1 << 16
 #: Texts of a node, and slots of the filter that picks texts for verification.
 NODE, SLOTS = 256, 1 << 24
+#: Texts of a node in which only the likeliest pairs are tried, and how many each text tries in the largest component.
+WIDE_NODE, PICKS = 4096, 3
 #: Owner of a set that only rows without an id have.
 NO_ID = -(2**63)
 
@@ -44,16 +46,36 @@ def _group(shingles: np.ndarray) -> np.ndarray:
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """The coarse coordinates, one byte each where they fit and four where not."""
-    counts = np.bincount((shingles & np.uint64(AXES - 1)).astype(np.int64), minlength=AXES)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    """The group counts of a text: `AXES` coordinates or, for long texts, half as many as its shingles and more.
+
+    One byte each where they fit and four where not. A coordinate of fewer axes is a sum of those of more.
+    """
+    axes = AXES
+    while axes < min(len(shingles) / 2, MAX_AXES):
+        axes *= 2
+    counts = np.bincount((shingles & np.uint64(axes - 1)).astype(np.int64), minlength=axes)
+    wide = bool(counts.max() > 255)
+    return bytes([wide]) + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def coordinates(p: bytes, axes: int | None = None) -> np.ndarray:
+    """The counts of a point, summed up to `axes` coordinates."""
+    counts = np.frombuffer(p, np.uint32 if p[0] else np.uint8, offset=1).astype(np.int32)
+    return counts if axes is None else counts.reshape(-1, axes).sum(axis=0)
 
 
 def unpacked(points: list[bytes]) -> np.ndarray:
-    """Points as rows of a matrix."""
-    if all(len(p) == AXES for p in points):
-        return np.frombuffer(b"".join(points), np.uint8).reshape(-1, AXES).astype(np.int32)
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == AXES else np.uint32).astype(np.int32) for p in points])
+    """Points as rows of a matrix of `AXES` columns."""
+    if all(len(p) == AXES + 1 for p in points):
+        return np.frombuffer(b"".join(points), np.uint8).reshape(-1, AXES + 1)[:, 1:].astype(np.int32)
+    return np.stack([coordinates(p, AXES) for p in points])
+
+
+def overlap_bound(p: bytes, q: bytes) -> int:
+    """The sum of the smaller coordinates, by the axes both points have: no less than the overlap."""
+    x, y = coordinates(p), coordinates(q)
+    axes = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, axes).sum(axis=0), y.reshape(-1, axes).sum(axis=0)).sum())
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -99,7 +121,7 @@ def _commonness(read: DataFrame) -> np.ndarray:
             yield row(now, total)
 
     def row(piece, total):
-        byte = np.minimum(255, np.floor(np.log2(np.maximum(total, 1)) * 6)).astype(np.uint8)
+        byte = np.minimum(127, np.floor(np.log2(np.maximum(total, 1)) * 3)).astype(np.uint8)
         return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([byte.tobytes()], pa.binary())],
                                           names=["piece", "byte"])
 
@@ -111,29 +133,40 @@ def _commonness(read: DataFrame) -> np.ndarray:
 
 
 def _leading(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The coordinates without which the rest cannot sum up to the overlap of a link: a quarter, rarest groups first."""
+    """The coordinates without which the rest cannot sum up to the overlap of a link: a quarter, rarest groups first.
+
+    They come in order, as numbers that sort the same way for all texts.
+    """
     keep = len(shingles) // 4 + 1
-    order = (common[_group(shingles)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
-    return shingles[np.argpartition(order, keep - 1)[:keep]] if keep < len(shingles) else shingles
+    order = ((common[_group(shingles)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))).view(np.int64)
+    return np.sort(np.partition(order, keep - 1)[:keep] if keep < len(order) else order)
 
 
 def _tiles(docs: DataFrame, common) -> DataFrame:
-    """(`tile`, `sig`) of the leading coordinates; a task passes each set on once, so copies do not pile up."""
+    """(`tile`, `sig`, `place`) of the leading coordinates; a task passes each set on once, so copies do not pile up.
+
+    `place` holds the size of the set and how many coordinates are left from this one on, 32 bits each.
+    """
     def run(batches):
         seen: set[int] = set()
         for (texts,) in rows_of(batches, "text"):
-            tiles, sigs = [], []
+            tiles, sigs, places = [], [], []
             for t in texts:
                 s = shingle_set(t)
                 if len(s) and (sig := signature(s)) not in seen:
                     seen.add(sig)
                     tiles.append(_leading(s, common.value))
                     sigs.append(np.full(len(tiles[-1]), sig, np.int64))
+                    places.append((len(s) << 32) + len(s) - np.arange(len(tiles[-1]), dtype=np.int64))
             if tiles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.concatenate(sigs))],
-                                                 names=["tile", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tiles, sigs, places)], names=["tile", "sig", "place"])
+
+    return text_rows(docs).mapInArrow(run, "tile bigint, sig bigint, place bigint")
+
 
-    return text_rows(docs).mapInArrow(run, "tile bigint, sig bigint")
+def _reach(n, left, n_other, left_other) -> np.ndarray:
+    """Whether two texts that have this tile, and no earlier one, in common can overlap enough."""
+    return 7 * np.minimum(left, left_other) >= 3 * (n + n_other)
 
 
 def _runs(batches: Iterator, key: int, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
@@ -162,8 +195,12 @@ _REMEMBER = 1 << 16
 
 
 def _shared(tiles: DataFrame) -> DataFrame:
-    """Rows (`tile`, `a`, `b`): a pair (tile null) of each text of a tile with its first, and the members (`b`
-    null) of tiles with three texts or more. Tiles with the same members are passed on once by a task."""
+    """Rows (`tile`, `a`, `b`): a pair (tile null) of each text of a tile with its first, and the members (`b` is
+    what they have left) of tiles with three texts or more.
+
+    A pair has to be tried in the first tile it shares only, and there the coordinates left bound its overlap.
+    Of tiles with the same members a task passes on the first, as in the others fewer are left.
+    """
     def run(batches):
         seen: set[tuple] = set()
 
@@ -171,14 +208,16 @@ def _shared(tiles: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                               names=["tile", "a", "b"])
 
-        for tile, sig in _runs(batches, 1, "tile", "sig"):
+        for tile, sig, place in _runs(batches, 1, "tile", "sig", "place"):
             new = np.concatenate([[True], (tile[1:] != tile[:-1]) | (sig[1:] != sig[:-1])])
-            tile, sig = tile[new], sig[new]  # copies read by different tasks
+            tile, sig, place = tile[new], sig[new], place[new]  # copies read by different tasks
+            n, left = place >> 32, place & 0xFFFFFFFF
             first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-            n = np.diff(np.concatenate([first, [len(tile)]]))
-            two = first[n == 2]
-            pair_a, pair_b, many_t, many_m = [sig[two]], [sig[two + 1]], [], []
-            for i, k in zip(first[n > 2].tolist(), n[n > 2].tolist()):
+            size = np.diff(np.concatenate([first, [len(tile)]]))
+            two = first[size == 2]
+            two = two[_reach(n[two], left[two], n[two + 1], left[two + 1])]
+            pair_a, pair_b, many_t, many_m, many_l = [sig[two]], [sig[two + 1]], [], [], []
+            for i, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
                 members = sig[i:i + k]
                 key = (k, int(np.bitwise_xor.reduce(members)), int(np.add.reduce(members)))
                 if key in seen:
@@ -186,16 +225,17 @@ def _shared(tiles: DataFrame) -> DataFrame:
                 if len(seen) >= _REMEMBER:
                     seen.clear()
                 seen.add(key)
-                pair_a.append(np.full(k - 1, members[0]))
-                pair_b.append(members[1:])
+                near = np.flatnonzero(_reach(n[i], left[i], n[i + 1:i + k], left[i + 1:i + k])) + 1
+                pair_a.append(np.full(len(near), members[0]))
+                pair_b.append(members[near])
                 many_t.append(tile[i:i + k])
                 many_m.append(members)
+                many_l.append(left[i:i + k])
             pairs = np.unique(np.column_stack([np.concatenate(pair_a), np.concatenate(pair_b)]), axis=0)
             if len(pairs):
                 yield out(np.array([None] * len(pairs)), pairs[:, 0], pairs[:, 1])
             if many_t:
-                m = np.concatenate(many_m)
-                yield out(np.concatenate(many_t), m, np.array([None] * len(m)))
+                yield out(*(np.concatenate(x) for x in (many_t, many_m, many_l)))
 
     return tiles.repartition("tile").sortWithinPartitions("tile", "sig").mapInArrow(run, "tile bigint, a bigint, b bigint")
 
@@ -211,9 +251,11 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                p, q = (unpacked(batch.column(n).to_pylist()) for n in ("p_a", "p_b"))
+                p, q = (batch.column(x).to_pylist() for x in ("p_a", "p_b"))
                 n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                may = 7 * np.minimum(p, q).sum(axis=1, dtype=np.int64) >= 3 * n
+                may = 7 * np.minimum(unpacked(p), unpacked(q)).sum(axis=1, dtype=np.int64) >= 3 * n
+                for i in np.flatnonzero(may).tolist():
+                    may[i] = 7 * overlap_bound(p[i], q[i]) >= 3 * n[i]
                 yield batch.select(kept).filter(pa.array(may))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(F.least("n_a", "n_b")))
@@ -267,30 +309,32 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.where(_may_link(F.size(F.array_intersect("s_a", "s_b")))).select("a", "b"))
 
 
-def _across(members: DataFrame, label: DataFrame, points: DataFrame) -> DataFrame:
+def _across(members: DataFrame, label: DataFrame, points: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs of a tile's texts that are not connected yet and pass the bound.
 
     A tile's texts are cut into nodes by hash; every two nodes of a tile meet in a cell of their own, which is
-    opened only if the nodes' boxes pass.
+    opened only if the nodes' boxes pass. With `likeliest` a text is only paired, within its own and larger node,
+    with its best partner and the best few in the node's largest component: enough to join families that the first
+    links left in parts, before all pairs are listed.
     """
     rows = members.join(label.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    split = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / NODE).cast("int").alias("nodes"))
+    split = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / (WIDE_NODE if likeliest else NODE)).cast("int").alias("nodes"))
     rows = rows.join(split.where("lo < hi").select("tile", "nodes"), "tile").join(points.select("sig", "n", "point"), "sig")
     rows = rows.withColumn("node", F.pmod(F.xxhash64("sig"), "nodes").cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1))).select(
-        "tile", F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j"), "node", "sig", "label", "n", "point")
+    others = F.array("node") if likeliest else F.sequence(F.lit(0), F.col("nodes") - 1)
+    cells = rows.withColumn("other", F.explode(others)).select(
+        "tile", F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j"), "node", "sig", "label", "n", "left", "point")
 
     def run(batches):
-        names = ("tile", "i", "j", "node", "sig", "label", "n", "point")
-        for tile, i, j, node, sig, label, n, points in _runs(batches, 3, *names):
+        names = ("tile", "i", "j", "node", "sig", "label", "n", "left", "point")
+        for tile, i, j, node, sig, label, n, rest, points in _runs(batches, 3, *names):
             new = np.concatenate([[True], (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             ends = np.concatenate([np.flatnonzero(new), [len(tile)]])
-            p = unpacked(list(points))
+            cells = _Cells(sig, label, n, rest, list(points))
             got = []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                left = np.flatnonzero(node[a:b] == i[a]) + a
-                right = left if i[a] == j[a] else np.flatnonzero(node[a:b] == j[a]) + a
-                got += _opened(left, right, sig, label, n, p)
+                one = np.flatnonzero(node[a:b] == i[a]) + a
+                got += cells.likeliest(one) if likeliest else cells.opened(one, one if i[a] == j[a] else np.flatnonzero(node[a:b] == j[a]) + a)
             if got:
                 pairs = np.unique(np.concatenate(got), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -299,18 +343,58 @@ def _across(members: DataFrame, label: DataFrame, points: DataFrame) -> DataFram
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def _opened(left, right, sig, label, n, p) -> list[np.ndarray]:
-    """Unconnected pairs of two nodes that pass the bound, one row of the left node at a time."""
-    if not len(left) or not len(right):
-        return []
-    box, least = p[right].max(axis=0), n[right].min()
-    out = []
-    for x in left[7 * np.minimum(p[left], box).sum(axis=1) >= 3 * (n[left] + least)].tolist():
-        y = right[(label[right] != label[x]) & ((sig[right] > sig[x]) if left is right else (sig[right] != sig[x]))]
-        y = y[7 * np.minimum(p[y], p[x]).sum(axis=1) >= 3 * (n[y] + n[x])]
-        if len(y):
-            out.append(np.sort(np.column_stack([np.full(len(y), sig[x]), sig[y]]), axis=1))
-    return out
+class _Cells:
+    """Rows of some cells, and the pairs of two nodes that pass every bound."""
+
+    def __init__(self, sig, label, n, left, points: list[bytes]):
+        self.sig, self.label, self.n, self.left, self.points = sig, label, n, left, points
+        self.coarse = unpacked(points)
+        self.tried: set[tuple] = set()
+
+    def _partners(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the rows `y` that may link with row `x`, and their bound over the summed sizes."""
+        y = y[_reach(self.n[x], self.left[x], self.n[y], self.left[y])]
+        bound = 7 * np.minimum(self.coarse[y], self.coarse[x]).sum(axis=1) / (self.n[y] + self.n[x])
+        return y[bound >= 3], bound[bound >= 3]
+
+    def _pairs(self, x: int, y) -> np.ndarray:
+        return np.sort([[self.sig[x], self.sig[k]] for k in y], axis=1)
+
+    def opened(self, one: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+        """All pairs between two nodes, or within one."""
+        if not len(one) or not len(other):
+            return []
+        sig, label, n, p = self.sig, self.label, self.n, self.coarse
+        box, least = p[other].max(axis=0), n[other].min()
+        out = []
+        for x in one[7 * np.minimum(p[one], box).sum(axis=1) >= 3 * (n[one] + least)].tolist():
+            y = other[(label[other] != label[x]) & ((sig[other] > sig[x]) if one is other else (sig[other] != sig[x]))]
+            fine = [k for k in self._partners(x, y)[0].tolist() if self._passes(x, k)]
+            if fine:
+                out.append(self._pairs(x, fine))
+        return out
+
+    def likeliest(self, node: np.ndarray) -> list[np.ndarray]:
+        """A few pairs for each row outside the node's largest component."""
+        labels, size = np.unique(self.label[node], return_counts=True)
+        largest = labels[np.argmax(size)]
+        out = []
+        for x in node[self.label[node] != largest].tolist():
+            y, bound = self._partners(x, node[self.label[node] != self.label[x]])
+            y = y[np.argsort(-bound, kind="stable")]
+            picked = dict.fromkeys(y[:1].tolist() + y[self.label[y] == largest][:PICKS].tolist())
+            fine = [k for k in picked if self._passes(x, k)]
+            if fine:
+                out.append(self._pairs(x, fine))
+        return out
+
+    def _passes(self, x: int, y: int) -> bool:
+        """The bound by all axes; a pair that several tiles share is tried once."""
+        pair = (min(self.sig[x], self.sig[y]), max(self.sig[x], self.sig[y]))
+        if pair in self.tried:
+            return False
+        self.tried.add(pair)
+        return 7 * overlap_bound(self.points[x], self.points[y]) >= 3 * (self.n[x] + self.n[y])
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -322,25 +406,28 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows and equal texts link. A null id takes part, but names no component: it is null unless other ids are
     in it. An empty table gives an empty result.
 
-    All links matter only up to connection: in every tile each text is first paired with the tile's first; then
-    all pairs of a tile that these links do not connect are tried. No link is lost and a family of n near copies
-    costs about n pairs. Runs jobs when called; results between them are checkpointed.
+    All links matter only up to connection: in every tile each text is first paired with the tile's first, then the
+    likeliest ones of the texts still apart, then all pairs of a tile that these links do not connect. No link is lost and a family of n near copies costs about n pairs. Runs jobs when called; results between them are checkpointed.
     """
     read = checkpointed(_read(docs))
     texts = read.where("piece is null").select("doc_id", "n", "sig")
-    points = read.where("piece is null and sig is not null").groupBy("sig").agg(
-        F.first("n").alias("n"), F.first("point").alias("point"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"))
     common = docs.sparkSession.sparkContext.broadcast(_commonness(read))
-
     shared = checkpointed(_shared(_tiles(docs, common)))
+    # Only texts that share a tile go on.
+    tiled = shared.select(F.explode(F.when(F.col("tile").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("sig")).distinct()
+    points = checkpointed(read.where("piece is null and sig is not null").join(tiled, "sig", "left_semi").groupBy("sig").agg(
+        F.first("n").alias("n"), F.first("point").alias("point"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner")))
     first = checkpointed(_bounded(shared.where("tile is null").select("a", "b").distinct(), points))
     links = _verified(docs, first)
     label = components(links)
-    members = shared.where("tile is not null").select("tile", F.col("a").alias("sig"))
-    rest = _across(members, label, points).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = checkpointed(_bounded(rest, points))
-    if not rest.isEmpty():
-        label = components(links.union(_verified(docs, rest)))
+    members = shared.where("tile is not null").select("tile", F.col("a").alias("sig"), F.col("b").alias("left"))
+    tried = first.select("a", "b")
+    for likeliest in (True, False):
+        rest = _across(members, label, points, likeliest).distinct().join(tried, ["a", "b"], "left_anti")
+        rest = checkpointed(_bounded(rest, points))
+        if not rest.isEmpty():
+            links, tried = links.union(_verified(docs, rest)), tried.union(rest.select("a", "b"))
+            label = components(links)
 
     label = label.select(F.col("v").alias("sig"), "label")
     placed = texts.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
