@@ -33,6 +33,8 @@ from .shingles import shingle_set, signature
 GROUPS, PIECES = 1 << 20, 64
 #: Coordinates of a point: the fewest, and the most, which very long texts have.
 AXES, MAX_AXES = 64, 1 << 16
+#: The most in the cells of a tile, where a text's point is repeated for every tile it is in.
+CELL_AXES = 256
 #: Texts of a node, and slots of the filter that picks texts for verification.
 NODE, SLOTS = 256, 1 << 24
 #: Texts of a node in which only the likeliest pairs are tried, and how many each text tries in the largest component.
@@ -45,13 +47,13 @@ def _group(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-def point(shingles: np.ndarray) -> bytes:
+def point(shingles: np.ndarray, most: int = MAX_AXES) -> bytes:
     """The group counts of a text: `AXES` coordinates or, for long texts, half as many as its shingles and more.
 
     One byte each where they fit and four where not. A coordinate of fewer axes is a sum of those of more.
     """
     axes = AXES
-    while axes < min(len(shingles) / 2, MAX_AXES):
+    while axes < min(len(shingles) / 2, most):
         axes *= 2
     counts = np.bincount((shingles & np.uint64(axes - 1)).astype(np.int64), minlength=axes)
     wide = bool(counts.max() > 255)
@@ -79,7 +81,7 @@ def overlap_bound(p: bytes, q: bytes) -> int:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """One row per text (`doc_id`, `n`, `sig`, `point`) and, with `piece` set, the group counts of each task."""
+    """One row per text (`doc_id`, `n`, `sig`, its `point` and a `rough` one for cells) and, with `piece` set, the group counts of each task."""
     def run(batches):
         counts, held, size = np.zeros(GROUPS, np.int64), [], 0
         for ids, texts in rows_of(batches, "doc_id", "text"):
@@ -90,20 +92,20 @@ def _read(docs: DataFrame) -> DataFrame:
                 counts += np.bincount(np.concatenate(held), minlength=GROUPS)
                 held, size = [], 0
             yield rows([None] * len(ids), ids, [len(s) for s in sets], [signature(s) if len(s) else None for s in sets],
-                       [point(s) if len(s) else None for s in sets])
+                       [point(s) if len(s) else None for s in sets], [point(s, CELL_AXES) if len(s) else None for s in sets])
         if held:
             counts += np.bincount(np.concatenate(held), minlength=GROUPS)
         parts = counts.reshape(PIECES, -1)
         used = [p for p in range(PIECES) if parts[p].any()]
         yield rows(used, [None] * len(used), [None] * len(used), [None] * len(used),
-                   [zlib.compress(parts[p].astype(np.int64).tobytes(), 1) for p in used])
+                   [zlib.compress(parts[p].astype(np.int64).tobytes(), 1) for p in used], [None] * len(used))
 
     def rows(*columns):
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                          names=["piece", "doc_id", "n", "sig", "point"])
+                                          names=["piece", "doc_id", "n", "sig", "point", "rough"])
 
-    return text_rows(docs).mapInArrow(run, "piece int, doc_id bigint, n bigint, sig bigint, point binary")
+    return text_rows(docs).mapInArrow(run, "piece int, doc_id bigint, n bigint, sig bigint, point binary, rough binary")
 
 
 def _commonness(read: DataFrame) -> np.ndarray:
@@ -319,7 +321,7 @@ def _across(members: DataFrame, label: DataFrame, points: DataFrame, likeliest:
     """
     rows = members.join(label.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     split = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / (WIDE_NODE if likeliest else NODE)).cast("int").alias("nodes"))
-    rows = rows.join(split.where("lo < hi").select("tile", "nodes"), "tile").join(points.select("sig", "n", "point"), "sig")
+    rows = rows.join(split.where("lo < hi").select("tile", "nodes"), "tile").join(points.select("sig", "n", F.col("rough").alias("point")), "sig")
     rows = rows.withColumn("node", F.pmod(F.xxhash64("sig"), "nodes").cast("int"))
     others = F.array("node") if likeliest else F.sequence(F.lit(0), F.col("nodes") - 1)
     cells = rows.withColumn("other", F.explode(others)).select(
@@ -389,7 +391,7 @@ class _Cells:
         return out
 
     def _passes(self, x: int, y: int) -> bool:
-        """The bound by all axes; a pair that several tiles share is tried once."""
+        """The bound by the cells' axes; a pair that several tiles share is tried once."""
         pair = (min(self.sig[x], self.sig[y]), max(self.sig[x], self.sig[y]))
         if pair in self.tried:
             return False
@@ -416,7 +418,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # Only texts that share a tile go on.
     tiled = shared.select(F.explode(F.when(F.col("tile").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("sig")).distinct()
     points = checkpointed(read.where("piece is null and sig is not null").join(tiled, "sig", "left_semi").groupBy("sig").agg(
-        F.first("n").alias("n"), F.first("point").alias("point"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner")))
+        F.first("n").alias("n"), F.first("point").alias("point"), F.first("rough").alias("rough"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner")))
     first = checkpointed(_bounded(shared.where("tile is null").select("a", "b").distinct(), points))
     links = _verified(docs, first)
     label = components(links)
