@@ -10,7 +10,7 @@ PROJECTIONS = 128
 #: A vector is verified once it lies in the query's window of so many projections.
 COLLISIONS = 64
 #: Windows stop growing when so many vectors of a chunk, and this share of it, are to be verified.
-CANDIDATES, SHARE = 256, 0.08
+CANDIDATES, SHARE = 512, 0.12
 #: Share of a chunk in the first windows, and how they widen.
 FIRST, GROWTH = 0.2, 1.15
 CHUNK_ROWS, QUERY_ROWS = 8192, 2048
