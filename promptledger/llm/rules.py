@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +15,8 @@ SMOOTHING = 1.0
 THRESHOLD = -0.25
 
 _WINDOW = 3
+#: Slots of the bit field that marks the trusted ids.
+SLOTS = 1 << 24
 
 
 def _repeat_words(w: Column) -> Column:
@@ -77,28 +81,46 @@ def _scored(docs: DataFrame, ratios: Column | None, buckets: int) -> DataFrame:
         F.inline(let(words(t), per_text)))
 
 
-def ngram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """log(P_trusted / P_raw) of every bucket: (`bucket`, `ratio`), always `buckets` rows.
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`doc_id` and text of the rows whose `doc_id` is among `ids`.
 
-    Both multinomials are counted over whole texts of all rows, with additive smoothing. `trusted` holds the
-    `doc_id`s of the trusted target; without any, both are alike and every ratio is 0.
+    A bit field of fixed size lets most other rows end where they are read; the join by id decides. It is always a
+    join by sorting, so what it moves grows with the marked texts at every size.
     """
-    marks = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("_good", F.lit(1))
-    rows = text_rows(docs).join(marks, "doc_id", "left").select(F.col("_good").isNotNull().alias("good"), "text")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    ids = ids.select("doc_id").where("doc_id is not null").distinct()
+    # At most SLOTS / 64 rows of 12 bytes.
+    field = ids.select((slot / 64).cast("int").alias("_w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("_b")).groupBy(
+        "_w").agg(F.bit_or("_b").alias("_bits"))
+    rows = text_rows(docs).withColumn("_w", (slot / 64).cast("int")).join(F.broadcast(field), "_w")
+    rows = rows.where(F.getbit("_bits", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")) == 1)
+    # No semi-join: Spark would move it ahead of the bit field.
+    return rows.select("doc_id", "text").join(ids.hint("merge"), "doc_id")
+
+
+def _bucket_counts(rows: DataFrame, buckets: int) -> dict[int, int]:
+    """Count of every bucket met in the texts; `buckets` rows at most."""
     grams = let(words(F.col("text")), lambda w: let(_shapes(F.col("text")), lambda s: _ngrams(w, s, buckets))[0])[0]
-    counts = rows.select("good", F.explode(grams).alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.count_if("good").alias("good"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counts, "bucket", "left").fillna(0, ["raw", "good"])
-    sums = full.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    raw_sum, good_sum = sums.select("raw").scalar(), sums.select("good").scalar()
-    space = smoothing * buckets
+    counts = rows.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return {r["bucket"]: r["n"] for r in counts.collect()}
+
+
+def ngram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+    """log(P_trusted / P_raw) of every bucket.
+
+    Both multinomials are counted over whole texts of all rows. The raw one is smoothed evenly, the trusted one
+    towards the raw one with a mass of `smoothing` per bucket, so that little evidence gives ratios near 0.
+    `trusted` holds the `doc_id`s of the trusted target; without any, every ratio is 0.
+    """
+    raw, good = _bucket_counts(text_rows(docs), buckets), _bucket_counts(_marked(docs, trusted), buckets)
+    mass = smoothing * buckets
+    raw_total, good_total = sum(raw.values()) + mass, sum(good.values()) + mass
 
-    def share(n: str, total: Column) -> Column:
-        return (F.col(n) + smoothing) / (total + space)
+    def ratio(bucket: int) -> float:
+        share = (raw.get(bucket, 0) + smoothing) / raw_total
+        return math.log((good.get(bucket, 0) + mass * share) / good_total / share)
 
-    ratio = F.when(good_sum > 0, F.log(share("good", good_sum) / share("raw", raw_sum))).otherwise(F.lit(0.0))
-    return full.select("bucket", ratio.alias("ratio"))
+    return [ratio(b) if good else 0.0 for b in range(buckets)]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD,
@@ -113,10 +135,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS
     and null ids are judged row by row. An empty table gives an empty result.
 
     Scale: the counts are summed in the map tasks, so `buckets` rows leave each; the ratios are a literal
-    of that fixed size, and the scoring pass shuffles nothing.
+    of that fixed size, and the scoring pass shuffles nothing. Only trusted texts move, once, to meet their ids.
     """
-    model = ngram_ratios(docs, trusted, buckets, smoothing).orderBy("bucket").collect()  # `buckets` numbers
-    scored = _scored(docs, F.lit(np.array([r["ratio"] for r in model])), buckets)
+    scored = _scored(docs, F.lit(np.array(ngram_ratios(docs, trusted, buckets, smoothing))), buckets)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          failed.alias("base_failed"), (~failed & (F.col("log_ratio") >= threshold)).alias("kept"),
