@@ -11,6 +11,10 @@ from promptledger.llm.queries import SHARES
 from promptledger.session import use_checkpoint_dir
 
 
+#: Characters in a block of the mixture, the same where it is stored and where bins follow it.
+BLOCK_CHARS = mixing.BLOCK_CHARS
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,14 +32,18 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    placed = mixing.mix(docs, SHARES)
+    placed = mixing.mix(docs, SHARES, block_chars=BLOCK_CHARS)
     order = ["mix_slot", "mix_lane", "mix_at", "doc_id"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack(docs)
+    """Where each piece of each document goes; bins follow the mixture, a window of slots each.
+
+    Files that are reread have no order and a stage keeps the columns, so the slots are computed again: they
+    depend on nothing but the rows.
+    """
+    return packing.pack(mixing.mix(docs, SHARES, block_chars=BLOCK_CHARS), slot="mix_slot")
 
 
 STAGES = [

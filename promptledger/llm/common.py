@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def text_rows(docs: DataFrame, *others: str) -> DataFrame:
+def text_rows(docs: DataFrame, *others: str | Column) -> DataFrame:
     """`doc_id`, the named columns and `text` (null: empty); other columns of the table, whatever their names, are left out."""
     return docs.select("doc_id", *others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

@@ -13,6 +13,7 @@ from .common import SPACE, text_rows
 CAPACITY = 4096
 SHARD_ROWS = 8192
 PER_SOURCE = 4
+WINDOW_SLOTS = 16
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -59,7 +60,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
 _PLACED = "doc_id bigint, piece int, first_word bigint, n_words bigint, bin string, bin_offset bigint"
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS,
+         slot: str | None = None, window_slots: int = WINDOW_SLOTS) -> DataFrame:
     """Where each text goes: `doc_id`, `piece`, `first_word`, `n_words`, `bin`, `bin_offset`.
 
     A text takes its words and one end mark. Texts longer than `capacity` are cut into full pieces, a bin each,
@@ -68,28 +70,43 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     is a source, repeated rows are copies of each other and go to different bins; an empty table gives an empty
     result. Pieces of a text keep their order in `piece`; the end mark belongs to the last.
 
+    `slot` names a column of slots of a mixture (`mixing.mix`). Then no bin holds texts of different windows of
+    `window_slots` slots, and two columns are added: the text's `slot`, and `bin_slot`, the first slot of the bin's
+    window. Bins read by `bin_slot` have, up to each window's border, the shares that the texts' slots have there.
+    A null slot counts as 0.
+
     Scale: rows are dealt by hash to shards of about `shard_rows`, which are packed by themselves; only ids,
     sizes and hashes move. A shard wastes a few half-empty bins in thousands, and copies of one text are spread
-    over all shards.
+    over all shards. With slots each window has its own shards; the windows are counted in the map tasks.
     """
-    rows = text_rows(docs, "source")
+    at = F.lit(0) if slot is None else F.coalesce(F.col(f"`{slot}`"), F.lit(0))
+    rows = text_rows(docs, "source", at.cast("long").alias("slot"))
     sized = rows.select(
         "doc_id", F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("source"),
-        F.xxhash64(F.lower("text")).alias("cluster"), (F.regexp_count("text", F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long").alias("size"))
-    shards = docs.agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.lit(1))).scalar()
+        F.xxhash64(F.lower("text")).alias("cluster"), (F.regexp_count("text", F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long").alias("size"),
+        "slot", F.floor(F.col("slot") / window_slots).alias("window"))
+    if slot is None:
+        shards = docs.agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.lit(1))).scalar()
+    else:
+        sized = sized.join(sized.groupBy("window").agg(F.ceil(F.count("*") / shard_rows).alias("shards")), "window")
+        shards = F.col("shards")
     shard = F.pmod(F.xxhash64("doc_id", "cluster"), shards).cast("long")
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "size", "source", "cluster"], kind="stable", na_position="first")
-        ids, sizes = pdf["doc_id"].tolist(), pdf["size"].tolist()
+        pdf = pdf.sort_values(["doc_id", "size", "source", "cluster", "slot"], kind="stable", na_position="first")
+        ids, sizes, slots = pdf["doc_id"].tolist(), pdf["size"].tolist(), pdf["slot"].tolist()
+        name = str(key[1]) if slot is None else f"{key[0]}.{key[1]}"
         rest = [(size - 1) % capacity + 1 for size in sizes]
         placed = best_fit(list(zip(rest, pdf["source"].tolist(), pdf["cluster"].tolist())), capacity, per_source)
         out = []
         for i, (doc, size) in enumerate(zip(ids, sizes)):
             full = (size - rest[i]) // capacity
-            out += [(doc, k, k * capacity, capacity, f"{key[0]}-{i}-{k}", 0) for k in range(full)]
-            out.append((doc, full, full * capacity, rest[i] - 1, f"{key[0]}-{placed[i][0]}", placed[i][1]))
-        frame = pd.DataFrame(out, columns=["doc_id", "piece", "first_word", "n_words", "bin", "bin_offset"])
-        return frame.astype({"doc_id": "Int64"})
-
-    return sized.withColumn("shard", shard).groupBy("shard").applyInPandas(run, _PLACED)
+            of = (slots[i], key[0] * window_slots)
+            out += [(doc, k, k * capacity, capacity, f"{name}-{i}-{k}", 0, *of) for k in range(full)]
+            out.append((doc, full, full * capacity, rest[i] - 1, f"{name}-{placed[i][0]}", placed[i][1], *of))
+        frame = pd.DataFrame(out, columns=["doc_id", "piece", "first_word", "n_words", "bin", "bin_offset", "slot", "bin_slot"])
+        return frame.astype({"doc_id": "Int64"})[names]
+
+    schema = _PLACED if slot is None else f"{_PLACED}, slot bigint, bin_slot bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return sized.withColumn("shard", shard).groupBy("window", "shard").applyInPandas(run, schema)

@@ -301,6 +301,35 @@ def test_every_word_is_packed_once(spark):
 
 
 # ---------------------------------------------------------------- pipeline and registered queries
+def test_bins_follow_the_target_shares(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_CHARS", 2000)
+    rows = [(i, "word " * (10 + i % 7 * 6), f"src{i % 8}" if i % 3 else "src0") for i in range(12_000)]
+    docs = {i: (len(t), s if s in queries.SHARES else "*") for i, t, s in rows}
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["packing"](spark, stages["mixing"](spark, documents(spark, rows), ""), "").collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == sorted(docs) and len({r.bin_slot for r in got}) > 5
+    assert all(len(b) == 1 for b in _by(got, "bin", "bin_slot").values()) and all(0 <= r.slot - r.bin_slot < packing.WINDOW_SLOTS for r in got)
+    chars, total, checked = Counter(), sum(queries.SHARES.values()), 0
+    whole = Counter()
+    for n, s in docs.values():
+        whole[s] += n
+    for slot, ids in sorted(_by(got, "bin_slot", "doc_id").items()):
+        for i in ids:
+            chars[docs[i][1]] += docs[i][0]
+        for lane, share in queries.SHARES.items():
+            if chars[lane] < whole[lane]:  # a lane that is not used up
+                assert abs(chars[lane] - share / total * (slot + packing.WINDOW_SLOTS) * 2000) < 2000 + 230
+                checked += 1
+    assert checked > 30
+
+
+def _by(rows, key, value):
+    out = defaultdict(set)
+    for r in rows:
+        out[r[key]].add(r[value])
+    return out
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import shutil
 
