@@ -80,32 +80,37 @@ def overlap_bound(p: bytes, q: bytes) -> int:
     return int(np.minimum(x.reshape(-1, axes).sum(axis=0), y.reshape(-1, axes).sum(axis=0)).sum())
 
 
+def _hash() -> Column:
+    """A hash of a row's text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _read(docs: DataFrame) -> DataFrame:
-    """One row per text (`doc_id`, `n`, `sig`, its `point` and a `rough` one for cells) and, with `piece` set, the group counts of each task."""
+    """One row per text (`doc_id`, its `hash`, `n`, `sig`, its `point` and a `rough` one for cells) and, with `piece` set, the group counts of each task."""
     def run(batches):
         counts, held, size = np.zeros(GROUPS, np.int64), [], 0
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for ids, texts, hashes in rows_of(batches, "doc_id", "text", "hash"):
             sets = [shingle_set(t) for t in texts]
             held += [_group(s) for s in sets]
             size += sum(map(len, sets))
             if size > GROUPS:
                 counts += np.bincount(np.concatenate(held), minlength=GROUPS)
                 held, size = [], 0
-            yield rows([None] * len(ids), ids, [len(s) for s in sets], [signature(s) if len(s) else None for s in sets],
+            yield rows([None] * len(ids), ids, hashes, [len(s) for s in sets], [signature(s) if len(s) else None for s in sets],
                        [point(s) if len(s) else None for s in sets], [point(s, CELL_AXES) if len(s) else None for s in sets])
         if held:
             counts += np.bincount(np.concatenate(held), minlength=GROUPS)
         parts = counts.reshape(PIECES, -1)
         used = [p for p in range(PIECES) if parts[p].any()]
-        yield rows(used, [None] * len(used), [None] * len(used), [None] * len(used),
+        yield rows(used, [None] * len(used), [None] * len(used), [None] * len(used), [None] * len(used),
                    [zlib.compress(parts[p].astype(np.int64).tobytes(), 1) for p in used], [None] * len(used))
 
     def rows(*columns):
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                          names=["piece", "doc_id", "n", "sig", "point", "rough"])
+                                          names=["piece", "doc_id", "hash", "n", "sig", "point", "rough"])
 
-    return text_rows(docs).mapInArrow(run, "piece int, doc_id bigint, n bigint, sig bigint, point binary, rough binary")
+    return text_rows(docs, _hash().alias("hash")).mapInArrow(run, "piece int, doc_id bigint, hash bigint, n bigint, sig bigint, point binary, rough binary")
 
 
 def _commonness(read: DataFrame) -> np.ndarray:
@@ -399,20 +404,10 @@ class _Cells:
         return 7 * overlap_bound(self.points[x], self.points[y]) >= 3 * (self.n[x] + self.n[y])
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: `doc_id`, `n_shingles`, `component_id`.
-
-    Two texts link when their sets of distinct 5-word shingles have an intersection of at least 3/4 of their
-    union; `component_id` is the smallest id reachable by links. Words are lower-cased (A-Z) and end at white
-    space; a shorter text is one shingle, a null or empty one has no shingles and links with nothing. Repeated
-    rows and equal texts link. A null id takes part, but names no component: it is null unless other ids are
-    in it. An empty table gives an empty result.
-
-    All links matter only up to connection: in every tile each text is first paired with the tile's first, then the
-    likeliest ones of the texts still apart, then all pairs of a tile that these links do not connect. No link is lost and a family of n near copies costs about n pairs. Runs jobs when called; results between them are checkpointed.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs`: `doc_id`, its `hash`, `n`, `sig` and the `label` of its component (null: no words)."""
     read = checkpointed(_read(docs))
-    texts = read.where("piece is null").select("doc_id", "n", "sig")
+    texts = read.where("piece is null").select("doc_id", "hash", "n", "sig")
     common = docs.sparkSession.sparkContext.broadcast(_commonness(read))
     shared = checkpointed(_shared(_tiles(docs, common)))
     # Only texts that share a tile go on.
@@ -432,7 +427,22 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             label = components(links)
 
     label = label.select(F.col("v").alias("sig"), "label")
-    placed = texts.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return texts.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs`: `doc_id`, `n_shingles`, `component_id`.
+
+    Two texts link when their sets of distinct 5-word shingles have an intersection of at least 3/4 of their
+    union; `component_id` is the smallest id reachable by links. Words are lower-cased (A-Z) and end at white
+    space; a shorter text is one shingle, a null or empty one has no shingles and links with nothing. Repeated
+    rows and equal texts link. A null id takes part, but names no component: it is null unless other ids are
+    in it. An empty table gives an empty result.
+
+    All links matter only up to connection: in every tile each text is first paired with the tile's first, then the
+    likeliest ones of the texts still apart, then all pairs of a tile that these links do not connect. No link is lost and a family of n near copies costs about n pairs. Runs jobs when called; results between them are checkpointed.
+    """
+    placed = _placed(docs)
     smallest = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -441,10 +451,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group of linked texts: that of the smallest id, with all its columns.
 
-    Texts without words stay, as they link with nothing. Rows that repeat an id are one document, of which one
-    row stays; rows without an id cannot be told apart and stay.
+    Rows are judged by id and text: different texts under one id are different documents, each in its own group.
+    Of the texts of the smallest id in a group that with the smallest signature stays, and of rows with equal id
+    and text the smallest by its other columns (maps aside). Texts without words link with nothing; one stays per
+    id. Rows without an id cannot be told apart and stay.
     """
-    groups = similar_groups(docs)
-    stay = checkpointed(groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct())
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    placed = _placed(docs).where("doc_id is not null")
+    least = F.min(F.struct("doc_id", "sig", "hash")).alias("least")
+    worded = placed.where("label is not null").groupBy("label").agg(least)
+    empty = placed.where("label is null").groupBy("doc_id").agg(least)
+    stay = checkpointed(worded.select("least.doc_id", "least.hash").union(empty.select("least.doc_id", "least.hash")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _hash().alias("hash"))
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    order = F.struct(F.col("row").getField("text").isNull(), *[F.col("row").getField(c) for c in others])
+    kept = rows.where("doc_id is not null").join(stay, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min_by("row", order).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

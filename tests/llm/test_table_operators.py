@@ -105,6 +105,15 @@ def test_groups_take_awkward_rows(spark):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, None: 2}
 
 
+def test_texts_under_one_id_are_judged_one_by_one(spark):
+    alone = " ".join(f"alone{i}" for i in range(30))
+    rows = [(2, PROSE, "b"), (5, alone, "z"), (5, PROSE, "y"), (5, alone.upper(), "x"), (2, PROSE, "a"), (6, "", "q"), (6, None, "p"), (6, PROSE + " today", "c")]
+    for seed in range(3):
+        docs = documents(spark, [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]).repartition(4)
+        kept = sorted((r.doc_id, (r.text or "").lower(), r.source) for r in jaccard.first_of_each(docs).collect())
+        assert [x[:2] for x in kept] == [(2, PROSE.lower()), (5, alone), (6, "")] and kept[0][2] == "a"
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.v: r.label for r in components.components(links).collect()}
