@@ -43,7 +43,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Files that are reread have no order and a stage keeps the columns, so the slots are computed again: they
     depend on nothing but the rows.
     """
-    return packing.pack(mixing.mix(docs, SHARES, block_chars=BLOCK_CHARS), slot="mix_slot")
+    placed = mixing.mix(packing.measured(docs), SHARES, block_chars=BLOCK_CHARS)
+    return packing.pack(placed.drop("text"), slot="mix_slot")
 
 
 STAGES = [

@@ -8,7 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, text_rows
+from .common import SPACE
 
 CAPACITY = 4096
 SHARD_ROWS = 8192
@@ -60,6 +60,13 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
 _PLACED = "doc_id bigint, piece int, first_word bigint, n_words bigint, bin string, bin_offset bigint"
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """`docs` with what packing needs of a text, `pack_size` and `pack_cluster`, so that later steps can leave the text behind."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = (F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long")
+    return docs.withColumns({"pack_size": size, "pack_cluster": F.xxhash64(F.lower(text))})
+
+
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS,
          slot: str | None = None, window_slots: int = WINDOW_SLOTS) -> DataFrame:
     """Where each text goes: `doc_id`, `piece`, `first_word`, `n_words`, `bin`, `bin_offset`.
@@ -73,18 +80,19 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     `slot` names a column of slots of a mixture (`mixing.mix`). Then no bin holds texts of different windows of
     `window_slots` slots, and two columns are added: the text's `slot`, and `bin_slot`, the first slot of the bin's
     window. Bins read by `bin_slot` have, up to each window's border, the shares that the texts' slots have there.
-    A null slot counts as 0.
+    A null slot counts as 0. `docs` that are `measured` already need no text.
 
     Scale: rows are dealt by hash to shards of about `shard_rows`, which are packed by themselves; only ids,
     sizes and hashes move. A shard wastes a few half-empty bins in thousands, and copies of one text are spread
     over all shards. With slots each window has its own shards; the windows are counted in the map tasks.
     """
     at = F.lit(0) if slot is None else F.coalesce(F.col(f"`{slot}`"), F.lit(0))
-    rows = text_rows(docs, "source", at.cast("long").alias("slot"))
-    sized = rows.select(
+    if not {"pack_size", "pack_cluster"} <= set(docs.columns):
+        docs = measured(docs)
+    sized = docs.select(
         "doc_id", F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("source"),
-        F.xxhash64(F.lower("text")).alias("cluster"), (F.regexp_count("text", F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long").alias("size"),
-        "slot", F.floor(F.col("slot") / window_slots).alias("window"))
+        F.col("pack_cluster").alias("cluster"), F.col("pack_size").alias("size"),
+        at.cast("long").alias("slot"), F.floor(at.cast("long") / window_slots).alias("window"))
     if slot is None:
         shards = docs.agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.lit(1))).scalar()
     else:
