@@ -68,12 +68,13 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS,
-         slot: str | None = None, window_slots: int = WINDOW_SLOTS) -> DataFrame:
+         cluster: str | None = None, slot: str | None = None, window_slots: int = WINDOW_SLOTS) -> DataFrame:
     """Where each text goes: `doc_id`, `piece`, `first_word`, `n_words`, `bin`, `bin_offset`.
 
     A text takes its words and one end mark. Texts longer than `capacity` are cut into full pieces, a bin each,
-    and a rest. No bin holds two texts of a duplicate cluster (equal but for the case of letters) or more than
-    `per_source` of a source. Every row is placed, whole: null and empty texts take one end mark, a null source
+    and a rest. No bin holds two texts of a duplicate cluster or more than `per_source` of a source. `cluster`
+    names the column of cluster ids, such as op2's `component_id`; without it, and where it is null, texts that are
+    equal but for the case of letters are a cluster, and near copies are not. Every row is placed, whole: null and empty texts take one end mark, a null source
     is a source, repeated rows are copies of each other and go to different bins; an empty table gives an empty
     result. Pieces of a text keep their order in `piece`; the end mark belongs to the last.
 
@@ -89,9 +90,12 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     at = F.lit(0) if slot is None else F.coalesce(F.col(f"`{slot}`"), F.lit(0))
     if not {"pack_size", "pack_cluster"} <= set(docs.columns):
         docs = measured(docs)
+    own = F.col("pack_cluster")
+    if cluster is not None:
+        own = F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`"))).otherwise(own)
     sized = docs.select(
         "doc_id", F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("source"),
-        F.col("pack_cluster").alias("cluster"), F.col("pack_size").alias("size"),
+        own.alias("cluster"), F.col("pack_size").alias("size"),
         at.cast("long").alias("slot"), F.floor(at.cast("long") / window_slots).alias("window"))
     if slot is None:
         shards = docs.agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.lit(1))).scalar()

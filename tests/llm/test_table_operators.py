@@ -309,6 +309,17 @@ def test_every_word_is_packed_once(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_near_copies_with_a_cluster_go_to_different_bins(spark):
+    rows = [(i, f"{PROSE} {i}", f"s{i}") for i in range(12)] + [(i, PROSE.upper() if i % 2 else PROSE, f"s{i}") for i in range(12, 16)]
+    docs = documents(spark, rows).selectExpr("*", "if(doc_id < 12, 'c' || doc_id % 2, null) as grp")
+    bins = defaultdict(list)
+    for r in packing.pack(docs, cluster="grp").collect():
+        bins[r.bin].append(r.doc_id)
+    clusters = {b: [i % 2 if i < 12 else "text" for i in ids] for b, ids in bins.items()}
+    assert sum(map(len, bins.values())) == 16 and all(len(set(c)) == len(c) for c in clusters.values()) and len(bins) == 6
+    assert len({r.bin for r in packing.pack(docs.where("doc_id < 12")).collect()}) == 1
+
+
 # ---------------------------------------------------------------- pipeline and registered queries
 def test_bins_follow_the_target_shares(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "BLOCK_CHARS", 2000)
