@@ -440,7 +440,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     in it. An empty table gives an empty result.
 
     All links matter only up to connection: in every tile each text is first paired with the tile's first, then the
-    likeliest ones of the texts still apart, then all pairs of a tile that these links do not connect. No link is lost and a family of n near copies costs about n pairs. Runs jobs when called; results between them are checkpointed.
+    likeliest ones of the texts still apart, then all pairs of a tile that these links do not connect. No connection is lost and a family of n near copies
+    costs about n pairs; links inside a component that is already connected are not enumerated, so links per document
+    are not counted. Runs jobs when called; results between them are checkpointed.
     """
     placed = _placed(docs)
     smallest = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
