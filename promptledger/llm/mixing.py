@@ -52,40 +52,40 @@ def mix(docs: DataFrame, shares: dict[str, int], *, block_chars: int = BLOCK_CHA
     shares = {OTHER: 1} | shares
     names, plan = list(shares), edf_template(list(shares.values()))
     made = ("mix_lane", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_at")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made and not c.startswith("_mix_")]
+    keep = [c for c in docs.columns if c not in made]
     named = F.array(*[F.lit(n) for n in names])
     source = F.coalesce(F.col("source").cast("string"), F.lit(OTHER))
     lane = F.greatest(F.array_position(named, source) - 1, F.lit(0))  # lane 0 takes all that are not named
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    base = docs.select(*keep, lane.cast("int").alias("_mix_lane"), size.alias("_mix_size"),
-                       F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_mix_ord"))
+    # The columns travel in a struct, so none of their names can clash with those used here.
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), lane.cast("int").alias("lane"), size.alias("size"),
+                       F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("ord"))
     # At most one row per lane, and the lanes are a parameter.
-    cells = base.groupBy("_mix_lane").agg(F.ceil(F.count("*") / cell_rows).alias("_mix_cells"))
-    base = base.join(F.broadcast(cells), "_mix_lane").withColumn("_mix_cell", F.pmod("_mix_ord", "_mix_cells"))
-    key = ["_mix_lane", "_mix_cell"]
-    upto = Window.partitionBy("_mix_lane").orderBy("_mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = base.groupBy(*key).agg(F.sum("_mix_size").alias("_mix_s")).select(
-        *key, F.coalesce(F.sum("_mix_s").over(upto), F.lit(0)).alias("_mix_start"))
-    before = Window.partitionBy(*key).orderBy("_mix_ord", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("_mix_size").over(before), F.lit(0))
+    cells = base.groupBy("lane").agg(F.ceil(F.count("*") / cell_rows).alias("cells"))
+    base = base.join(F.broadcast(cells), "lane").withColumn("cell", F.pmod("ord", "cells"))
+    key = ["lane", "cell"]
+    upto = Window.partitionBy("lane").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = base.groupBy(*key).agg(F.sum("size").alias("s")).select(*key, F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("start"))
+    before = Window.partitionBy(*key).orderBy("ord", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("size").over(before), F.lit(0))
 
     def by_lane(values: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("_mix_lane"))
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("lane"))
 
     flat = [b for blocks in plan for b in blocks]
     firsts = [sum(len(b) for b in plan[:i]) for i in range(len(plan))]
     share = by_lane([len(b) for b in plan])
-    placed = base.withColumn("_mix_at", inside).join(starts, key).withColumn(
-        "mix_at", F.col("_mix_start") + F.col("_mix_at")).withColumn("mix_block", F.floor(F.col("mix_at") / block_chars))
-    placed = placed.withColumn("_mix_nth", (by_lane(firsts) + F.col("mix_block") % share).cast("int")).withColumn(
-        "_mix_round", F.floor(F.col("mix_block") / share) * len(flat))
+    placed = base.withColumn("at", inside).join(starts, key).withColumn("at", F.col("start") + F.col("at")) \
+        .withColumn("block", F.floor(F.col("at") / block_chars))
+    placed = placed.withColumn("of", (by_lane(firsts) + F.col("block") % share).cast("int")).withColumn(
+        "round", F.floor(F.col("block") / share) * len(flat))
 
     def scheduled(k: int) -> Column:
-        return F.col("_mix_round") + F.get(F.array(*[F.lit(b[k]) for b in flat]), F.col("_mix_nth"))
+        return F.col("round") + F.get(F.array(*[F.lit(b[k]) for b in flat]), F.col("of"))
 
-    return placed.select(*keep, F.get(named, F.col("_mix_lane")).alias("mix_lane"), "mix_block",
-                         scheduled(0).alias("mix_slot"), scheduled(1).alias("mix_release"),
-                         scheduled(2).alias("mix_deadline"), "mix_at")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in keep], F.get(named, F.col("lane")).alias("mix_lane"),
+                         F.col("block").alias("mix_block"), scheduled(0).alias("mix_slot"), scheduled(1).alias("mix_release"),
+                         scheduled(2).alias("mix_deadline"), F.col("at").alias("mix_at"))
 
 
 def lag(count: int, slot: int, share: int, total: int) -> Fraction:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +14,6 @@ from .common import SPACE
 CAPACITY = 4096
 SHARD_ROWS = 8192
 PER_SOURCE = 4
-WINDOW_SLOTS = 16
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -22,53 +22,53 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
     Open bins are ordered by what is left in them. An item looks from the first bin with room for it upwards
     until one neither holds its cluster nor `per_source` items of its source: the tightest compatible bin. A bin
     carries its clusters and, in one plane for each further item, its sources as bitmaps. Equal residuals are
-    taken in order of opening.
+    taken in order of opening. Bins with equal residual and bitmaps are passed over together, so copies of one
+    text do not try each other's bins one by one.
     """
     often = {c for c, n in Counter(c for _, _, c in items).items() if n > 1}
     cluster_bit = {c: 1 << i for i, c in enumerate(sorted(often))}  # a cluster of one cannot conflict
     source_bit = {s: 1 << i for i, s in enumerate(sorted({s for _, s, _ in items}))}
-    residuals: list[tuple[int, int]] = []
-    clusters: list[int] = []
-    planes: list[list[int]] = []
+    residuals: list[int] = []
+    bins: dict[int, dict[tuple, list[int]]] = {}  # residual, bitmaps: the bins, first opened on top
+    opened = 0
     out: list[tuple[int, int]] = [(-1, -1)] * len(items)
     for n in sorted(range(len(items)), key=lambda i: (-items[i][0], i)):
         size, source, cluster = items[n]
         mine, bit = cluster_bit.get(cluster, 0), source_bit[source]
-        at = bisect_left(residuals, (size, -1))
-        while at < len(residuals):
-            b = residuals[at][1]
-            if not clusters[b] & mine and not planes[b][-1] & bit:
+        found = None
+        for left in residuals[bisect_left(residuals, size):]:
+            fits = [(heap[0], held) for held, heap in bins[left].items() if not held[0] & mine and not held[-1] & bit]
+            if fits:
+                found = min(fits)
                 break
-            at += 1
-        if at < len(residuals):
-            left, b = residuals.pop(at)
+        if found:
+            b, held = found
+            heappop(bins[left][held])
+            if not bins[left][held]:
+                del bins[left][held]
+                if not bins[left]:
+                    del bins[left]
+                    residuals.pop(bisect_left(residuals, left))
         else:
-            left, b = capacity, len(clusters)
-            clusters.append(0)
-            planes.append([0] * per_source)
+            left, b, held = capacity, opened, (0,) * (1 + per_source)
+            opened += 1
         out[n] = (b, capacity - left)
-        clusters[b] |= mine
-        for k, plane in enumerate(planes[b]):
-            if not plane & bit:
-                planes[b][k] |= bit
-                break
         if left > size:
-            insort(residuals, (left - size, b))
+            planes = list(held[1:])
+            at = next(k for k, plane in enumerate(planes) if not plane & bit)
+            planes[at] |= bit
+            left -= size
+            if left not in bins:
+                insort(residuals, left)
+            heappush(bins.setdefault(left, {}).setdefault((held[0] | mine, *planes), []), b)
     return out
 
 
 _PLACED = "doc_id bigint, piece int, first_word bigint, n_words bigint, bin string, bin_offset bigint"
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """`docs` with what packing needs of a text, `pack_size` and `pack_cluster`, so that later steps can leave the text behind."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = (F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long")
-    return docs.withColumns({"pack_size": size, "pack_cluster": F.xxhash64(F.lower(text))})
-
-
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS,
-         cluster: str | None = None, slot: str | None = None, window_slots: int = WINDOW_SLOTS) -> DataFrame:
+         cluster: str | None = None, order: tuple[str, str] | None = None) -> DataFrame:
     """Where each text goes: `doc_id`, `piece`, `first_word`, `n_words`, `bin`, `bin_offset`.
 
     A text takes its words and one end mark. Texts longer than `capacity` are cut into full pieces, a bin each,
@@ -76,49 +76,46 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     names the column of cluster ids, such as op2's `component_id`; without it, and where it is null, texts that are
     equal but for the case of letters are a cluster, and near copies are not. Every row is placed, whole: null and empty texts take one end mark, a null source
     is a source, repeated rows are copies of each other and go to different bins; an empty table gives an empty
-    result. Pieces of a text keep their order in `piece`; the end mark belongs to the last.
+    result. Pieces of a text keep their order in `piece`; the end mark belongs to the last. Columns are read only
+    where a parameter names them, and `doc_id`, `source` and `text`.
 
-    `slot` names a column of slots of a mixture (`mixing.mix`). Then no bin holds texts of different windows of
-    `window_slots` slots, and two columns are added: the text's `slot`, and `bin_slot`, the first slot of the bin's
-    window. Bins read by `bin_slot` have, up to each window's border, the shares that the texts' slots have there.
-    A null slot counts as 0. `docs` that are `measured` already need no text.
+    `order` names two columns, the file a row is in and its place there. Then each run of `shard_rows` rows of a
+    file is packed by itself, and two columns say which, `bin_file` and `bin_run`: bins read by these follow the order of
+    the rows, and with it the shares of a mixture written in order, to a run. A null file or place counts as one.
 
-    Scale: rows are dealt by hash to shards of about `shard_rows`, which are packed by themselves; only ids,
-    sizes and hashes move. A shard wastes a few half-empty bins in thousands, and copies of one text are spread
-    over all shards. With slots each window has its own shards; the windows are counted in the map tasks.
+    Scale: otherwise rows are dealt one by one by hash, copies of one text too, to shards of about `shard_rows`.
+    Shards are packed by themselves; only ids, sizes and hashes move. A shard wastes a few half-empty bins in thousands.
     """
-    at = F.lit(0) if slot is None else F.coalesce(F.col(f"`{slot}`"), F.lit(0))
-    if not {"pack_size", "pack_cluster"} <= set(docs.columns):
-        docs = measured(docs)
-    own = F.col("pack_cluster")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.xxhash64(F.lower(text))
     if cluster is not None:
         own = F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`"))).otherwise(own)
-    sized = docs.select(
-        "doc_id", F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("source"),
-        own.alias("cluster"), F.col("pack_size").alias("size"),
-        at.cast("long").alias("slot"), F.floor(at.cast("long") / window_slots).alias("window"))
-    if slot is None:
+    size = (F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+")) + 1).cast("long")
+    file, place = (F.lit(""), F.monotonically_increasing_id()) if order is None else (
+        F.coalesce(F.col(f"`{order[0]}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{order[1]}`").cast("long"), F.lit(0)))
+    sized = docs.select("doc_id", F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("source"),
+                        own.alias("cluster"), size.alias("size"), file.alias("file"), place.alias("place"))
+    if order is None:
         shards = docs.agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.lit(1))).scalar()
+        run_of = F.pmod(F.xxhash64("doc_id", "cluster", "place"), shards)
     else:
-        sized = sized.join(sized.groupBy("window").agg(F.ceil(F.count("*") / shard_rows).alias("shards")), "window")
-        shards = F.col("shards")
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), shards).cast("long")
+        run_of = F.floor(F.col("place") / shard_rows)
+    by = ["doc_id", "size", "source", "cluster"] if order is None else ["place", "doc_id", "size", "source", "cluster"]
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "size", "source", "cluster", "slot"], kind="stable", na_position="first")
-        ids, sizes, slots = pdf["doc_id"].tolist(), pdf["size"].tolist(), pdf["slot"].tolist()
-        name = str(key[1]) if slot is None else f"{key[0]}.{key[1]}"
+        pdf = pdf.sort_values(by, kind="stable", na_position="first")
+        ids, sizes = pdf["doc_id"].tolist(), pdf["size"].tolist()
+        name = str(key[1]) if order is None else f"{key[0]}.{key[1]}"
         rest = [(size - 1) % capacity + 1 for size in sizes]
         placed = best_fit(list(zip(rest, pdf["source"].tolist(), pdf["cluster"].tolist())), capacity, per_source)
         out = []
         for i, (doc, size) in enumerate(zip(ids, sizes)):
             full = (size - rest[i]) // capacity
-            of = (slots[i], key[0] * window_slots)
-            out += [(doc, k, k * capacity, capacity, f"{name}-{i}-{k}", 0, *of) for k in range(full)]
-            out.append((doc, full, full * capacity, rest[i] - 1, f"{name}-{placed[i][0]}", placed[i][1], *of))
-        frame = pd.DataFrame(out, columns=["doc_id", "piece", "first_word", "n_words", "bin", "bin_offset", "slot", "bin_slot"])
+            out += [(doc, k, k * capacity, capacity, f"{name}-{i}-{k}", 0, *key) for k in range(full)]
+            out.append((doc, full, full * capacity, rest[i] - 1, f"{name}-{placed[i][0]}", placed[i][1], *key))
+        frame = pd.DataFrame(out, columns=["doc_id", "piece", "first_word", "n_words", "bin", "bin_offset", "bin_file", "bin_run"])
         return frame.astype({"doc_id": "Int64"})[names]
 
-    schema = _PLACED if slot is None else f"{_PLACED}, slot bigint, bin_slot bigint"
+    schema = _PLACED if order is None else f"{_PLACED}, bin_file string, bin_run bigint"
     names = [c.split()[0] for c in schema.split(", ")]
-    return sized.withColumn("shard", shard).groupBy("window", "shard").applyInPandas(run, schema)
+    return sized.withColumn("run", run_of.cast("long")).groupBy("file", "run").applyInPandas(run, schema)

@@ -120,7 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
         "doc_id").agg(F.min("quality").cast("double").alias("y"))
     # At most `max_labelled` ids; the rows they pick are narrow.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    train = checkpointed(stats.join(known, "doc_id").dropDuplicates(["doc_id"]).withColumn(
+    train = checkpointed(stats.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("stats").alias("stats")).withColumn(
         "g", F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS))))
 
     def summed(of, width: int) -> np.ndarray | None:
@@ -158,7 +158,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     """One row per row of `docs`: `doc_id`, `held_out`, `score` (0 to 1) and `predicted` (1 from `predict_from`).
 
     Null and empty texts have all-zero statistics and get that point's score. Without labelled rows every score
-    is 0.5. Null ids are not held out; repeated rows are scored one by one and learned from once; an empty table
+    is 0.5. Null ids are not held out; repeated rows are scored one by one and an id is
+    learned from once, by the smallest statistics of its texts; an empty table
     gives an empty result. Statistics are computed once from whole texts and checkpointed, a hundred bytes a row.
     """
     stats = checkpointed(text_statistics(docs))

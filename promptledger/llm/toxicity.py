@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -76,28 +77,34 @@ def _row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate([[0], ends[:-1]])]
 
 
-def fit_linear(flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Linear:
-    """L1-regularised logistic regression by accelerated proximal gradient.
+class Limits(NamedTuple):
+    """Which buckets enter a model: those of so many texts whose presence differs between the classes by so many
+    standard errors, the clearest of them."""
 
-    Only buckets whose presence differs between the classes by `MIN_Z` standard errors enter, the `MAX_BUCKETS`
-    clearest of them.
-    """
+    min_texts: int = MIN_TEXTS
+    min_z: float = MIN_Z
+    max_buckets: int = MAX_BUCKETS
+
+
+def fit_linear(flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndarray, limits: Limits = Limits()) -> Linear:
+    """L1-regularised logistic regression by accelerated proximal gradient, on the buckets that `limits` lets in."""
     n, weights = len(ends), np.zeros(DIMS)
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1.0)
         return Linear(weights, np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))))
-    rows = np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends])))
+    sizes = np.diff(np.concatenate([[0], ends]))
     # A bucket counts once per text, so its number of places is its number of texts.
-    texts, good = np.bincount(flat, minlength=DIMS), np.bincount(flat, weights=y[rows], minlength=DIMS)
+    texts, good = np.bincount(flat, minlength=DIMS), np.bincount(flat[np.repeat(y > 0, sizes)], minlength=DIMS)
     ones, p = y.sum(), (texts + 0.5) / (n + 1.0)
     z = np.abs(good / ones - (texts - good) / (n - ones)) / np.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)))
-    used = np.flatnonzero((texts >= MIN_TEXTS) & (z >= MIN_Z))
-    used = np.sort(used[np.argsort(-z[used], kind="stable")[:MAX_BUCKETS]])
+    used = np.flatnonzero((texts >= limits.min_texts) & (z >= limits.min_z))
+    used = np.sort(used[np.argsort(-z[used], kind="stable")[:limits.max_buckets]])
     k = len(used)
     place = np.full(DIMS, -1, np.int32)
     place[used] = np.arange(k, dtype=np.int32)
     cols = place[flat]
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
+    kept = cols >= 0
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), sizes)[kept], cols[kept]
     dense = np.hstack([dense, np.ones((n, 1))])
 
     def forward(x):
@@ -139,39 +146,46 @@ def _packed(lists) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(lists) if lists else np.zeros(0, np.int32)), np.cumsum([len(x) for x in lists], dtype=np.int64)
 
 
-def fit_chain(buckets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """Models of all categories (columns of `labels`) in order.
+def fit_chain(buckets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, limits: Limits = Limits()) -> Chain:
+    """Models of all categories (columns of `labels`) in order; a row without a label (NaN) is left out of that model.
 
     What a later model is trained on as the probability of an earlier category comes from a model that has not
     seen the row: one per fold. Scoring uses the models fitted on all rows.
     """
     seen, models = np.zeros((len(buckets), 0)), []
-    every = _packed(buckets)
+
+    def fitted(rows: np.ndarray, y: np.ndarray) -> Linear:
+        rows = rows[~np.isnan(y[rows])]
+        return fit_linear(*_packed(buckets[i] for i in rows), seen[rows], y[rows], limits)
+
     for c in range(labels.shape[1]):
         y = labels[:, c]
-        models.append(fit_linear(*every, seen, y))
+        models.append(fitted(np.arange(len(buckets)), y))
         if c + 1 == labels.shape[1]:
             break
         out = np.zeros(len(buckets))
         for f in np.unique(folds):
             mine, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-            m = fit_linear(*_packed(buckets[i] for i in rest), seen[rest], y[rest])
-            out[mine] = m(*_packed(buckets[i] for i in mine), seen[mine])
+            out[mine] = fitted(rest, y)(*_packed(buckets[i] for i in mine), seen[mine])
         seen = np.hstack([seen, out[:, None]])
     return Chain(models)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, max_labelled: int = MAX_LABELLED) -> Chain:
-    """The chain, fitted on at most `max_labelled` labelled rows; contradicting labels count as positive.
+def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, max_labelled: int = MAX_LABELLED, limits: Limits = Limits()) -> Chain:
+    """The chain, fitted on at most `max_labelled` labelled texts; contradicting labels count as positive.
 
-    The texts of those rows are hashed where they lie; their buckets, of bounded number, come to the driver.
+    A text under an id counts once, however often the row is repeated, and different texts under one id are texts
+    of their own; those of the smallest hashes stay. They are hashed into buckets where they lie; their buckets, of
+    bounded number, come to the driver. A null label leaves a text out of that category's model only.
     """
     flags = [F.max(F.expr(cond).cast("int")).alias(f"c{i}") for i, (_, cond) in enumerate(categories)]
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).dropna()
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).dropna("all", subset=[f"c{i}" for i in range(len(flags))])
     # At most `max_labelled` ids.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = text_rows(docs).join(F.broadcast(known), "doc_id").select(
         F.xxhash64("doc_id", "text").alias("h"), F.array(*[f"c{i}" for i in range(len(categories))]).alias("y"), "text")
+    # At most `max_labelled` hashes.
+    taken = rows.select("h").distinct().orderBy("h").limit(max_labelled)
 
     def run(batches):
         of = Buckets()
@@ -180,17 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, max_labe
                 [pa.array(hs, pa.int64()), pa.array(ys, pa.list_(pa.int32())), pa.array([of(t) for t in texts], pa.list_(pa.int32()))],
                 names=["h", "y", "b"])
 
-    found = rows.mapInArrow(run, "h bigint, y array<int>, b array<int>").toArrow().sort_by("h")
+    hashed_rows = rows.join(F.broadcast(taken), "h", "left_semi").select("h", "y", "text").mapInArrow(run, "h bigint, y array<int>, b array<int>")
+    found = hashed_rows.groupBy("h").agg(F.first("y").alias("y"), F.first("b").alias("b")).toArrow().sort_by("h")
     h, b = found["h"].to_numpy(), found["b"].combine_chunks()
     offsets, flat = b.offsets.to_numpy(), b.values.to_numpy()
     buckets = [flat[offsets[i]:offsets[i + 1]] for i in range(len(h))]
-    y = np.array(found["y"].to_pylist(), float).reshape(len(h), len(categories))
-    return fit_chain(buckets, y, np.abs(h) % FOLDS)
+    y = np.array([[np.nan if v is None else v for v in r] for r in found["y"].to_pylist()], float).reshape(len(h), len(categories))
+    return fit_chain(buckets, y, np.abs(h) % FOLDS, limits)
 
 
-def score(docs: DataFrame, chain: Chain, keep: list[str], categories=CATEGORIES) -> DataFrame:
-    """The columns `keep` and an array `tox_p` of category probabilities, in the order of the chain."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_tox_text"))
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """Each row of `docs` as the struct `row`, and the array `p` of category probabilities in the order of the chain."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     @F.pandas_udf("array<double>")
     def chained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -198,26 +213,24 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], categories=CATEGORIES)
         for texts in batches:
             yield pd.Series(list(chain(*_packed(of(t) for t in texts))), dtype=object)
 
-    return rows.select(*[F.col(f"`{c}`") for c in keep], chained("_tox_text").alias("tox_p"))
+    return rows.select("row", chained("text").alias("p"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, reject_from: float = REJECT_FROM, categories=CATEGORIES,
-             max_labelled: int = MAX_LABELLED) -> DataFrame:
+             max_labelled: int = MAX_LABELLED, limits: Limits = Limits()) -> DataFrame:
     """One row per row of `docs`: `doc_id`, `p_<category>` of each category, and `rejected`, by the last category.
 
     A null or empty text has no buckets and gets the models' base rates. Without labels every probability is
     0.5 and nothing is rejected. Repeated rows and null ids are judged row by row; an empty table gives an
     empty result. Whole texts are read; a bucket counts by presence, so length alone moves no score.
     """
-    chain = train(docs, labels, categories=categories, max_labelled=max_labelled)
-    scored = score(docs, chain, ["doc_id"], categories)
-    ps = [F.get("tox_p", F.lit(i)).alias(f"p_{name}") for i, (name, _) in enumerate(categories)]
-    rejected = F.get("tox_p", F.lit(len(categories) - 1)) > reject_from
-    return scored.select("doc_id", *ps, rejected.alias("rejected"))
+    chain = train(docs, labels, categories=categories, max_labelled=max_labelled, limits=limits)
+    ps = [F.get("p", F.lit(i)).alias(f"p_{name}") for i, (name, _) in enumerate(categories)]
+    rejected = F.get("p", F.lit(len(categories) - 1)) > reject_from
+    return score(docs.select("doc_id", "text"), chain).select("row.doc_id", *ps, rejected.alias("rejected"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, *, reject_from: float = REJECT_FROM, **options) -> DataFrame:
-    """The rows of `docs` that `classify` does not reject, with their columns."""
-    chain = train(docs, labels, **options)
-    names = [c for c in docs.columns if c != "tox_p"]
-    return score(docs, chain, names).where(F.element_at("tox_p", -1) <= reject_from).select(*[F.col(f"`{c}`") for c in names])
+    """The rows of `docs` that `classify` does not reject, with all their columns, whatever their names."""
+    kept = score(docs, train(docs, labels, **options)).where(F.element_at("p", -1) <= reject_from)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
