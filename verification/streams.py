@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptledger.functions import injection as inj, pii
 from promptledger.session import use_checkpoint_dir
-from promptledger.streaming import admission, live
+from promptledger.operators import quota as qt
+from promptledger.streaming import admission, budgets, live
 
 from .decisions import CONFIG, _HITS, _requests, key_dimension, sql_decided, sql_fold
 from .injections import HITS
 from .personal_data import _ALL, _expected
 from .registry import query
 from .reports import _PROJECTED
-from .views import VIEWS, WINDOW_S, table, view
+from .views import AS_OF, VIEWS, WINDOW_S, table, view
 
 
 def stream_of(spark, sf, name) -> DataFrame:
@@ -23,11 +24,15 @@ def stream_of(spark, sf, name) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def stream_folder(spark) -> str:
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream to its end and read back what it wrote to the shared folder."""
     spark = stream.sparkSession
-    use_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = folder or stream_folder(spark)
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
     # A stream keeps its number of state partitions for good and has no adaptive merging: size it to the slots.
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -66,6 +71,11 @@ def st2(spark, sf):
 
 def in_parts(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
     """The rows as a stream of `n` files, one micro-batch each, cut at equal steps of `by` and written in that order."""
+    return parts(rows, by, n, name)[0]
+
+
+def parts(rows: DataFrame, by: str, n: int, name: str) -> tuple[DataFrame, str]:
+    """`in_parts`, and the folder that the stream reads."""
     spark = rows.sparkSession
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
@@ -74,7 +84,7 @@ def in_parts(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
     step = (high - low) // n + 1
     for i in range(n):
         rows.where((us >= low + i * step) & (us < low + (i + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
 
 
 @query("st1_stream_scrub", f"SELECT id, {_expected(*_ALL)} AS redacted_text FROM pii_notes_v")
@@ -143,3 +153,119 @@ def _over(spark, events: DataFrame, name: str) -> DataFrame:
     return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}", events=events)
 
 
+# ---------------------------------------------------------------- budgets in the order of request time
+LATENESS_S, FILES = 3 * 86_400, 4
+#: How long after its time a request arrives, in hours: shuffled within the allowed lateness, some far behind it.
+_DELAY_H = "CASE WHEN id % 23 = 5 THEN 240 + id % 7 * 24 ELSE id * 37 % 70 END"
+
+
+def _heartbeat(rows: DataFrame, at: str) -> DataFrame:
+    """A row without a key, which only moves the clock."""
+    return rows.sparkSession.sql(f"SELECT -1L AS id, NULL AS k, timestamp_ntz '{at}' AS ts, 0 AS cost").select(
+        *[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in ("id", "k", "ts", "cost")])
+
+
+def _with_clock(stream: DataFrame, folder: str, at: str) -> None:
+    """One more file for the stream's folder: a heartbeat."""
+    _heartbeat(stream, at).select(*[F.col(c) if c in ("id", "k", "ts", "cost") else F.lit(None).cast(stream.schema[c].dataType).alias(c)
+                                    for c in stream.columns]).coalesce(1).write.mode("append").parquet(folder)
+
+
+_ARRIVALS = [
+    f"arrivals AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) + ({_DELAY_H}) * 3600000000 AS arr FROM quota_hits_v)",
+    f"cuts AS (SELECT min(arr) AS low, (max(arr) - min(arr)) // {FILES} + 1 AS step FROM arrivals)",
+    "filed AS (SELECT a.*, (arr - low) // step AS f FROM arrivals a, cuts)",
+    "clock AS (SELECT f, max(max(us)) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM filed GROUP BY f)",
+    f"judged AS (SELECT d.*, coalesce(us < seen // 1000 * 1000 - {LATENESS_S} * 1000000::BIGINT, false) AS late FROM filed d JOIN clock USING (f))",
+]
+
+
+@query("st7_late_requests", """
+SELECT id, k, late, allowed, used FROM judged LEFT JOIN (SELECT id AS i, allowed, used FROM fold) ON i = id""",
+       *_ARRIVALS, *sql_fold("SELECT k, id, us, cost, 100 AS lim FROM judged WHERE NOT late"), recursive=True)
+def st7(spark, sf):
+    """Shuffled micro-batches: decided in the order of request time, those too late to be decided told apart."""
+    admission.use_rocksdb(spark)
+    hits = view(spark, sf, "quota_hits_v")
+    arrives = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.expr(_DELAY_H).cast("long") * 3_600_000_000)
+    stream, folder = parts(hits.withColumn("arrives", arrives), "arrives", FILES, "late")
+    _with_clock(stream, folder, "2034-01-01 00:00:00")
+    done = budgets.admit_in_order(stream.drop("arrives"), "k", "ts", "id", "cost", lateness_s=LATENESS_S, window_s=WINDOW_S)
+    return drained(done).where("k is not null").select("id", "k", "late", "quota.allowed", "quota.used")
+
+
+@query("st2_opening_state", f"""
+SELECT k, id, allowed, used FROM fold WHERE us >= epoch_us(timestamp '{AS_OF}')""", *sql_fold(_HITS), recursive=True)
+def st2_opening(spark, sf):
+    """A stream that starts where a batch ended goes on with the batch's windows."""
+    admission.use_rocksdb(spark)
+    hits, cut = view(spark, sf, "quota_hits_v"), F.lit(AS_OF).cast("timestamp_ntz")
+    before = qt.admitted_entries(qt.admissions(hits.where(F.col("ts") < cut), "k", "ts", "id", "cost", window_s=WINDOW_S))
+    stream, folder = parts(hits.where(F.col("ts") >= cut), "ts", 2, "after")
+    _with_clock(stream, folder, "2034-01-01 00:00:00")
+    done = budgets.admit_in_order(stream, "k", "ts", "id", "cost", lateness_s=3600, window_s=WINDOW_S, opening=before.select("k", "ts", "cost"))
+    return drained(done).where("k is not null").select("k", "id", "quota.allowed", "quota.used")
+
+
+#: Just behind AS_OF: what the streams below have decided when they are asked.
+_JUST_AFTER = AS_OF + ".001"
+
+
+def _peeked(spark, hits: DataFrame, **options) -> DataFrame:
+    """The state that a stream of the hits up to AS_OF leaves behind, asked for from its checkpoint."""
+    admission.use_rocksdb(spark)
+    stream, folder = parts(hits.where(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz")), "ts", 3, "peek")
+    _with_clock(stream, folder, AS_OF.replace("12:34", "13:34") + ".001")
+    at = stream_folder(spark)
+    drained(budgets.admit_in_order(stream, "k", "ts", "id", "cost", lateness_s=3600, window_s=WINDOW_S, **options), folder=at)
+    keys = hits.select(F.col("k").alias("key"), F.lit(None).cast("int").alias("rate_limit")).distinct()
+    state = budgets.peek(spark, f"{at}/ck", keys, _JUST_AFTER, window_s=WINDOW_S)
+    return state.select(F.col("key").alias("k"), "used", "remaining", "request_count", F.col("reset_in_seconds").cast("double").alias("reset_in_seconds"))
+
+
+_PEEK = """
+SELECT q.k, coalesce(sum(cost), 0)::BIGINT AS used, greatest(0, 100 - coalesce(sum(cost), 0))::BIGINT AS remaining, count(us)::INTEGER AS request_count,
+   coalesce(greatest(0, min(us) + {wus} - epoch_us(timestamp '{now}')) / 1e6, 0)::DOUBLE AS reset_in_seconds
+FROM (SELECT DISTINCT k FROM quota_hits_v) q LEFT JOIN (
+   SELECT k AS kk, us, cost FROM fold WHERE allowed AND us <= epoch_us(timestamp '{now}') AND us > epoch_us(timestamp '{now}') - {wus} AND {extra}) e ON kk = q.k
+GROUP BY q.k"""
+
+
+@query("w5_stream_peek", _PEEK.format(wus=WINDOW_S * 1_000_000, now=_JUST_AFTER, extra="true"), *sql_fold(_HITS), recursive=True)
+def w5_stream(spark, sf):
+    return _peeked(spark, view(spark, sf, "quota_hits_v"))
+
+
+_RESETS = """SELECT k, us FROM (SELECT DISTINCT k FROM quota_hits_v) r, (VALUES (epoch_us(timestamp '2024-01-29 18:00:00'), 1),
+   (epoch_us(timestamp '2024-01-30 06:00:00'), 3)) AS t(us, every) WHERE k % every = 0"""
+
+
+def sql_fold_with_resets() -> list[str]:
+    """The admission recurrence over hits and resets; a reset comes after the hits of its time."""
+    live = f"list_filter(f.live, lambda e: e.us > h.us - {WINDOW_S * 1_000_000})"
+    used = f"coalesce(list_sum(list_transform({live}, lambda e: e.cost)), 0)"
+    entry = "{'us': h.us, 'cost': h.cost::BIGINT}"
+    return [
+        f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, id IS NULL, id) AS rn FROM (
+  {_HITS} UNION ALL SELECT k, NULL, us, 0, 100 FROM ({_RESETS})))""",
+        f"""fold AS (
+  SELECT k, rn, id, us, cost, CASE WHEN id IS NOT NULL AND h.cost <= lim THEN [{entry}] ELSE [] END AS live, id IS NOT NULL AND cost <= lim AS allowed
+  FROM numbered h WHERE rn = 1
+  UNION ALL
+  SELECT h.k, h.rn, h.id, h.us, h.cost, CASE WHEN h.id IS NULL THEN [] WHEN {used} + h.cost <= h.lim THEN list_append({live}, {entry}) ELSE {live} END,
+     h.id IS NOT NULL AND {used} + h.cost <= h.lim
+  FROM fold f JOIN numbered h ON h.k = f.k AND h.rn = f.rn + 1)""",
+    ]
+
+
+@query("w6_stream_reset", _PEEK.format(wus=WINDOW_S * 1_000_000, now=_JUST_AFTER, extra=f"""NOT EXISTS (
+      SELECT 1 FROM ({_RESETS}) r WHERE r.k = fold.k AND r.us >= fold.us AND r.us <= epoch_us(timestamp '{_JUST_AFTER}'))"""),
+       *sql_fold_with_resets(), recursive=True)
+def w6_stream(spark, sf):
+    """Budgets emptied while the stream runs, of all keys and of some, and then asked for."""
+    hits = view(spark, sf, "quota_hits_v")
+    keys = hits.select("k").distinct()
+    some = keys.where("k % 3 = 0").withColumn("reset_at", F.lit("2024-01-30 06:00:00").cast("timestamp_ntz"))
+    whole = spark.range(1).select(F.lit(None).cast("bigint").alias("k"), F.lit("2024-01-29 18:00:00").cast("timestamp_ntz").alias("reset_at"))
+    resets, _ = parts(whole.unionByName(some), "reset_at", 1, "resets")
+    return _peeked(spark, hits, resets=resets, all_keys=keys)
