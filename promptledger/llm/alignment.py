@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections import Counter
 from typing import NamedTuple
 
@@ -19,18 +20,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .common import rows_of, text_rows
-from .pretokens import Memory, stretches
+from .pretokens import STRETCH, Memory, encoded, grouped, stretches
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 KINDS = ("overlap", "group", "end")
 #: Chunks whose alignment a worker remembers in a generation; distinct chunks that it counts before it passes sums on.
-REMEMBERED, COUNTED = 1 << 16, 1 << 18
+REMEMBERED, COUNTED = 1 << 18, 1 << 18
 #: Terms of a product that are added up at once.
 TERMS = 1 << 22
 #: Id pairs that may be broadcast, some 17 bytes each; beyond it counts meet the documents in a join.
 BROADCAST_PAIRS = 1 << 22
 
 
+_POWERS = 10 ** np.arange(1, 19)
+
+
 class Csr(NamedTuple):
     """A sparse matrix by rows: those of row i are `columns[starts[i]:starts[i + 1]]`, with their `values`."""
 
@@ -113,19 +117,23 @@ def links(a_ends: np.ndarray, b_ends: np.ndarray, kind: str) -> tuple[np.ndarray
 
 
 class Chunk(NamedTuple):
-    """An aligned chunk: ids of both, the linked places, the groups as text and their number."""
+    """An aligned chunk: ids of both and the linked places, as 32-bit numbers."""
 
     a: bytes
     b: bytes
     left: bytes
     right: bytes
-    groups: str
-    n_groups: int
 
-    def pairs(self) -> np.ndarray:
-        """The linked ids, a pair in a number."""
-        a, b, left, right = (np.frombuffer(x, np.int32) for x in self[:4])
-        return (a[left].astype(np.int64) << 32) | b[right]
+
+class Sums(NamedTuple):
+    """What digests need of a chunk: numbers of tokens, groups and links, the groups as text, and the linked ids, a pair in a number."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: str
+    pairs: bytes
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -139,6 +147,7 @@ class Aligner:
     """Encodes chunks with both vocabularies and aligns them."""
 
     def __init__(self, a: str, b: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -153,40 +162,75 @@ class Aligner:
         sp = self.coder_b
         self.bytes_b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(sp.vocab_size())]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
 
     def most_pairs(self) -> int:
         """How many id pairs can end together: of two such tokens one is an ending of the other."""
         same_a, same_b = (max(Counter(x for x in v if x).values(), default=1) for v in (self.bytes_a, self.bytes_b))
         return sum(map(len, self.bytes_a)) * same_b + sum(map(len, self.bytes_b)) * same_a
 
-    def batch(self, chunks: list[str]) -> list[Chunk | None]:
-        """Each chunk, which a space goes before, aligned; None where the tokens' bytes are not those of the chunk.
-
-        The tokens of all chunks lie side by side, so one product serves them all.
-        """
-        ids_a = [e.ids for e in self.coder_a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)]
-        ids_b = self.coder_b.encode(chunks, num_threads=1)
-        whole = [self._covers(f" {c}".encode("utf-8", "surrogatepass"), a, b) for c, a, b in zip(chunks, ids_a, ids_b)]
-        good = [i for i, ok in enumerate(whole) if ok]
-        a, b = (np.fromiter((t for i in good for t in ids[i]), np.int32) for ids in (ids_a, ids_b))
-        a_ends, b_ends = (np.cumsum(np.fromiter((len(v[t]) for t in ids), np.int64, len(ids)))
-                          for v, ids in ((self.bytes_a, a.tolist()), (self.bytes_b, b.tolist())))
-        a_from, b_from = (np.concatenate([[0], np.cumsum([len(ids[i]) for i in good])]).astype(np.int64) for ids in (ids_a, ids_b))
+    def _aligned(self, chunks: list[str]):
+        """Aligned chunks, which a space goes before, side by side, so one product serves them all: those whose tokens
+        give back their bytes, the ids of both, the linked places, where chunks begin in each, and their groups."""
+        good, (a, a_from), (b, b_from) = self._encoded([f" {c}" for c in chunks])
+        a_ends, b_ends = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         left, right = links(a_ends, b_ends, self.kind)
-        order = np.argsort(left, kind="stable")
-        left, right = left[order], right[order]
-        l_from = np.searchsorted(left, a_from)
         text, group_from = self._group_texts(a, b, a_ends, b_ends, a_from, b_from)
+        return good, a, b, left, right, a_from, b_from, np.searchsorted(left, a_from), text, np.diff(group_from).tolist()
+
+    def batch(self, chunks: list[str]) -> list[Chunk | None]:
+        """Each chunk aligned; None where the tokens' bytes are not those of the chunk."""
+        good, a, b, left, right, a_from, b_from, l_from, _, _ = self._aligned(chunks)
+        n = np.diff(l_from)
+        raw = [x.astype(np.int32).tobytes() for x in (a, b, left - np.repeat(a_from[:-1], n), right - np.repeat(b_from[:-1], n))]
+        cuts = [(4 * x).tolist() for x in (a_from, b_from, l_from)]
         out: list[Chunk | None] = [None] * len(chunks)
         for k, i in enumerate(good):
-            p, q = l_from[k], l_from[k + 1]
-            out[i] = Chunk(a[a_from[k]:a_from[k + 1]].tobytes(), b[b_from[k]:b_from[k + 1]].tobytes(),
-                           (left[p:q] - a_from[k]).astype(np.int32).tobytes(), (right[p:q] - b_from[k]).astype(np.int32).tobytes(),
-                           text[k], int(group_from[k + 1] - group_from[k]))
+            (p, q), (u, v), (x, y) = ((c[k], c[k + 1]) for c in cuts)
+            out[i] = Chunk(raw[0][p:q], raw[1][u:v], raw[2][x:y], raw[3][x:y])
+        return out
+
+    def sums(self, chunks: list[str]) -> list[Sums | None]:
+        """What digests need of each chunk; None as in `batch`."""
+        good, a, b, left, right, a_from, b_from, l_from, text, n_groups = self._aligned(chunks)
+        raw, cuts = ((a[left].astype(np.int64) << 32) | b[right]).tobytes(), (8 * l_from).tolist()
+        out: list[Sums | None] = [None] * len(chunks)
+        counts = zip(good, np.diff(a_from).tolist(), np.diff(b_from).tolist(), n_groups, np.diff(l_from).tolist(), text, cuts, cuts[1:])
+        for i, n_a, n_b, groups, n, name, x, y in counts:
+            out[i] = Sums(n_a, n_b, groups, n, name, raw[x:y])
         return out
 
-    def _covers(self, want: bytes, a: list[int], b: list[int]) -> bool:
-        return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
+    def _encoded(self, chunks: list[str]) -> tuple[list[int], tuple, tuple]:
+        """The chunks that both vocabularies give back, and for each vocabulary their ids side by side and where chunks begin."""
+        sides = [encoded(chunks, self.encode_a, self.lengths_a), encoded(chunks, self.encode_b, self.lengths_b)]
+        ends = [np.empty(len(chunks) + 1, np.int64) for _ in sides]
+        ids = []
+        for end, (found, order, cuts) in zip(ends, sides):
+            # Back into the order of the chunks.
+            size = np.diff(cuts, prepend=0)
+            place = np.argsort(order, kind="stable")
+            end[0], end[1:] = 0, np.cumsum(size[place])
+            first = (cuts - size)[place]
+            ids.append(found[np.arange(end[-1]) + np.repeat(first - end[:-1], size[place])])
+        good = list(range(len(chunks)))
+        want = "".join(chunks).encode("utf-8", "surrogatepass")
+        starts = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])])
+        for k, (found, names, lengths) in enumerate(zip(ids, (self.bytes_a, self.bytes_b), (self.lengths_a, self.lengths_b))):
+            at = np.concatenate([[0], np.cumsum(lengths[found])])[ends[k]]
+            if (at != starts).any() or b"".join(map(names.__getitem__, found.tolist())) != want:
+                lists = np.split(found, ends[k][1:-1])
+                good = [i for i in good if b"".join(map(names.__getitem__, lists[i].tolist())) == chunks[i].encode("utf-8", "surrogatepass")]
+        if len(good) < len(chunks):
+            picked = [[np.split(x, e[1:-1])[i] for i in good] for x, e in zip(ids, ends)]
+            ids = [np.concatenate([np.zeros(0, np.int32), *p]) for p in picked]
+            ends = [np.concatenate([[0], np.cumsum([len(x) for x in p])]).astype(np.int64) for p in picked]
+        return good, (ids[0], ends[0]), (ids[1], ends[1])
+
+    def encode_a(self, text: str) -> list[int]:
+        return self.coder_a.encode(text, add_special_tokens=False).ids
+
+    def encode_b(self, text: str) -> list[int]:
+        return self.coder_b.encode(text[1:])  # it adds the space itself
 
     def _group_texts(self, a, b, a_ends, b_ends, a_from, b_from) -> tuple[list[str], np.ndarray]:
         """Of each chunk the ids of its groups as text, and the number of groups before it."""
@@ -200,22 +244,27 @@ class Aligner:
         ids[at_a], ids[at_b] = a, b
         sign[at_a[np.searchsorted(of_a, np.arange(len(ends)), "right") - 1]] = "|"
         sign[at_b[np.searchsorted(of_b, np.arange(len(ends)), "right") - 1]] = ";"
-        parts = [f"{i}{s}" for i, s in zip(ids.tolist(), sign.tolist())]
-        cuts = (a_from + b_from).tolist()
-        return ["".join(parts[p:q])[:-1] for p, q in zip(cuts[:-1], cuts[1:])], \
-            np.searchsorted(ends, np.concatenate([[0], a_ends])[a_from], "right")
+        whole = "".join([f"{i}{s}" for i, s in zip(ids.tolist(), sign.tolist())])
+        upto = np.concatenate([[0], np.cumsum(2 + np.searchsorted(_POWERS, ids, "right"))])  # an id's digits and its sign
+        cuts = upto[a_from + b_from].tolist()
+        return [whole[p:q - 1] for p, q in zip(cuts[:-1], cuts[1:])], np.searchsorted(ends, np.concatenate([[0], a_ends])[a_from], "right")
 
 
-@functools.lru_cache(maxsize=3)
-def _memory(a: str, b: str, kind: str) -> Memory:
+@functools.lru_cache(maxsize=4)
+def _memory(a: str, b: str, kind: str, sums: bool = False) -> Memory:
     aligner = Aligner(a, b, kind)
-    return Memory(aligner.batch, REMEMBERED)
+    return Memory(aligner.sums if sums else aligner.batch, REMEMBERED)
 
 
-def _chunks(text: str, memory: Memory):
-    """The chunks of a text with a way to look them up, a stretch at a time."""
-    for chunks in stretches(text):
-        yield chunks, memory.of(chunks)
+def _looked_up(texts: list[str], memory: Memory):
+    """For each text its chunks with a way to look them up, a stretch at a time; those of short texts together."""
+    for group in grouped(texts):
+        if len(group) > 1 and len(group[-1]) <= STRETCH:
+            parts = [next(stretches(t)) if t else [] for t in group]
+            of = memory.of([c for chunks in parts for c in chunks])
+            yield from ([(chunks, of)] if chunks else [] for chunks in parts)
+        else:
+            yield from (((chunks, memory.of(chunks)) for chunks in stretches(t)) if t else [] for t in group)
 
 
 def _paths(a: str | None, b: str | None) -> tuple[str, str]:
@@ -240,9 +289,9 @@ def align(docs: DataFrame, *, kind: str = "overlap", a: str | None = None, b: st
     def run(batches):
         memory = _memory(a, b, kind)
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            for doc, text in zip(ids, texts):
+            for doc, found in zip(ids, _looked_up(texts, memory)):
                 got, n_a, n_b = [], 0, 0
-                for chunks, of in _chunks(text, memory) if text else ():
+                for chunks, of in found:
                     got += [of(c) for c in chunks]
                 if None in got:
                     got = []
@@ -267,7 +316,7 @@ def pair_counts(docs: DataFrame, *, kind: str = "end", a: str | None = None, b:
     a, b = _paths(a, b)
 
     def run(batches):
-        memory, counts = _memory(a, b, kind), Counter()
+        memory, counts = _memory(a, b, kind, True), Counter()
 
         def sums():
             names = list(counts)
@@ -275,11 +324,12 @@ def pair_counts(docs: DataFrame, *, kind: str = "end", a: str | None = None, b:
             for at in range(0, len(names), 1 << 14):
                 part = names[at:at + (1 << 14)]
                 of = memory.of(part)
-                found = [of(c).pairs() for c in part]
-                times = np.repeat([counts[c] for c in part], list(map(len, found)))
-                key, which = np.unique(np.concatenate(found), return_inverse=True)
-                total = np.zeros(len(key), np.int64)
-                np.add.at(total, which, times)
+                found = [of(c) for c in part]
+                times = np.repeat([counts[c] for c in part], [s.n_links for s in found])
+                pairs_of = np.frombuffer(b"".join([s.pairs for s in found]), np.int64)
+                order = np.argsort(pairs_of, kind="stable")
+                key, first = np.unique(pairs_of[order], return_index=True)
+                total = np.add.reduceat(times[order], first) if len(key) else np.zeros(0, np.int64)
                 pairs.append(np.column_stack([key, total]))
             counts.clear()
             rows = np.concatenate(pairs)
@@ -287,9 +337,9 @@ def pair_counts(docs: DataFrame, *, kind: str = "end", a: str | None = None, b:
                                                pa.array(rows[:, 1])], names=["a_id", "b_id", "n"])
 
         for (texts,) in rows_of(batches, "text"):
-            for text in texts:
+            for found in _looked_up(texts, memory):
                 own = Counter()
-                for chunks, of in _chunks(text, memory) if text else ():
+                for chunks, of in found:
                     if None in map(of, set(chunks)):
                         own.clear()
                         break
@@ -312,9 +362,12 @@ class _Weights:
     def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
         self.pairs, self.n, self.best = pairs, n, best
 
-    def of(self, chunk: Chunk) -> tuple[int, int]:
-        at = np.searchsorted(self.pairs, chunk.pairs())
-        return int(self.best[at].sum()), int(self.n[at].sum())
+    def of(self, chunks: list[Sums]) -> list[tuple[int, int]]:
+        """How many links of each chunk are best, and the sum of their counts."""
+        at = np.searchsorted(self.pairs, np.frombuffer(b"".join([c.pairs for c in chunks]), np.int64))
+        upto = np.cumsum([0, *(c.n_links for c in chunks)])
+        best, n = (np.concatenate([[0], np.cumsum(x[at])])[upto] for x in (self.best, self.n))
+        return list(zip(np.diff(best).tolist(), np.diff(n).tolist()))
 
 
 def digests(docs: DataFrame, *, a: str | None = None, b: str | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -346,36 +399,33 @@ def digests(docs: DataFrame, *, a: str | None = None, b: str | None = None, broa
 def _digested(a: str, b: str, weights=None):
     """Digests of texts; without weights the two sums are left out and the pairs and how often each is there are added."""
     def run(batches):
-        memory = _memory(a, b, "end")
+        memory = _memory(a, b, "end", True)
         table = weights() if weights else None
         known: dict[str, tuple[int, int]] = {}
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out = []
-            for doc, text in zip(ids, texts):
+            for doc, text, stretch in zip(ids, texts, _looked_up(texts, memory)):
                 n = [0] * 6
                 sha, first, pairs, bad = hashlib.sha256(), True, [], not text
-                for chunks, of in _chunks(text, memory) if text else ():
+                for chunks, of in stretch:
                     got = list(map(of, chunks))
                     if None in got:
                         bad = True
                         break
                     sha.update(("" if first else ";").encode() + ";".join([c.groups for c in got]).encode())
                     first = False
-                    n[0] += sum([len(c.a) for c in got]) // 4
-                    n[1] += sum([len(c.b) for c in got]) // 4
-                    n[2] += sum([c.n_groups for c in got])
-                    n[3] += sum([len(c.left) for c in got]) // 4
+                    for k, total in enumerate(map(sum, list(zip(*got))[:4])):
+                        n[k] += total
                     if table:
                         if len(known) > 4 * REMEMBERED:
                             known.clear()
-                        for name, c in zip(chunks, got):
-                            w = known.get(name)
-                            if w is None:
-                                w = known[name] = table.of(c)
-                            n[4] += w[0]
-                            n[5] += w[1]
+                        new = {name: c for name, c in zip(chunks, got) if name not in known}
+                        if new:
+                            known.update(zip(new, table.of(list(new.values()))))
+                        for k, total in enumerate(map(sum, zip(*map(known.__getitem__, chunks)))):
+                            n[4 + k] += total
                     else:
-                        pairs.append(np.concatenate([c.pairs() for c in got]))
+                        pairs.append(np.frombuffer(b"".join([c.pairs for c in got]), np.int64))
                 if bad:
                     n, pairs = [0] * 6, []
                 out.append((doc, *n, "" if bad else sha.hexdigest(), pairs))

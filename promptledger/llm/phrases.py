@@ -6,8 +6,8 @@ occurrences of the frequent ones alone, by a semi-join, are the next relation.
 
 A relation is stored in blocks, some million positions of one language, a row each; pieces lie whole in a block, and
 the end of a piece takes a position, so adjacent positions are of one piece. Rows of a block are sorted, the
-merge-join is therefore done where the block is read. What is shuffled is one row for each group and block with its
-count, and one row back for each frequent one.
+merge-join is therefore done where the block is read. What is shuffled is each block's groups with their counts, in
+packets by range of a hash, and back to the block those that are frequent.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .common import rows_of
+from .shingles import mixed
 
 #: A phrase counts from so many occurrences on; the longest phrase; rows returned per language.
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
@@ -28,6 +29,8 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 ABSORBED_PERCENT = 100
 #: Positions of a block, unless a single piece has more; positions that a task gathers before it writes its blocks.
 BLOCK, HELD = 1 << 21, 1 << 22
+#: Words of the corpus for each range of pairs that is counted by itself.
+RANGE = 1 << 21
 
 # The characters that end a piece, and the one of its own between words.
 ENDS, TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
@@ -45,14 +48,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers, with their count in front, compressed."""
-    raw = np.int64(len(values)).tobytes() + values.tobytes()
+    """Numbers, with their count in front, compressed; bytes of equal weight lie together."""
+    raw = np.int64(len(values)).tobytes() + np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
     return np.int64(len(raw)).tobytes() + pa.compress(raw, _CODEC, asbytes=True)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     raw = pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), _CODEC, asbytes=True)
-    return np.frombuffer(raw, kind, offset=8)
+    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """A number's distance from the one before; undone by a running sum."""
+    return np.diff(values, prepend=values.dtype.type(0))
 
 
 class _Numbers(dict):
@@ -157,21 +166,6 @@ def adjacent(pos: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.ndar
     return at, pairs, which, counts
 
 
-def _longer(relation: DataFrame) -> DataFrame:
-    """(`block`, `idx`, `left`, `right`, `c`): a row for each pair of adjacent groups of a block."""
-    def run(batches):
-        for ids, pos, group, groups in rows_of(batches, "block", "pos", "grp", "groups"):
-            for block, p, g, names in zip(ids, pos, group, groups):
-                names = unpacked(names, np.int64)
-                _, pairs, _, counts = adjacent(unpacked(p, np.int32), unpacked(g, np.int32), max(len(names), 1))
-                left, right = np.divmod(pairs, max(len(names), 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pairs), block)), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(names[left]),
-                     pa.array(names[right]), pa.array(counts.astype(np.int64))], names=["block", "idx", "left", "right", "c"])
-
-    return relation.select("block", "pos", "grp", "groups").mapInArrow(run, "block bigint, idx int, left bigint, right bigint, c bigint")
-
-
 def _frequent(rows: DataFrame, key: list[str], min_count: int) -> DataFrame:
     """The rows of groups that occur often enough in all blocks together, with their sum `f` and the group's `id`.
 
@@ -190,30 +184,142 @@ def _kept(frequent: DataFrame) -> DataFrame:
 _RELATION = "block bigint, pos binary, grp binary, groups binary"
 
 
-def _semi_joined(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
-    """The next relation: occurrences of the frequent groups alone, sorted by position."""
+class _Relation:
+    """A block of a relation: positions in order, the group at each, and the ids of the groups."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.pos = np.cumsum(unpacked(row["pos"], np.int32), dtype=np.int32)
+        self.group, self.ids = unpacked(row["grp"], np.int32), unpacked(row["groups"], np.int64)
+
+    def longer(self, ranges: int):
+        """Adjacent groups: the places of their first, the pair at each, each pair's left and right id, its count, and its range."""
+        at, pairs, which, counts = adjacent(self.pos, self.group, max(len(self.ids), 1))
+        left, right = (self.ids[x] for x in np.divmod(pairs, max(len(self.ids), 1)))
+        spread = mixed(mixed(left.view(np.uint64)) ^ right.view(np.uint64)) % np.uint64(ranges)
+        return at, which, left, right, counts, spread.astype(np.int64)
+
+
+def _relation_row(block: int, pos: np.ndarray, group: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    columns = (packed(x) for x in (steps(pos.astype(np.int32)), group.astype(np.int32), ids.astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)],
+                                      names=["block", "pos", "grp", "groups"])
+
+
+def _first_relation(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Occurrences of the frequent words: the semi-join of a block's words with them."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                idx = np.array([k["idx"] for k in row["kept"]], np.int32)
-                names = np.array([k["id"] for k in row["kept"]], np.int64)
-                if first:
-                    rank = unpacked(row["at"], np.int32)
-                    pos = np.flatnonzero(rank).astype(np.int32)
-                    which, n = rank[pos] - 1, int(rank.max())
-                else:
-                    pos = unpacked(row["pos"], np.int32)
-                    at, pairs, which, _ = adjacent(pos, unpacked(row["grp"], np.int32), max(len(unpacked(row["groups"], np.int64)), 1))
-                    pos, n = pos[at], len(pairs)
-                new = np.full(n, -1, np.int32)
-                new[idx] = np.arange(len(idx), dtype=np.int32)
+                rank = unpacked(row["at"], np.int32)
+                new = np.full(int(rank.max()) + 1, -1, np.int32)
+                new[np.array([k["idx"] for k in row["kept"]], np.int64) + 1] = np.arange(len(row["kept"]), dtype=np.int32)
+                group = new[rank]
+                pos = np.flatnonzero(group >= 0)
+                yield _relation_row(row["block"], pos, group[pos], np.array([k["id"] for k in row["kept"]], np.int64))
+
+    kept = frequent.groupBy("block").agg(F.collect_list(F.struct("idx", "id")).alias("kept"))
+    return blocks.select("block", "at").join(kept, "block").mapInArrow(run, _RELATION)
+
+
+_PACKET = "r int, block bigint, head binary, tail binary, c binary"
+
+
+def _packets(relation: DataFrame, ranges: int) -> DataFrame:
+    """A row for each block and range of pairs: their left and right ids and counts."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = _Relation(row)
+                _, _, left, right, counts, spread = of.longer(ranges)
+                order = np.argsort(spread, kind="stable")
+                used, first = np.unique(spread[order], return_index=True)
+                out = [(int(r), of.block, packed(steps(left[o])), packed(right[o]), packed(counts[o].astype(np.int64)))
+                       for r, o in zip(used.tolist(), np.split(order, first[1:]))]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["r", "block", "head", "tail", "c"])
+
+    return relation.mapInArrow(run, _PACKET)
+
+
+_COUNTED = "block bigint, r int, places binary, ids binary, head binary, tail binary, f binary"
+
+
+def _counted(packets: DataFrame, min_count: int) -> DataFrame:
+    """Group-count: the frequent pairs of each range (no block), and for each packet their places in it with their ids.
+
+    An id is the range and a running number. The rows of a range are its pairs, one for each block they are in.
+    """
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["r"] != now and held:
+                    yield from counted(now, held)
+                    held = []
+                now = row["r"]
+                held.append(row)
+        if held:
+            yield from counted(now, held)
+
+    def counted(r, rows):
+        left = np.concatenate([np.cumsum(unpacked(x["head"], np.int64)) for x in rows])
+        right = np.concatenate([unpacked(x["tail"], np.int64) for x in rows])
+        counts = [unpacked(x["c"], np.int64) for x in rows]
+        c = np.concatenate(counts)
+        order = np.lexsort((right, left))
+        new = np.concatenate([[True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])])
+        total = np.add.reduceat(c[order], np.flatnonzero(new))
+        often = total >= min_count
+        ids = np.where(often, (r << 40) + np.cumsum(often) - 1, -1)
+        of = np.empty(len(order), np.int64)
+        of[order] = ids[np.cumsum(new) - 1]
+        out, at = [], 0
+        for x, n in zip(rows, map(len, counts)):
+            places = np.flatnonzero(of[at:at + n] >= 0)
+            if len(places):
+                out.append((x["block"], r, packed(steps(places.astype(np.int32))), packed(of[at:at + n][places]), None, None, None))
+            at += n
+        first = order[np.flatnonzero(new)[often]]
+        if len(first):
+            out.append((None, r, None, packed(ids[often]), packed(left[first]), packed(right[first]), packed(total[often])))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _COUNTED.split(", ")])
+
+    return packets.repartition("r").sortWithinPartitions("r").mapInArrow(run, _COUNTED)
+
+
+def _groups(counted: DataFrame) -> DataFrame:
+    """(`id`, `left`, `right`, `f`) of the frequent pairs."""
+    def run(batches):
+        for columns in rows_of(batches, "ids", "head", "tail", "f"):
+            for row in zip(*columns):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(x, np.int64)) for x in row], names=["id", "left", "right", "f"])
+
+    return counted.where("block is null").select("ids", "head", "tail", "f").mapInArrow(run, "id bigint, left bigint, right bigint, f bigint")
+
+
+def _next_relation(relation: DataFrame, counted: DataFrame, ranges: int) -> DataFrame:
+    """Occurrences of the frequent pairs: the semi-join of a block's pairs with them."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = _Relation(row)
+                at, which, left, _, _, spread = of.longer(ranges)
+                order = np.argsort(spread, kind="stable")
+                first = dict(zip(*(x.tolist() for x in np.unique(spread[order], return_index=True))))
+                new, ids = np.full(len(left), -1, np.int32), []
+                for k in row["kept"]:
+                    pairs = order[np.cumsum(unpacked(k["places"], np.int32)) + first[k["r"]]]
+                    new[pairs] = np.arange(len(pairs), dtype=np.int32) + sum(map(len, ids))
+                    ids.append(unpacked(k["ids"], np.int64))
                 group = new[which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (pos[group >= 0], group[group >= 0], names))],
-                    names=["block", "pos", "grp", "groups"])
+                yield _relation_row(of.block, of.pos[at][group >= 0], group[group >= 0], np.concatenate(ids))
 
-    columns = ["at"] if first else ["pos", "grp", "groups"]
-    return relation.select("block", *columns).join(_kept(frequent), "block").mapInArrow(run, _RELATION)
+    kept = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("r", "places", "ids")).alias("kept"))
+    return relation.join(kept, "block").mapInArrow(run, _RELATION)
 
 
 def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -223,19 +329,21 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     """
     blocks = checkpointed(_read(docs))
     frequent = checkpointed(_frequent(_words(blocks), ["lang", "word"], min_count))
-    own = F.col("id") == F.col("block") + F.col("idx")
-    group = frequent.where(own).select("id", "lang", F.array("word").alias("words"), "f")
-    out, relation = [group], blocks
+    group = frequent.where(F.col("id") == F.col("block") + F.col("idx")).select("id", "lang", F.array("word").alias("words"), "f")
+    # One number: it says in how many ranges pairs are counted.
+    ranges = int(blocks.agg(F.greatest(F.ceil(F.sum("n") / RANGE), F.lit(1))).first()[0] or 1)
+    out, relation = [group], checkpointed(_first_relation(blocks, frequent))
     for k in range(2, longest + 1):
-        relation = checkpointed(_semi_joined(relation, frequent, first=k == 2))
-        frequent = checkpointed(_frequent(_longer(relation), ["left", "right"], min_count))
-        if frequent.isEmpty():
+        counted = checkpointed(_counted(_packets(relation, ranges), min_count))
+        if counted.isEmpty():
             break
         head = group.select(F.col("id").alias("left"), "lang", F.col("words").alias("head"))
         tail = group.select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"))
-        group = checkpointed(frequent.where(own).join(head, "left").join(tail, "right").select(
+        group = checkpointed(_groups(counted).join(head, "left").join(tail, "right").select(
             "id", "lang", F.concat("head", F.array("tail")).alias("words"), "f"))
         out.append(group)
+        if k < longest:
+            relation = checkpointed(_next_relation(relation, counted, ranges))
     phrases = out[0]
     for g in out[1:]:
         phrases = phrases.union(g)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import rows_of, text_rows
-from .pretokens import Memory, stretches
+from .pretokens import STRETCH, Memory, encoded, grouped, stretches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -27,28 +28,51 @@ _FILE = "doc_id bigint, part int, first bigint, n_tokens int, ids array<int>"
 
 @functools.lru_cache(maxsize=2)
 def _memory(vocabulary: str) -> Memory:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(vocabulary)
+    lengths = np.zeros(max(coder.get_vocab().values(), default=0) + 1, np.int64)
+    for token, i in coder.get_vocab().items():
+        lengths[i] = len(token)  # a byte-level token has a character for each byte
 
     def make(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in coder.encode_batch(chunks, add_special_tokens=False)]
+        ids, order, ends = encoded(chunks, lambda text: coder.encode(text, add_special_tokens=False).ids, lengths)
+        raw, out, at = ids.tobytes(), [b""] * len(chunks), 0
+        for i, end in zip(order, (4 * ends).tolist()):
+            out[i] = raw[at:end]
+            at = end
+        return out
 
     return Memory(make, REMEMBERED)
 
 
+def _chunks(text: str) -> Iterator[list[str]]:
+    """The chunks of a text, each but the very first with the space before it."""
+    for n, chunks in enumerate(stretches(text)):
+        yield [f" {c}" if n or i else c for i, c in enumerate(chunks)]
+
+
 def encode(text: str, vocabulary: str) -> bytes:
     """The ids of a whole text as 32-bit integers.
 
     Chunks are encoded by themselves, each distinct one once; none of the vocabulary's splits reaches over the
     space they begin with, so the ids are those of the text in one go.
     """
-    memory, out = _memory(vocabulary), []
-    for chunks in stretches(text):
-        # Only the very first chunk has no space before it.
-        chunks = [c if not out and not i else f" {c}" for i, c in enumerate(chunks)]
-        out.append(b"".join(map(memory.of(chunks), chunks)))
-    return b"".join(out)
+    memory = _memory(vocabulary)
+    return b"".join(b"".join(map(memory.of(chunks), chunks)) for chunks in _chunks(text))
+
+
+def encode_all(texts: list[str], vocabulary: str) -> Iterator[bytes]:
+    """The ids of each text; the chunks of many short texts are looked up together."""
+    memory = _memory(vocabulary)
+    for group in grouped(texts):
+        if len(group) > 1 and len(group[-1]) <= STRETCH:
+            parts = [next(_chunks(t)) for t in group]
+            of = memory.of([c for chunks in parts for c in chunks])
+            yield from (b"".join(map(of, chunks)) for chunks in parts)
+        else:
+            yield from (encode(t, vocabulary) for t in group)
 
 
 def write_token_ids(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = END_ID,
@@ -91,8 +115,8 @@ def write_token_ids(docs: DataFrame, path: str, *, vocabulary: str | None = None
 
         end = np.int32(end_id).tobytes()
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            for doc, text in zip(ids, texts):
-                held.append((doc, first, encode(text, vocabulary) + end))
+            for doc, found in zip(ids, encode_all(texts, vocabulary)):
+                held.append((doc, first, found + end))
                 first += len(held[-1][2]) // 4
                 size += len(held[-1][2]) // 4
                 if size >= BATCH_IDS:

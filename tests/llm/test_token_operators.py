@@ -68,6 +68,7 @@ def test_collocations(spark, monkeypatch, percent):
     # Several small blocks, so groups meet only in the shuffle.
     monkeypatch.setattr(phrases, "BLOCK", 150)
     monkeypatch.setattr(phrases, "HELD", 400)
+    monkeypatch.setattr(phrases, "RANGE", 200)
     got = phrases.collocations(lang_table(spark, rows).repartition(3), min_count=4, top=25, absorbed_percent=percent)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == slow_collocations(rows, 4, 5, 25, percent)
