@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, strip
 from ..schemas import MAX_KEY_CHARS, MAX_PROMPT_CHARS, MODEL_ALIASES, MODEL_NAMES
-from ..sources.readers import CORRUPT
+from ..sources.readers import CORRUPT, MISTYPED
 
 
 def _lookup(c: Column, table: dict[str, str]) -> Column:
@@ -39,7 +39,10 @@ def client_ip(xff: Column, peer: Column, trust: bool) -> Column:
 
 
 def check(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Stripped and defaulted requests with `errors`, an array of (field, message); empty when valid."""
+    """Stripped and defaulted requests with `errors`, an array of (field, message); empty when valid.
+
+    A malformed record has that one error; a field of a wrong type has no other.
+    """
     for name, default in (("header_api_key", F.lit(None).cast("string")), ("client_ip", F.lit(None).cast("string")),
                           ("enable_pii", F.lit(True)), ("enable_injection", F.lit(True))):
         if name not in requests.columns:
@@ -61,17 +64,21 @@ def check(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     ]
     if "request_id" in requests.columns:
         tests.append(("request_id", "field required", F.col("request_id").isNull()))
+    errors = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, m, bad in tests]))
+    if MISTYPED in requests.columns:
+        mistyped = F.col(MISTYPED)
+        errors = F.concat(mistyped, F.filter(errors, lambda e: ~F.exists(mistyped, lambda m: m["field"] == e["field"])))
     if CORRUPT in requests.columns:
-        tests.insert(0, ("body", "malformed record", F.col(CORRUPT).isNotNull()))
-    errors = [F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, m, bad in tests]
-    return clean.withColumn("errors", F.array_compact(F.array(*errors)))
+        malformed = F.array(F.struct(F.lit("body").alias("field"), F.lit("malformed record").alias("message")))
+        errors = F.when(F.col(CORRUPT).isNotNull(), malformed).otherwise(errors)
+    return clean.withColumn("errors", errors)
 
 
 def validate(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> tuple[DataFrame, DataFrame]:
     """Valid requests, and the quarantine with `errors`. Rejected requests are never audited."""
     checked = check(requests, max_chars)
     bad = F.size("errors") > 0
-    return checked.filter(~bad).drop("errors", CORRUPT), checked.filter(bad)
+    return checked.filter(~bad).drop("errors", CORRUPT, MISTYPED), checked.filter(bad)
 
 
 def prompt_status(has_pii: Column, scrub_on: Column, n: Column, blocked: Column) -> Column:

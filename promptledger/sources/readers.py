@@ -6,28 +6,70 @@ import re
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.rules import Rule
 from ..schemas import API_KEYS, INJECTION_RULES, REQUEST_LOG
 
-CORRUPT = "_corrupt"
+CORRUPT, MISTYPED = "_corrupt", "_mistyped"
 
 
-def _request_schema(fmt: str) -> T.StructType:
-    return T.StructType(REQUEST_LOG.fields + [T.StructField(CORRUPT, T.StringType())]) if fmt == "json" else REQUEST_LOG
+#: JSON kinds, as VARIANT names them.
+_TEXT, _WHOLE, _FLAG, _NULL = "STRING", "BIGINT", "BOOLEAN", "VOID"
+# Texts that stand for a flag, in any case.
+_YES, _NO = ("1", "on", "t", "true", "y", "yes"), ("0", "off", "f", "false", "n", "no")
+
+
+def typed_requests(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Requests from lines of JSON, each field by itself; the columns of a request log, `_corrupt` and `_mistyped`.
+
+    A line that is no JSON object is kept whole in `_corrupt`. In an object each field of a wrong type gives an entry
+    (field, message) in `_mistyped` and a null value, and the other fields are read all the same. Texts have to be
+    texts: numbers are not turned into them. Flags may also be 0, 1 or the usual words for them, ids may be whole
+    numbers as text. A null is one that is missing for keys, headers and addresses; in all other fields it is mistyped.
+    Fields that are not known are ignored, and blank lines are no records.
+    """
+    rows = lines.where(F.regexp_like(F.col(line), F.lit("[^ \\t\\r]"))).select(F.col(line).alias("line"), F.try_parse_json(F.col(line)).alias("v"))
+    names = [f.name for f in REQUEST_LOG.fields]
+    # What a field holds, and of which kind it is: null where it is not there.
+    held = [F.try_variant_get("v", f"$.{n}", "variant").alias(n) for n in names]
+    rows = rows.select("line", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("object"), *held)
+    kinds = {n: F.regexp_extract(F.schema_of_variant(F.col(n)), "^[A-Z]+", 0) for n in names}
+
+    def text(n: str) -> Column:
+        return F.when(kinds[n] == _TEXT, F.try_variant_get(n, "$", "string"))
+
+    def flag(n: str) -> Column:
+        number = F.when(kinds[n].isin(_WHOLE, "DECIMAL", "DOUBLE"), F.try_variant_get(n, "$", "double"))
+        word = F.lower(text(n))
+        return F.when(kinds[n] == _FLAG, F.try_variant_get(n, "$", "boolean")).when(word.isin(*_YES) | (number == 1), True) \
+            .when(word.isin(*_NO) | (number == 0), False)
+
+    whole = F.when(kinds["request_id"] == _WHOLE, F.try_variant_get("request_id", "$", "bigint")).otherwise(
+        F.when(F.regexp_like(text("request_id"), F.lit(r"^-?[0-9]{1,19}$")), text("request_id").try_cast("bigint")))
+    values = {"request_id": whole, "ts": text("ts").try_cast("timestamp_ntz"), "enable_pii": flag("enable_pii"), "enable_injection": flag("enable_injection")}
+    values |= {n: text(n) for n in names if n not in values}
+    optional = {"api_key", "header_api_key", "client_ip"}
+    says = {"request_id": "must be a whole number", "ts": "must be a time", "target_model": "unsupported",
+            "enable_pii": "must be true or false", "enable_injection": "must be true or false"}
+    read = rows.select("line", "object", *[F.struct(kinds[n].alias("kind"), values[n].alias("value")).alias(n) for n in names])
+    wrong = [F.when(F.col(n)["kind"].isNotNull() & F.col(n)["value"].isNull() & ((F.col(n)["kind"] != _NULL) if n in optional else F.lit(True)),
+                    F.struct(F.lit(n).alias("field"), F.lit(says.get(n, "must be text")).alias("message"))) for n in names]
+    return read.select(*[F.col(n)["value"].alias(n) for n in names], F.when(~F.col("object"), F.col("line")).alias(CORRUPT),
+                       F.array_compact(F.array(*wrong)).alias(MISTYPED))
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A request log. In JSON, a line that is no request keeps its text in `_corrupt`."""
-    reader = spark.read.schema(_request_schema(fmt)).option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("mode", "PERMISSIVE").format(fmt).load(path)
+    """A request log. In JSON, one record a line, see `typed_requests` for records and fields that are not right."""
+    if fmt == "json":
+        return typed_requests(spark.read.text(path))
+    return spark.read.schema(REQUEST_LOG).format(fmt).load(path)
 
 
 def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
     """The same log as a stream of files, at most `max_files` of them in a micro-batch."""
-    reader = spark.readStream.schema(_request_schema(fmt)).option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("maxFilesPerTrigger", max_files).option("mode", "PERMISSIVE").format(fmt).load(path)
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    return typed_requests(reader.text(path)) if fmt == "json" else reader.schema(REQUEST_LOG).format(fmt).load(path)
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from promptledger import AuditConfig, Detector, audit, audit_projection, event_j
 from promptledger.functions import masking, text as tx
 from promptledger.operators import keys as ky, requests as rq, responses as rs
 from promptledger.plans import audit as au
+from promptledger.sources import readers
 from promptledger.sources.writers import rules_csv
 from verification import load_all
 from verification.decisions import CONFIG, key_dimension
@@ -114,6 +115,36 @@ def test_malformed_json_goes_to_quarantine(spark, tmp_path):
     assert good.count() == 1 and [e.field for e in bad.first().errors][0] == "body"
 
 
+def test_mistyped_fields_are_named(spark, tmp_path):
+    base = '"request_id": %d, "ts": "2024-03-01T00:00:00", "prompt": "hi there"'
+    cases = [
+        ('{%s}', [], True), ('{%s, "enable_pii": "Yes", "more": [1, {"prompt": 2}]}', [], True), ('{%s, "enable_pii": "off"}', [], False),
+        ('{%s, "enable_pii": 0}', [], False), ('{%s, "enable_pii": 1.0}', [], True), ('{%s, "enable_pii": "maybe"}', ["enable_pii"], None),
+        ('{%s, "enable_pii": " true"}', ["enable_pii"], None), ('{%s, "enable_pii": 3, "api_key": 5}', ["api_key", "enable_pii"], None),
+        ('{%s, "enable_injection": null, "api_key": null}', ["enable_injection"], None), ('{%s, "target_model": 4}', ["target_model"], None),
+        ('{%s, "target_model": "GPT-4 ", "client_ip": {}}', ["client_ip"], None),
+    ]
+    lines = [c % (base % i) for i, (c, _, _) in enumerate(cases)]
+    lines += ['{"request_id": "11", "ts": "2024-03-01 00:00:00", "prompt": 7}', '{"request_id": 1.5, "ts": 9, "prompt": ["x"]}', "", "  \t", "7", "[1]", '"x"', "null", "{not json",
+              '{"request_id": 20}']
+    (tmp_path / "in.json").write_text("\n".join(lines) + "\n")
+    rows = rq.check(read_requests(spark, str(tmp_path / "in.json"), "json")).collect()
+    got = {r.request_id: r for r in rows if r.request_id is not None}
+    for i, (_, fields, flag) in enumerate(cases):
+        assert [e.field for e in got[i].errors] == fields and (fields or got[i].enable_pii == flag) and got[i].prompt == "hi there"
+    assert [(e.field, e.message) for e in got[11].errors] == [("prompt", "must be text")]
+    assert [e.message for e in got[20].errors] == ["field required"]
+    rest = sorted([tuple((e.field, e.message) for e in r.errors) for r in rows if r.request_id is None])
+    assert rest == [(("body", "malformed record"),)] * 5 + [(("request_id", "must be a whole number"), ("ts", "must be a time"), ("prompt", "must be text"))]
+    good, bad = rq.validate(read_requests(spark, str(tmp_path / "in.json"), "json"))
+    assert good.count() == 5 and bad.count() == len(rows) - 5 and not {"_mistyped", "_corrupt", "errors"} & set(good.columns)
+    # The same records as a stream.
+    q = readers.stream_requests(spark, str(tmp_path / "in*"), "json").writeStream.format("memory").queryName("typed").option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("typed").count() == len(rows)
+
+
 def test_keys(spark, keys):
     want = hmac.new(SECRET.encode(), b"demo-key-001", hashlib.sha256).hexdigest()
     long = "s" * 100

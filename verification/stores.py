@@ -76,6 +76,47 @@ def src2(spark, sf):
     return checked.select(F.coalesce("request_id", broken).alias("request_id"), kinds.alias("errors"), (F.size("errors") == 0).alias("valid"))
 
 
+#: How the fields of a record are written, by its id: the JSON put in place of a field, and what is said about it.
+_TYPED = {
+    0: ("enable_pii", '"true"', None), 1: ("enable_pii", '"maybe"', "enable_pii: must be true or false"), 2: ("enable_pii", "1.0", None),
+    3: ("enable_injection", "2", "enable_injection: must be true or false"), 4: ("enable_pii", "null", "enable_pii: must be true or false"),
+    5: ("enable_injection", "[true]", "enable_injection: must be true or false"), 6: ("enable_pii", '"OFF"', None),
+    7: ("prompt", "7", "prompt: must be text"), 8: ("target_model", "null", "target_model: unsupported"), 9: ("api_key", '{"k": 12}', "api_key: must be text"),
+    10: ("api_key", "null", None), 11: ("ts", '"noon"', "ts: must be a time"), 12: ("extra", '{"ts": 1, "prompt": [2]}', None), 13: ("request_id", '"%d"', None),
+    14: ("prompt", "null", "prompt: must be text"),
+}
+_N_TYPED = 17
+
+
+@query("src2_typed_fields", f"""
+SELECT request_id, CASE request_id % {_N_TYPED} {" ".join(f"WHEN {k} THEN '{m}'" for k, (_, _, m) in _TYPED.items() if m)}
+     WHEN 15 THEN 'body: malformed record' WHEN 16 THEN 'body: malformed record' ELSE '' END
+   || CASE WHEN request_id % {_N_TYPED} IN (7, 14, 15, 16) THEN '' WHEN trim(prompt) = '' THEN CASE WHEN request_id % {_N_TYPED} IN (1, 3, 4, 5, 8, 9, 11) THEN '; ' ELSE '' END
+        || 'prompt: must not be blank' WHEN length(trim(prompt)) > 8000 THEN CASE WHEN request_id % {_N_TYPED} IN (1, 3, 4, 5, 8, 9, 11) THEN '; ' ELSE '' END || 'prompt: exceeds 8000 characters' ELSE '' END AS errors,
+   CASE WHEN request_id % {_N_TYPED} < 15 THEN CASE request_id % {_N_TYPED} WHEN 6 THEN false WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 4 THEN true ELSE enable_pii END END AS enable_pii,
+   CASE WHEN request_id % {_N_TYPED} < 15 AND request_id % {_N_TYPED} NOT IN (7, 14) THEN length(trim(prompt)) END::INTEGER AS prompt_chars
+FROM requests_v""")
+def src2_typed(spark, sf):
+    """A JSON log whose records have wrong types, texts for flags, nulls and further fields, are cut off or are no objects."""
+    path = folder(spark, "typed")
+    reqs = _requests(spark, sf)
+    # The field comes last, in place of its column.
+    line = F.lit(None).cast("string")
+    for k, (field, written, _) in _TYPED.items():
+        rest = F.to_json(F.struct(*[c for c in reqs.columns if c != field]))
+        value = F.format_string(written, "request_id") if "%d" in written else F.lit(written)
+        line = F.when(F.col("request_id") % _N_TYPED == k, F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(f', "{field}": '), value, F.lit("}"))).otherwise(line)
+    whole = F.to_json(F.struct(*reqs.columns))
+    line = F.when(F.col("request_id") % _N_TYPED == 15, F.substring(whole, F.lit(1), F.length(whole) - 5)) \
+        .when(F.col("request_id") % _N_TYPED == 16, F.format_string("[%d]", "request_id")).otherwise(line)
+    reqs.select(line.alias("value")).write.text(path)
+    checked = rq.check(readers.read_requests(spark, path, "json"))
+    broken = F.regexp_extract(readers.CORRUPT, r"[0-9]+", 0).cast("long")
+    said = F.array_join(F.transform("errors", lambda e: F.concat(e["field"], F.lit(": "), e["message"])), "; ")
+    return checked.select(F.coalesce("request_id", broken).alias("request_id"), said.alias("errors"),
+                          F.when(F.col(readers.CORRUPT).isNull(), F.col("enable_pii")).alias("enable_pii"), F.length("prompt").alias("prompt_chars"))
+
+
 def _rule_file(spark, sf) -> str:
     """A rule file made of the customer segments: one good rule each, and entries that cannot be used."""
     path = folder(spark, "rules")
