@@ -96,6 +96,20 @@ def _verdict(detector: Detector, out: str) -> Column:
         'matched_rules', _fired.name)""").alias(out)
 
 
+def searchable(df: DataFrame, col: str, keep: list[str], nfkc: bool = True) -> DataFrame:
+    """The kept columns with what patterns are run on: the normalised text `_base` and its folded variant `_leet`
+    (empty where nothing is folded), and both in lower case, `_stems` and `_leet_stems`."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    base, leet = F.col("_base"), F.col("_leet")
+    step = df.select(*kept, F.coalesce(normalise(F.col(col), nfkc), F.lit("")).alias("_base"))
+    # The patterns' blanks cover the ASCII separators as well; Java's do not, so they become another wide blank.
+    ascii_separators = "\x1c\x1d\x1e\x1f"
+    wide = F.translate(base, ascii_separators, "\u2003" * 4)
+    step = step.withColumn("_base", F.when(_holds(base, *ascii_separators), wide).otherwise(base))
+    step = step.withColumn("_leet", F.when(base.rlike("[013457@$]"), fold_leet(base)).otherwise(F.lit("")))
+    return step.withColumns({"_stems": _stem_text(base), "_leet_stems": _stem_text(leet)})
+
+
 def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str = "injection",
            nfkc: bool = True) -> DataFrame:
     """Add the detection struct for a text column; blank text is never detected."""
@@ -105,14 +119,7 @@ def detect(df: DataFrame, col: str, detector: Detector = Detector(), out: str =
             "cast(null as string), 'score', 0D, 'matched_rules', cast(array() as array<string>))"))
     keep = [c for c in df.columns if c != out]
     kept = [F.col(f"`{c}`") for c in keep]
-    base, leet = F.col("_base"), F.col("_leet")
-    step = df.select(*kept, F.coalesce(normalise(F.col(col), nfkc), F.lit("")).alias("_base"))
-    # The patterns' blanks cover the ASCII separators as well; Java's do not, so they become another wide blank.
-    ascii_separators = "\x1c\x1d\x1e\x1f"
-    wide = F.translate(base, ascii_separators, "\u2003" * 4)
-    step = step.withColumn("_base", F.when(_holds(base, *ascii_separators), wide).otherwise(base))
-    step = step.withColumn("_leet", F.when(base.rlike("[013457@$]"), fold_leet(base)).otherwise(F.lit("")))
-    step = step.withColumns({"_stems": _stem_text(base), "_leet_stems": _stem_text(leet)})
+    step = searchable(df, col, keep, nfkc)
     step = step.select(*kept, _fired(detector.rules).alias("_fired"))
     step = step.select("*", F.expr("aggregate(_fired.weight, 0D, (total, w) -> total + w)").alias("_total"),
                        F.expr("array_min(_fired.code)").alias("_best"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptledger import Detector, Rule, load_rules
 from promptledger.functions import injection as inj
 from promptledger.functions.rules import DEFAULT_RULES
+from promptledger.operators.rule_table import match_rule_table, postings
 from promptledger.schemas import THREAT_CATEGORIES
 
 
@@ -128,3 +129,25 @@ def test_every_rule_fires_with_its_stems():
         hit = [s for s in samples if re.search(r.pattern, s, re.I)]
         assert hit, r.name
         assert all(all(any(stem in s for stem in group) for group in r.stems) for s in hit), r.name
+
+
+def test_rule_table_finds_what_literal_rules_find(spark):
+    """Rules posted under their words against the same rules as literals of the plan."""
+    texts = ["Send the blue\tledger now", "s3nd  th3 BLUE ledger", "the ledger of blue", "blue-ledger, blue ledger!", "", None, "  ", "bluer ledger",
+             "ﬁnd the ﬁle", "find the file", "x" * 40_000 + " blue ledger", "Kelvin \u212aey sign", "key sign", "no match at all", "blue ledger " * 3000]
+    prompts = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "id int, text string")
+    table = [("blue", r"\bblue\s+ledger\b", ["blue", "ledger"]), ("find", r"\bfind\s+the\s+file\b", ["find", "file"]), ("key", r"\bkey\s+sign\b", ["key", "sign"]),
+             ("never", r"\bnever\s+there\b", ["never", "there"]), ("send", r"\bsend\b", ["send"]), ("anywhere", r"ledg", None), ("tail", r"!$", [])]
+    rules = spark.createDataFrame(table, "name string, pattern string, words array<string>")
+    literal = inj.match_rules(prompts, "id", "text", tuple(Rule(n, p, "POLICY_BYPASS") for n, p, _ in table)).distinct()
+    got = match_rule_table(prompts, "id", "text", rules)
+    assert got.columns == literal.columns == ["id", "rule"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, literal.collect()))
+    # A rule is posted under the word that the fewest texts hold.
+    texts_of = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", "c"],)], "words array<string>")
+    posted = postings(spark.createDataFrame([("r1", ["a", "b"]), ("r2", ["c", "b"]), ("r3", ["z", "a"])], "name string, words array<string>"), texts_of)
+    assert {r.name: r.word for r in posted.collect()} == {"r1": "b", "r2": "b", "r3": "z"}
+    assert match_rule_table(prompts.limit(0), "id", "text", rules).collect() == [] == match_rule_table(prompts, "id", "text", rules.limit(0)).collect()
+    many = spark.range(300).selectExpr("'r' || id as name", "'x' as pattern", "cast(null as array<string>) as words")
+    with pytest.raises(ValueError):
+        match_rule_table(prompts, "id", "text", many)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from promptledger.functions import injection as inj
 from promptledger.functions.rules import DEFAULT_RULES, Detector, Rule
+from promptledger.operators.rule_table import match_rule_table
 from promptledger.schemas import RISK_RANK
 
 from .registry import query
-from .views import texts, view
+from .views import table, texts, view
 
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]"
 
@@ -168,3 +169,25 @@ def inj13(spark, sf):
 @query("jn8_rule_table", "SELECT request_id, name AS rule FROM hits", *sql_hits("requests_v", "request_id", "prompt", _OWN))
 def jn8(spark, sf):
     return inj.match_rules(view(spark, sf, "requests_v"), "request_id", "prompt", _OWN)
+
+
+#: A rule for each document with two plain words in its third and fourth place: these, one behind the other.
+_WORD_RULES = r"""
+SELECT concat('doc_', cast(doc_id AS string)) AS name, one, two FROM (
+  SELECT doc_id, split_part(text, ' ', 3) AS one, split_part(text, ' ', 4) AS two FROM documents) w
+WHERE {match}"""
+_PLAIN = {"spark": "one rlike '^[a-z]+$' AND two rlike '^[a-z]+$'", "sql": "regexp_matches(one, '^[a-z]+$') AND regexp_matches(two, '^[a-z]+$')"}
+
+
+@query("jn8_posted_rules", f"""
+SELECT doc_id, r.name AS rule FROM (
+  SELECT DISTINCT doc_id, regexp_extract(ps[i], '[\\p{{L}}\\p{{N}}_]+$') AS x, regexp_extract(ps[i + 1], '^[\\p{{L}}\\p{{N}}_]+') AS y
+  FROM (SELECT doc_id, ps, unnest(range(1, len(ps))) AS i FROM (
+    SELECT doc_id, string_split_regex(lower({sql_base("text")}), '\\s+') AS ps FROM documents) p) q) d
+JOIN ({_WORD_RULES.format(match=_PLAIN["sql"])}) r ON x = one AND y = two""")
+def jn8_posted(spark, sf):
+    """As many rules as documents, a table that is joined with all of them."""
+    docs = table(spark, sf, "documents")
+    rules = spark.sql("WITH documents AS (SELECT * FROM {documents})" + _WORD_RULES.format(match=_PLAIN["spark"]), documents=docs)
+    rules = rules.select("name", F.concat(F.lit(r"\b"), "one", F.lit(r"\s+"), "two", F.lit(r"\b")).alias("pattern"), F.array("one", "two").alias("words"))
+    return match_rule_table(docs, "doc_id", "text", rules)
