@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import checkpointed
 from .common import rows_of, text_rows
 from .components import components
-from .shingles import shingle_set, signature
+from .shingles import mixed, shingle_set, signature
 
 #: Groups whose corpus counts order the coordinates, and in how many pieces those counts travel.
 GROUPS, PIECES = 1 << 20, 64
@@ -206,7 +206,8 @@ def _shared(tiles: DataFrame) -> DataFrame:
     what they have left) of tiles with three texts or more.
 
     A pair has to be tried in the first tile it shares only, and there the coordinates left bound its overlap.
-    Of tiles with the same members a task passes on the first, as in the others fewer are left.
+    Tiles are named by their members here, so those with the same members, such as a family's, are one: a task passes
+    on the first, as in the others fewer are left, and `_members` brings the tasks' together.
     """
     def run(batches):
         seen: set[tuple] = set()
@@ -235,7 +236,7 @@ def _shared(tiles: DataFrame) -> DataFrame:
                 near = np.flatnonzero(_reach(n[i], left[i], n[i + 1:i + k], left[i + 1:i + k])) + 1
                 pair_a.append(np.full(len(near), members[0]))
                 pair_b.append(members[near])
-                many_t.append(tile[i:i + k])
+                many_t.append(np.full(k, _name(*key)))
                 many_m.append(members)
                 many_l.append(left[i:i + k])
             pairs = np.unique(np.column_stack([np.concatenate(pair_a), np.concatenate(pair_b)]), axis=0)
@@ -247,6 +248,16 @@ def _shared(tiles: DataFrame) -> DataFrame:
     return tiles.repartition("tile").sortWithinPartitions("tile", "sig").mapInArrow(run, "tile bigint, a bigint, b bigint")
 
 
+def _name(*of: int) -> int:
+    """A hash of the members of a tile. Two tiles that should share one would be searched as one, which finds no less."""
+    return int(mixed(np.array([hash(of) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
+
+
+def _members(shared: DataFrame) -> DataFrame:
+    """(`tile`, `sig`, `left`): each member of the different tiles once, with the most it has left in any of them."""
+    return shared.where("tile is not null").groupBy("tile", F.col("a").alias("sig")).agg(F.max("b").alias("left"))
+
+
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (`a`, `b`) whose sizes and points do not rule a link out, with the sizes and owners of both."""
     kept = ["a", "b", "n_a", "n_b", "doc_a", "doc_b"]
@@ -417,7 +428,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     first = checkpointed(_bounded(shared.where("tile is null").select("a", "b").distinct(), points))
     links = _verified(docs, first)
     label = components(links)
-    members = shared.where("tile is not null").select("tile", F.col("a").alias("sig"), F.col("b").alias("left"))
+    members = checkpointed(_members(shared))
     tried = first.select("a", "b")
     for likeliest in (True, False):
         rest = _across(members, label, points, likeliest).distinct().join(tried, ["a", "b"], "left_anti")
