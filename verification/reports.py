@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptledger.operators import audit_log as log, dashboard as db
-from promptledger.sources.writers import audit_projection, event_json
+from promptledger.sources.search_index import deep_page, search_store, update_search_index
+from promptledger.sources.writers import audit_projection, event_json, write_transactions
 
 from .registry import query
+from .stores import folder
 from .views import AS_OF, view
 
 
@@ -237,6 +239,28 @@ def tk1_keyset(spark, sf):
     return log.audit_page(view(spark, sf, "audit_rows_v"), after=("2024-01-15 00:00:00", 100)).select("id", "timestamp")
 
 
+def _store(spark, sf) -> str:
+    """The audit rows as a store of some files a day, with its search table; a tenth of the rows is newer than that."""
+    path, rows = folder(spark, "log"), view(spark, sf, "audit_rows_v")
+    write_transactions(rows.where("id % 10 < 9").repartition("timestamp"), path)
+    update_search_index(spark, path)
+    write_transactions(rows.where("id % 10 = 9").coalesce(1), path)
+    return path
+
+
+@query("flt3_indexed_search", f"SELECT id, 'id' AS found_by FROM audit_rows_v WHERE transaction_id ILIKE '%00%77%' UNION ALL SELECT id, 'text' FROM audit_rows_v WHERE {_TEXT}")
+def flt3_indexed(spark, sf):
+    path = _store(spark, sf)
+    by_id = search_store(spark, path, "00%77").select("id", F.lit("id").alias("found_by"))
+    return by_id.unionByName(search_store(spark, path, "  CARD ").select("id", F.lit("text").alias("found_by")))
+
+
+@query("tk1_deep_page", "SELECT id, timestamp FROM audit_rows_v WHERE pii_detected ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 3980")
+def tk1_deep(spark, sf):
+    stored = spark.read.parquet(_store(spark, sf))
+    return deep_page(log.audit_filter(stored, pii=True), 200, 20).select("id", "timestamp")
+
+
 @query("tk2_page_totals", "SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM audit_rows_v WHERE pii_detected")
 def tk2(spark, sf):
     return log.audit_totals(log.audit_filter(view(spark, sf, "audit_rows_v"), pii=True), 20)
