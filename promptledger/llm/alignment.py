@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
+from .arrays import packed, steps, unpacked
 from .common import rows_of, text_rows
-from .pretokens import STRETCH, Memory, encoded, grouped, stretches
+from .pretokens import STRETCH, Memory, grouped, stretches
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 KINDS = ("overlap", "group", "end")
-#: Chunks whose alignment a worker remembers in a generation; distinct chunks that it counts before it passes sums on.
-REMEMBERED, COUNTED = 1 << 18, 1 << 18
+#: Chunks whose alignment a worker remembers in a generation; links that it holds before it adds them up.
+REMEMBERED, COUNTED = 1 << 18, 1 << 21
 #: Terms of a product that are added up at once.
 TERMS = 1 << 22
 #: Id pairs that may be broadcast, some 17 bytes each; beyond it counts meet the documents in a join.
@@ -33,6 +34,8 @@ BROADCAST_PAIRS = 1 << 22
 
 
 _POWERS = 10 ** np.arange(1, 19)
+#: Characters that are no white space in any version of Unicode; between two of them a space is a place to cut.
+SOLID = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x1680)]))
 
 
 class Csr(NamedTuple):
@@ -162,6 +165,7 @@ class Aligner:
         sp = self.coder_b
         self.bytes_b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(sp.vocab_size())]
+        self.signed = [f"{i}{x}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for x in ",|;"]
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
 
     def most_pairs(self) -> int:
@@ -172,7 +176,7 @@ class Aligner:
     def _aligned(self, chunks: list[str]):
         """Aligned chunks, which a space goes before, side by side, so one product serves them all: those whose tokens
         give back their bytes, the ids of both, the linked places, where chunks begin in each, and their groups."""
-        good, (a, a_from), (b, b_from) = self._encoded([f" {c}" for c in chunks])
+        good, (a, a_from), (b, b_from) = self._encoded(chunks)
         a_ends, b_ends = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         left, right = links(a_ends, b_ends, self.kind)
         text, group_from = self._group_texts(a, b, a_ends, b_ends, a_from, b_from)
@@ -202,29 +206,37 @@ class Aligner:
 
     def _encoded(self, chunks: list[str]) -> tuple[list[int], tuple, tuple]:
         """The chunks that both vocabularies give back, and for each vocabulary their ids side by side and where chunks begin."""
-        sides = [encoded(chunks, self.encode_a, self.lengths_a), encoded(chunks, self.encode_b, self.lengths_b)]
-        ends = [np.empty(len(chunks) + 1, np.int64) for _ in sides]
-        ids = []
-        for end, (found, order, cuts) in zip(ends, sides):
-            # Back into the order of the chunks.
-            size = np.diff(cuts, prepend=0)
-            place = np.argsort(order, kind="stable")
-            end[0], end[1:] = 0, np.cumsum(size[place])
-            first = (cuts - size)[place]
-            ids.append(found[np.arange(end[-1]) + np.repeat(first - end[:-1], size[place])])
-        good = list(range(len(chunks)))
-        want = "".join(chunks).encode("utf-8", "surrogatepass")
-        starts = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])])
-        for k, (found, names, lengths) in enumerate(zip(ids, (self.bytes_a, self.bytes_b), (self.lengths_a, self.lengths_b))):
-            at = np.concatenate([[0], np.cumsum(lengths[found])])[ends[k]]
-            if (at != starts).any() or b"".join(map(names.__getitem__, found.tolist())) != want:
-                lists = np.split(found, ends[k][1:-1])
-                good = [i for i in good if b"".join(map(names.__getitem__, lists[i].tolist())) == chunks[i].encode("utf-8", "surrogatepass")]
-        if len(good) < len(chunks):
-            picked = [[np.split(x, e[1:-1])[i] for i in good] for x, e in zip(ids, ends)]
-            ids = [np.concatenate([np.zeros(0, np.int32), *p]) for p in picked]
-            ends = [np.concatenate([[0], np.cumsum([len(x) for x in p])]).astype(np.int64) for p in picked]
-        return good, (ids[0], ends[0]), (ids[1], ends[1])
+        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        # Chunks that can stand between others are encoded in one go, which costs a third of encoding them one by one.
+        order = [i for i, c in enumerate(chunks) if c and c[0] in SOLID and c[-1] in SOLID]
+        inner = len(order)
+        order += sorted(set(range(len(chunks))) - set(order))
+        sizes = np.fromiter((len(raw[i]) + 1 for i in order), np.int64, len(order))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        joined = "".join([f" {chunks[i]}" for i in order[:inner]])
+        whole = b"".join([b" " + raw[i] for i in order])
+        sides = []
+        for encode, names, lengths in ((self.encode_a, self.bytes_a, self.lengths_a), (self.encode_b, self.bytes_b, self.lengths_b)):
+            lists = [np.array(encode(joined), np.int32)] if inner else []
+            lists += [np.array(encode(f" {chunks[i]}"), np.int32) for i in order[inner:]]
+            ids = np.concatenate([np.zeros(0, np.int32), *lists])
+            ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+            cuts = np.searchsorted(ends, starts)
+            if ends[-1] != starts[-1] or (ends[cuts] != starts).any() or b"".join(map(names.__getitem__, ids.tolist())) != whole:
+                return self._encoded_singly(chunks, raw)
+            sides.append((ids, cuts))
+        return order, *sides
+
+    def _encoded_singly(self, chunks: list[str], raw: list[bytes]) -> tuple[list[int], tuple, tuple]:
+        """The same where some chunk's tokens are not its bytes: chunk by chunk, without those."""
+        good, kept = [], ([], [])
+        for i, c in enumerate(chunks):
+            ids = self.encode_a(f" {c}"), self.encode_b(f" {c}")
+            if all(b"".join(map(names.__getitem__, x)) == b" " + raw[i] for names, x in zip((self.bytes_a, self.bytes_b), ids)):
+                good.append(i)
+                for held, x in zip(kept, ids):
+                    held.append(np.array(x, np.int32))
+        return good, *((np.concatenate([np.zeros(0, np.int32), *k]), np.concatenate([[0], np.cumsum([len(x) for x in k])]).astype(np.int64)) for k in kept)
 
     def encode_a(self, text: str) -> list[int]:
         return self.coder_a.encode(text, add_special_tokens=False).ids
@@ -236,16 +248,16 @@ class Aligner:
         """Of each chunk the ids of its groups as text, and the number of groups before it."""
         ends = shared_ends(a_ends, b_ends)
         of_a, of_b = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
-        ids = np.empty(len(a) + len(b), np.int64)
-        sign = np.full(len(ids), ",")
         # A token of A stands behind the tokens of B of earlier groups, one of B behind those of A of its own as well.
         at_a = np.arange(len(a)) + np.searchsorted(of_b, of_a, "left")
         at_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")
+        # An id with the sign behind it: a comma within a group, a bar between its sides, a semicolon at its end.
+        ids, sign = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
         ids[at_a], ids[at_b] = a, b
-        sign[at_a[np.searchsorted(of_a, np.arange(len(ends)), "right") - 1]] = "|"
-        sign[at_b[np.searchsorted(of_b, np.arange(len(ends)), "right") - 1]] = ";"
-        whole = "".join([f"{i}{s}" for i, s in zip(ids.tolist(), sign.tolist())])
-        upto = np.concatenate([[0], np.cumsum(2 + np.searchsorted(_POWERS, ids, "right"))])  # an id's digits and its sign
+        sign[at_a[np.searchsorted(of_a, np.arange(len(ends)), "right") - 1]] = 1
+        sign[at_b[np.searchsorted(of_b, np.arange(len(ends)), "right") - 1]] = 2
+        whole = "".join(map(self.signed.__getitem__, (3 * ids + sign).tolist()))
+        upto = np.concatenate([[0], np.cumsum(2 + np.searchsorted(_POWERS, ids, "right"))])
         cuts = upto[a_from + b_from].tolist()
         return [whole[p:q - 1] for p, q in zip(cuts[:-1], cuts[1:])], np.searchsorted(ends, np.concatenate([[0], a_ends])[a_from], "right")
 
@@ -308,66 +320,84 @@ def align(docs: DataFrame, *, kind: str = "overlap", a: str | None = None, b: st
     return text_rows(docs).mapInArrow(run, "doc_id bigint, a_ids array<int>, b_ids array<int>, links array<struct<a:int,b:int>>")
 
 
-def pair_counts(docs: DataFrame, *, kind: str = "end", a: str | None = None, b: str | None = None) -> DataFrame:
-    """(`a_id`, `b_id`, `n`): how many links of the whole corpus hold each pair of ids.
+_NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+_READ = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, pairs binary, times binary"
 
-    Tasks count chunks and pass on a row for each distinct pair, so what moves is bounded by the vocabularies.
-    """
-    a, b = _paths(a, b)
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    new, first = np.unique(keys[order], return_index=True)
+    return new, np.add.reduceat(counts[order], first) if len(new) else np.zeros(0, np.int64)
+
+
+def _read(docs: DataFrame, a: str, b: str, kind: str) -> DataFrame:
+    """A row for each text, with its linked id pairs in `links`; and of each task, in rows of `pairs` and `times`, how often
+    it has linked which."""
     def run(batches):
-        memory, counts = _memory(a, b, kind, True), Counter()
-
-        def sums():
-            names = list(counts)
-            pairs: list[np.ndarray] = []
-            for at in range(0, len(names), 1 << 14):
-                part = names[at:at + (1 << 14)]
-                of = memory.of(part)
-                found = [of(c) for c in part]
-                times = np.repeat([counts[c] for c in part], [s.n_links for s in found])
-                pairs_of = np.frombuffer(b"".join([s.pairs for s in found]), np.int64)
-                order = np.argsort(pairs_of, kind="stable")
-                key, first = np.unique(pairs_of[order], return_index=True)
-                total = np.add.reduceat(times[order], first) if len(key) else np.zeros(0, np.int64)
-                pairs.append(np.column_stack([key, total]))
-            counts.clear()
-            rows = np.concatenate(pairs)
-            return pa.RecordBatch.from_arrays([pa.array((rows[:, 0] >> 32).astype(np.int32)), pa.array((rows[:, 0] & 0xFFFFFFFF).astype(np.int32)),
-                                               pa.array(rows[:, 1])], names=["a_id", "b_id", "n"])
-
-        for (texts,) in rows_of(batches, "text"):
-            for found in _looked_up(texts, memory):
-                own = Counter()
+        memory = _memory(a, b, kind, True)
+        held, size = [], 0
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add():
+            nonlocal held, size, total
+            keys = np.concatenate([total[0], *held])
+            total = _added(keys, np.concatenate([total[1], np.ones(len(keys) - len(total[0]), np.int64)]))
+            held, size = [], 0
+
+        for ids, texts in rows_of(batches, "doc_id", "text"):
+            out = []
+            for doc, text, found in zip(ids, texts, _looked_up(texts, memory)):
+                n, sha, first, parts = [0] * 4, hashlib.sha256(), True, []
+                whole = bool(text)
                 for chunks, of in found:
-                    if None in map(of, set(chunks)):
-                        own.clear()
+                    got = list(map(of, chunks))
+                    if None in got:
+                        whole = False
                         break
-                    own.update(chunks)
-                counts.update(own)
-                if len(counts) >= COUNTED:
-                    yield sums()
-        if counts:
-            yield sums()
+                    n_a, n_b, n_groups, n_links, groups, pairs = zip(*got)
+                    n = [x + sum(y) for x, y in zip(n, (n_a, n_b, n_groups, n_links))]
+                    sha.update(("" if first else ";").encode() + ";".join(groups).encode())
+                    parts.append(b"".join(pairs))
+                    first = False
+                links = np.sort(np.frombuffer(b"".join(parts) if whole else b"", np.int64))
+                out.append((doc, *(n if whole else [0] * 4), sha.hexdigest() if whole else "", packed(steps(links)), None, None))
+                held.append(links)
+                size += len(links)
+                if size >= COUNTED:
+                    add()
+            yield rows(out)
+        add()
+        if len(total[0]):
+            yield rows([(None, None, None, None, None, None, None, packed(steps(total[0])), packed(total[1]))])
+
+    def rows(out):
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.binary()] * 3
+        names = [c.split()[0] for c in _READ.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 9, kinds)], names=names)
 
-    return text_rows(docs).select("text").mapInArrow(run, "a_id int, b_id int, n bigint").groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+    return text_rows(docs).mapInArrow(run, _READ)
 
 
-_DIGESTS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
+def _counts(read: DataFrame) -> DataFrame:
+    """(`a_id`, `b_id`, `n`) over all tasks."""
+    def run(batches):
+        for pairs, times in rows_of(batches, "pairs", "times"):
+            for p, t in zip(pairs, times):
+                p = np.cumsum(unpacked(p, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((p >> 32).astype(np.int32)), pa.array((p & 0xFFFFFFFF).astype(np.int32)),
+                                                  pa.array(unpacked(t, np.int64))], names=["a_id", "b_id", "n"])
 
+    each = read.where("links is null").select("pairs", "times").mapInArrow(run, "a_id int, b_id int, n bigint")
+    return each.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
-class _Weights:
-    """Counts of id pairs, and whether no pair with the same B id has a greater one."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
-        self.pairs, self.n, self.best = pairs, n, best
+def pair_counts(docs: DataFrame, *, kind: str = "end", a: str | None = None, b: str | None = None) -> DataFrame:
+    """(`a_id`, `b_id`, `n`): how many links of the whole corpus hold each pair of ids.
 
-    def of(self, chunks: list[Sums]) -> list[tuple[int, int]]:
-        """How many links of each chunk are best, and the sum of their counts."""
-        at = np.searchsorted(self.pairs, np.frombuffer(b"".join([c.pairs for c in chunks]), np.int64))
-        upto = np.cumsum([0, *(c.n_links for c in chunks)])
-        best, n = (np.concatenate([[0], np.cumsum(x[at])])[upto] for x in (self.best, self.n))
-        return list(zip(np.diff(best).tolist(), np.diff(n).tolist()))
+    A task passes on each distinct pair once, so what moves is bounded by the vocabularies.
+    """
+    return _counts(_read(docs, *_paths(a, b), kind))
 
 
 def digests(docs: DataFrame, *, a: str | None = None, b: str | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -377,82 +407,48 @@ def digests(docs: DataFrame, *, a: str | None = None, b: str | None = None, broa
     corpus, ties included, and `count_sum` adds up the corpus counts of all links. `groups_sha256` is the digest of the
     ids by group (`a1,a2|b1;a3|b2`). Rows without tokens, see `align`, have zeros and an empty string.
 
-    Two passes over the texts: one counts pairs, one looks the counts up. Of two tokens that end together one is an
-    ending of the other, so the vocabularies bound the distinct pairs, however large the corpus; up to `broadcast_pairs`
-    the counts are broadcast, beyond it each text's distinct pairs are joined with them. Runs jobs when called.
+    The texts are read once; their links are checkpointed, a few bits each, and looked up when all are counted. Of two
+    tokens that end together one is an ending of the other, so the vocabularies bound the distinct pairs, however
+    large the corpus; up to `broadcast_pairs` the counts are broadcast, beyond it each text's distinct pairs are
+    joined with them. Runs jobs when called.
     """
     a, b = _paths(a, b)
-    counted = pair_counts(docs, a=a, b=b)
-    weighted = checkpointed(counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b_id"))))
+    read = checkpointed(_read(docs, a, b, "end"))
+    weighted = checkpointed(_counts(read).withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b_id"))))
+    rows = read.where("links is not null").select(*_NAMES, "links")
+    order = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     if Aligner(a, b, "end").most_pairs() > broadcast_pairs:
-        return _joined(docs, weighted, a, b)
+        return _joined(rows, weighted).select(*order)
     key = (F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("key")
     table = weighted.select(key, "n", "best").orderBy("key").toArrow()
     held = docs.sparkSession.sparkContext.broadcast([table[c].to_numpy() for c in ("key", "n", "best")])
 
-    def weights():
-        return _Weights(*held.value)
+    def run(batches):
+        keys, n, best = held.value
+        for batch in batches:
+            links = [np.cumsum(unpacked(x, np.int64)) for x in batch.column("links").to_pylist()]
+            sums = []
+            for x in links:
+                at = np.searchsorted(keys, x)
+                sums.append((int(best[at].sum()), int(n[at].sum())))
+            added = [pa.array(c, pa.int64()) for c in (zip(*sums) if sums else ((), ()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in _NAMES), *added], names=[*_NAMES, "n_best", "count_sum"])
 
-    return text_rows(docs).mapInArrow(_digested(a, b, weights), _DIGESTS)
+    return rows.mapInArrow(run, ", ".join(f"{x} {'string' if x == 'groups_sha256' else 'bigint'}" for x in (*_NAMES, "n_best", "count_sum"))).select(*order)
 
 
-def _digested(a: str, b: str, weights=None):
-    """Digests of texts; without weights the two sums are left out and the pairs and how often each is there are added."""
+def _joined(rows: DataFrame, weighted: DataFrame) -> DataFrame:
+    """`rows` with `n_best` and `count_sum`, where the counts are too many to broadcast."""
     def run(batches):
-        memory = _memory(a, b, "end", True)
-        table = weights() if weights else None
-        known: dict[str, tuple[int, int]] = {}
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            out = []
-            for doc, text, stretch in zip(ids, texts, _looked_up(texts, memory)):
-                n = [0] * 6
-                sha, first, pairs, bad = hashlib.sha256(), True, [], not text
-                for chunks, of in stretch:
-                    got = list(map(of, chunks))
-                    if None in got:
-                        bad = True
-                        break
-                    sha.update(("" if first else ";").encode() + ";".join([c.groups for c in got]).encode())
-                    first = False
-                    for k, total in enumerate(map(sum, list(zip(*got))[:4])):
-                        n[k] += total
-                    if table:
-                        if len(known) > 4 * REMEMBERED:
-                            known.clear()
-                        new = {name: c for name, c in zip(chunks, got) if name not in known}
-                        if new:
-                            known.update(zip(new, table.of(list(new.values()))))
-                        for k, total in enumerate(map(sum, zip(*map(known.__getitem__, chunks)))):
-                            n[4 + k] += total
-                    else:
-                        pairs.append(np.frombuffer(b"".join([c.pairs for c in got]), np.int64))
-                if bad:
-                    n, pairs = [0] * 6, []
-                out.append((doc, *n, "" if bad else sha.hexdigest(), pairs))
-            yield rows(out)
-
-    def rows(out):
-        columns = list(zip(*out)) or [()] * 9
-        kinds = [pa.int64()] * 7 + [pa.string()]
-        names = [c.split()[0] for c in _DIGESTS.split(", ")]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-        if weights is None:
-            found = [np.unique(np.concatenate(p), return_counts=True) if p else ([], []) for p in columns[8]]
-            arrays += [pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))]
-            names += ["pairs", "times"]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return run
-
-
-def _joined(docs: DataFrame, weighted: DataFrame, a: str, b: str) -> DataFrame:
-    """The digests where the counts are too many to broadcast."""
-    rows = text_rows(docs).mapInArrow(_digested(a, b), _DIGESTS + ", pairs array<bigint>, times array<bigint>")
-    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.inline(F.arrays_zip("pairs", "times"))).withColumns(
-        {"a_id": F.shiftright("pairs", 32).cast("int"), "b_id": F.col("pairs").bitwiseAND(0xFFFFFFFF).cast("int")})
+        for ids, links in rows_of(batches, "row", "links"):
+            for i, x in zip(ids, links):
+                pairs, times = np.unique(np.cumsum(unpacked(x, np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(pairs), i, np.int64)), pa.array((pairs >> 32).astype(np.int32)),
+                     pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(times.astype(np.int64))], names=["row", "a_id", "b_id", "times"])
+
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "links").mapInArrow(run, "row bigint, a_id int, b_id int, times bigint")
     sums = each.join(weighted, ["a_id", "b_id"]).groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best"), F.sum(F.col("times") * F.col("n")).alias("sum"))
-    names = [c.split()[0] for c in _DIGESTS.split(", ")]
-    return rows.drop("n_best", "count_sum", "pairs", "times").join(sums, "row", "left").withColumns(
-        {"n_best": F.coalesce("best", F.lit(0)), "count_sum": F.coalesce("sum", F.lit(0))}).select(*names)
+    return rows.join(sums, "row", "left").withColumns({"n_best": F.coalesce("best", F.lit(0)), "count_sum": F.coalesce("sum", F.lit(0))})

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
+from .arrays import packed, steps, unpacked
 from .common import rows_of
 from .shingles import mixed
 
@@ -38,7 +39,6 @@ ENDS, TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
 #: Ends a piece; no byte of UTF-8 has this value.
 _END = b"\xff"
 _TABLE = bytes.maketrans(ENDS + TAB, _END * len(ENDS) + b" ")
-_CODEC = "zstd"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,23 +47,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (data + _END).replace(_END, b" " + _END + b" ").split()
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers, with their count in front, compressed; bytes of equal weight lie together."""
-    raw = np.int64(len(values)).tobytes() + np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, _CODEC, asbytes=True)
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    raw = pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), _CODEC, asbytes=True)
-    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def steps(values: np.ndarray) -> np.ndarray:
-    """A number's distance from the one before; undone by a running sum."""
-    return np.diff(values, prepend=values.dtype.type(0))
-
-
 class _Numbers(dict):
     """Numbers words as they come; 0 is the end of a piece."""
 
