@@ -11,6 +11,7 @@ import functools
 import hashlib
 import os
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import checkpointed
 from .arrays import packed, steps, unpacked
 from .common import rows_of, text_rows
-from .pretokens import STRETCH, Memory, grouped, stretches
+from .pretokens import SOLID, Memory, looked_up, stretches
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 KINDS = ("overlap", "group", "end")
@@ -34,8 +35,6 @@ BROADCAST_PAIRS = 1 << 22
 
 
 _POWERS = 10 ** np.arange(1, 19)
-#: Characters that are no white space in any version of Unicode; between two of them a space is a place to cut.
-SOLID = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x1680)]))
 
 
 class Csr(NamedTuple):
@@ -239,7 +238,7 @@ class Aligner:
         return good, *((np.concatenate([np.zeros(0, np.int32), *k]), np.concatenate([[0], np.cumsum([len(x) for x in k])]).astype(np.int64)) for k in kept)
 
     def encode_a(self, text: str) -> list[int]:
-        return self.coder_a.encode(text, add_special_tokens=False).ids
+        return self.coder_a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
 
     def encode_b(self, text: str) -> list[int]:
         return self.coder_b.encode(text[1:])  # it adds the space itself
@@ -268,15 +267,9 @@ def _memory(a: str, b: str, kind: str, sums: bool = False) -> Memory:
     return Memory(aligner.sums if sums else aligner.batch, REMEMBERED)
 
 
-def _looked_up(texts: list[str], memory: Memory):
-    """For each text its chunks with a way to look them up, a stretch at a time; those of short texts together."""
-    for group in grouped(texts):
-        if len(group) > 1 and len(group[-1]) <= STRETCH:
-            parts = [next(stretches(t)) if t else [] for t in group]
-            of = memory.of([c for chunks in parts for c in chunks])
-            yield from ([(chunks, of)] if chunks else [] for chunks in parts)
-        else:
-            yield from (((chunks, memory.of(chunks)) for chunks in stretches(t)) if t else [] for t in group)
+def _chunks(text: str) -> Iterator[list[str]]:
+    """The chunks of a text; an empty one has none."""
+    return stretches(text) if text else iter(([],))
 
 
 def _paths(a: str | None, b: str | None) -> tuple[str, str]:
@@ -301,10 +294,9 @@ def align(docs: DataFrame, *, kind: str = "overlap", a: str | None = None, b: st
     def run(batches):
         memory = _memory(a, b, kind)
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            for doc, found in zip(ids, _looked_up(texts, memory)):
-                got, n_a, n_b = [], 0, 0
-                for chunks, of in found:
-                    got += [of(c) for c in chunks]
+            for doc, found in zip(ids, looked_up(texts, _chunks, memory)):
+                n_a, n_b = 0, 0
+                got = [c for part in found for c in part]
                 if None in got:
                     got = []
                 left, right = [], []
@@ -347,11 +339,10 @@ def _read(docs: DataFrame, a: str, b: str, kind: str) -> DataFrame:
 
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out = []
-            for doc, text, found in zip(ids, texts, _looked_up(texts, memory)):
+            for doc, text, found in zip(ids, texts, looked_up(texts, _chunks, memory)):
                 n, sha, first, parts = [0] * 4, hashlib.sha256(), True, []
                 whole = bool(text)
-                for chunks, of in found:
-                    got = list(map(of, chunks))
+                for got in found if whole else ():
                     if None in got:
                         whole = False
                         break

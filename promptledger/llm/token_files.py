@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import rows_of, text_rows
-from .pretokens import STRETCH, Memory, encoded, grouped, stretches
+from .pretokens import Memory, encoded, looked_up, stretches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -36,8 +36,11 @@ def _memory(vocabulary: str) -> Memory:
     for token, i in coder.get_vocab().items():
         lengths[i] = len(token)  # a byte-level token has a character for each byte
 
-    def make(chunks: list[str]) -> list[bytes]:
-        ids, order, ends = encoded(chunks, lambda text: coder.encode(text, add_special_tokens=False).ids, lengths)
+    def ids_of(text: str) -> list[int]:
+        return coder.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets, which nobody asks for
+
+    def make(chunks: list) -> list[bytes]:
+        ids, order, ends = encoded(chunks, ids_of, lengths)
         raw, out, at = ids.tobytes(), [b""] * len(chunks), 0
         for i, end in zip(order, (4 * ends).tolist()):
             out[i] = raw[at:end]
@@ -47,10 +50,12 @@ def _memory(vocabulary: str) -> Memory:
     return Memory(make, REMEMBERED)
 
 
-def _chunks(text: str) -> Iterator[list[str]]:
-    """The chunks of a text, each but the very first with the space before it."""
+def _chunks(text: str) -> Iterator[list]:
+    """The chunks of a text; the very first, which has no space before it, in a tuple."""
     for n, chunks in enumerate(stretches(text)):
-        yield [f" {c}" if n or i else c for i, c in enumerate(chunks)]
+        if not n:
+            chunks[0] = (chunks[0],)
+        yield chunks
 
 
 def encode(text: str, vocabulary: str) -> bytes:
@@ -59,20 +64,13 @@ def encode(text: str, vocabulary: str) -> bytes:
     Chunks are encoded by themselves, each distinct one once; none of the vocabulary's splits reaches over the
     space they begin with, so the ids are those of the text in one go.
     """
-    memory = _memory(vocabulary)
-    return b"".join(b"".join(map(memory.of(chunks), chunks)) for chunks in _chunks(text))
+    return next(encode_all([text], vocabulary))
 
 
 def encode_all(texts: list[str], vocabulary: str) -> Iterator[bytes]:
-    """The ids of each text; the chunks of many short texts are looked up together."""
-    memory = _memory(vocabulary)
-    for group in grouped(texts):
-        if len(group) > 1 and len(group[-1]) <= STRETCH:
-            parts = [next(_chunks(t)) for t in group]
-            of = memory.of([c for chunks in parts for c in chunks])
-            yield from (b"".join(map(of, chunks)) for chunks in parts)
-        else:
-            yield from (encode(t, vocabulary) for t in group)
+    """The ids of each text."""
+    for found in looked_up(texts, _chunks, _memory(vocabulary)):
+        yield b"".join([b"".join(ids) for ids in found])
 
 
 def write_token_ids(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = END_ID,

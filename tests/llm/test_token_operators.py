@@ -99,16 +99,21 @@ CODERS = []
 
 def test_stretches(monkeypatch):
     monkeypatch.setattr(pretokens, "STRETCH", 50)
-    for text in ("", "x", LONG[:5000], " " * 300, "a\n" * 200, " a  b" * 60):
+    for text in ("", "x", LONG[:5000], " " * 300, "a\n" * 200, " a  b" * 60, "é \x85x y\xa0 z" * 20, "漢 a b\n c"):
         assert " ".join(c for chunks in pretokens.stretches(text) for c in chunks) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_quick_cuts_are_cuts(text):
+    assert pretokens._cut(text) == pretokens._CUT.split(text)
+
+
 def test_memory_forgets():
     asked = []
     memory = pretokens.Memory(lambda new: [asked.append(c) or c.upper() for c in new], 3)
     for i in range(40):
-        of = memory.of(["hot", f"c{i}", f"d{i}"])
-        assert of("hot") == "HOT" and of(f"c{i}") == f"C{i}"
+        assert memory.of(["hot", f"c{i}", f"d{i}", "hot"]) == ["HOT", f"C{i}", f"D{i}", "HOT"]
         assert len(memory.now) <= 6
     assert asked.count("hot") == 1 and len(asked) == 81
 
