@@ -276,6 +276,53 @@ def pl5(spark, sf):
     return traced.select("request_id", F.posexplode("pipeline").alias("step", "s")).select("request_id", "step", "s.*")
 
 
+_EARLY = "('unauthorized', 'forbidden', 'rate_limited')"
+_MODEL = "CASE target_model WHEN 'GPT-4' THEN 'gpt-4' WHEN 'gpt4' THEN 'gpt-4' WHEN 'Gemini Pro' THEN 'gemini-pro' WHEN 'Llama' THEN 'llama' ELSE target_model END"
+
+
+@query("pl4_row_outcomes", f"""
+SELECT request_id AS id, d.ts AS timestamp, {_MODEL} AS target_model, tokens::INTEGER AS input_tokens,
+   CASE WHEN status = 'allowed' THEN output_tokens ELSE 0 END::INTEGER AS output_tokens, (tokens + CASE WHEN status = 'allowed' THEN output_tokens ELSE 0 END)::INTEGER AS total_tokens,
+   CASE WHEN status = 'allowed' THEN latency_ms ELSE 0.0 END::DOUBLE AS llm_latency_ms, status,
+   CASE status WHEN 'unauthorized' THEN 401 WHEN 'forbidden' THEN 403 WHEN 'rate_limited' THEN 429 WHEN 'blocked' THEN 403 WHEN 'error' THEN 500 ELSE 200 END AS http_status,
+   status NOT IN {_EARLY} AND found IS NOT NULL AS injection_detected, CASE WHEN status NOT IN {_EARLY} THEN found END AS threat_type,
+   CASE WHEN status NOT IN {_EARLY} THEN risk END AS risk_level, {sql_mask('api_key')} AS masked_api_key,
+   regexp_replace(client_ip, '[.][0-9]+$', '.***') AS masked_ip
+FROM decided d JOIN (SELECT request_id, api_key, target_model, client_ip FROM requests_v) r USING (request_id) JOIN responses_v USING (request_id)""",
+       *sql_decided(), recursive=True)
+def pl4_outcomes(spark, sf):
+    """The audit rows, all but what the detectors of personal data say."""
+    return _audit(spark, sf).transactions.select(
+        "id", "timestamp", "target_model", "input_tokens", "output_tokens", "total_tokens", "llm_latency_ms", "status", "http_status",
+        "injection_detected", "threat_type", "risk_level", "masked_api_key", "masked_ip")
+
+
+_STEPS = f"""
+SELECT d.*, r.enable_injection AS defended, {_MODEL} AS model, length(trim(r.prompt)) AS chars, {sql_mask('r.api_key')} AS mask, key_name, latency_ms,
+   d.found || ' (' || risk || ')' AS label FROM decided d JOIN requests_v r USING (request_id) JOIN responses_v USING (request_id) LEFT JOIN keys_v k ON k.raw_key = r.api_key"""
+
+
+@query("pl5_trace_stages", f"""
+SELECT request_id, 0 AS step, 'validation' AS stage, 'passed' AS status, chars || ' chars, model=' || model AS detail FROM steps
+UNION ALL SELECT request_id, 1, 'authentication', 'passed', 'key ' || mask || ' (' || coalesce(key_name, '') || ')' FROM steps WHERE status NOT IN ('unauthorized', 'forbidden')
+UNION ALL SELECT request_id, 2, 'rate_limit', 'passed', used || '/' || quota_limit || ' tokens used in window' FROM steps WHERE status NOT IN {_EARLY}
+UNION ALL SELECT request_id, 5, 'injection_detection', CASE WHEN found IS NULL THEN 'passed' WHEN status = 'blocked' THEN 'failed' ELSE 'flagged' END,
+   CASE WHEN found IS NULL THEN 'no injection patterns matched' WHEN status = 'blocked' THEN label || ' via ' || replace(rules, ',', ', ')
+        WHEN NOT defended THEN 'defense disabled — monitor only: ' || label ELSE label || ' below block threshold' END FROM steps WHERE status NOT IN {_EARLY}
+UNION ALL SELECT request_id, 6, 'policy_decision', CASE WHEN status = 'blocked' THEN 'failed' ELSE 'passed' END,
+   CASE WHEN status = 'blocked' THEN 'BLOCK — request never forwarded to the LLM' ELSE 'ALLOW' END FROM steps WHERE status NOT IN {_EARLY}
+UNION ALL SELECT request_id, 7, 'llm_forwarding', CASE WHEN status = 'blocked' THEN 'skipped' ELSE 'passed' END,
+   CASE WHEN status = 'blocked' THEN 'blocked by policy' ELSE CASE model WHEN 'gpt-4' THEN 'GPT-4' WHEN 'gemini-pro' THEN 'Gemini Pro' WHEN 'claude' THEN 'Claude' ELSE 'Llama' END
+     || ' responded in ' || floor(latency_ms + 0.5)::BIGINT || ' ms' END FROM steps WHERE status IN ('allowed', 'blocked')
+UNION ALL SELECT request_id, 8, 'telemetry', 'passed', 'audit record stored' FROM steps WHERE status IN ('allowed', 'blocked')""",
+       *sql_decided(), f"steps AS ({_STEPS})", recursive=True)
+def pl5_stages(spark, sf):
+    """The trace, all but the two stages that look for personal data."""
+    traced = au.trace(_audit(spark, sf).decided)
+    steps = traced.select("request_id", F.posexplode("pipeline").alias("step", "s")).select("request_id", "step", "s.*")
+    return steps.where(~F.col("stage").isin("pii_detection", "pii_redaction"))
+
+
 @query("pl6_end_to_end", """
 SELECT status, count(*) AS requests, sum(tokens)::BIGINT AS input_tokens, count(found) FILTER (status NOT IN ('unauthorized', 'forbidden', 'rate_limited')) AS injections,
    sum(CASE WHEN status = 'allowed' THEN output_tokens ELSE 0 END)::BIGINT AS output_tokens FROM decided JOIN responses_v USING (request_id) GROUP BY status""",
