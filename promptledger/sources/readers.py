@@ -12,6 +12,8 @@ from ..functions.rules import Rule
 from ..schemas import API_KEYS, INJECTION_RULES, REQUEST_LOG
 
 CORRUPT, MISTYPED = "_corrupt", "_mistyped"
+#: Rules that a file may hold to become literals of the plan.
+MAX_RULES = 10_000
 
 
 #: JSON kinds, as VARIANT names them.
@@ -87,16 +89,18 @@ def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 def load_rules(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[list[Rule], DataFrame]:
     """Rules from a JSON array, or with `multi_line` off from one record per line, and the skipped entries with the reason.
 
-    A missing or unreadable file gives no rules. Rules are configuration: they are read on the driver and become
-    literals of the plan, `detect` spreads long rule sets over several projections.
+    A missing or unreadable file gives no rules. Rules are configuration: they are read on the driver, `MAX_RULES`
+    at most, and become literals of the plan. For more, join them as a table: `operators.rule_table`.
     """
     schema = "name string, pattern string, threat_type string, risk_level string, weight double"
     try:
         raw = spark.read.schema(schema + f", {CORRUPT} string").option("multiLine", multi_line).option(
             "columnNameOfCorruptRecord", CORRUPT).json(path)
-        entries = [r.asDict() for r in raw.collect()]
+        entries = [r.asDict() for r in raw.limit(MAX_RULES + 1).collect()]
     except AnalysisException:
         entries = []
+    if len(entries) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; join them as a table")
     good, bad = [], []
     for e in entries:
         broken = e.pop(CORRUPT, None)

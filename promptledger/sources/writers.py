@@ -33,13 +33,20 @@ def write_threats(threats: DataFrame, path: str, mode: str = "append", batch_id:
 
 
 def _not_there_yet(rows: DataFrame, path: str, mode: str) -> DataFrame:
-    """The rows whose transaction is not stored for that day, so that running twice stores once."""
+    """The rows whose transaction is not stored for that day, so that running twice stores once.
+
+    Only the folders of the days that the rows are of are read.
+    """
     if mode != "append":
         return rows
     try:
         there = rows.sparkSession.read.parquet(path).select(F.col("event_date").alias("_day"), F.col("transaction_id").alias("_txn"))
     except AnalysisException:
         return rows
+    first, last = rows.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    if first is None:
+        return rows
+    there = there.where(F.col("_day").between(F.lit(first), F.lit(last)))
     same = (F.to_date("timestamp") == F.col("_day")) & (F.col("transaction_id") == F.col("_txn"))
     return rows.join(there, same, "left_anti")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from promptledger import AuditConfig, Detector, audit, audit_projection, event_j
 from promptledger.functions import masking, text as tx
 from promptledger.operators import keys as ky, requests as rq, responses as rs
 from promptledger.plans import audit as au
-from promptledger.sources import readers
+from promptledger.sources import readers, writers
 from promptledger.sources.writers import rules_csv
 from verification import load_all
 from verification.decisions import CONFIG, key_dimension
@@ -259,3 +260,24 @@ def test_keys_are_touched_and_rejects_are_kept(spark, keys, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/store/rejected")
     assert kept.columns == ["request_id", "ts", "errors"] and [r.errors[0].field for r in kept.collect()] == ["prompt"]
     assert done.keys.where("last_used_at is not null").count() == 1
+
+
+def test_appending_reads_the_days_it_writes(spark, keys, tmp_path):
+    path = str(tmp_path / "store")
+    done = audit(requests(spark, dict(prompt="one"), dict(prompt="two", ts=T0 + timedelta(days=1)), dict(prompt="three", ts=T0 + timedelta(days=5))), keys, AuditConfig(SECRET))
+    write_audit(done, path)
+    later = done.transactions.where("id = 1").withColumn("timestamp", F.col("timestamp"))
+    left = writers._not_there_yet(later, f"{path}/transactions", "append")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 0 and re.search(r"PartitionFilters: \[[^]]*event_date[^]]*>= 2024-03-02[^]]*<= 2024-03-02", plan)
+    new = later.withColumn("transaction_id", F.lit("txn_new"))
+    assert writers._not_there_yet(new, f"{path}/transactions", "append").count() == 1
+    assert writers._not_there_yet(later.limit(0), f"{path}/transactions", "append").count() == 0
+
+
+def test_rule_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_RULES", 2)
+    path = tmp_path / "rules.json"
+    path.write_text("[" + ", ".join('{"name": "r", "pattern": "x", "threat_type": "POLICY_BYPASS"}' for _ in range(3)) + "]")
+    with pytest.raises(ValueError):
+        readers.load_rules(spark, str(path))
