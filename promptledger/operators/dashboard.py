@@ -113,9 +113,13 @@ def bucket_stats(txns: DataFrame, start: datetime, width: int, n: int) -> DataFr
     ok = F.col("status") == "allowed"
     ms = F.when(ok, F.coalesce("processing_time_ms", F.lit(0.0)))
     inside = since(txns, start).filter(F.col("timestamp") < _ntz(start + timedelta(minutes=width * n)))
-    cells = inside.groupBy(bucket_index(F.col("timestamp"), start, width).alias("idx"), F.round(ms, 2).alias("ms")).agg(
+    return _ranked(inside.groupBy(bucket_index(F.col("timestamp"), start, width).alias("idx"), F.round(ms, 2).alias("ms")).agg(
         F.count("*").alias("n"), _when(ok).alias("n_allowed"), _when(F.col("status") == "blocked").alias("n_blocked"),
-        F.sum(_exact(ms)).alias("sum_ms"))
+        F.sum(_exact(ms)).alias("sum_ms")))
+
+
+def _ranked(cells: DataFrame) -> DataFrame:
+    """The statistics of buckets from counts per (`idx`, `ms`)."""
     by_latency = Window.partitionBy("idx").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("seen", F.sum("n_allowed").over(by_latency)).withColumn(
         "of", F.sum("n_allowed").over(Window.partitionBy("idx")))
@@ -126,13 +130,51 @@ def bucket_stats(txns: DataFrame, start: datetime, width: int, n: int) -> DataFr
         F.min(F.when((F.col("n_allowed") > 0) & (F.col("seen") >= rank), F.col("ms"))).alias("p95_ms"))
 
 
-def series(txns: DataFrame, as_of: datetime | str, window_minutes: int = 60) -> DataFrame:
+# ---------------------------------------------------------------- mergeable counts
+def cells(txns: DataFrame, minute: Column) -> DataFrame:
+    """What the charts need of any number of rows: `n` rows and the exact sum `sum_ms` of their latencies per `minute`, status,
+    model, latency in hundredths (null unless allowed) and set of PII types. Counts of parts add up to those of the whole."""
+    ok = F.col("status") == "allowed"
+    ms = F.when(ok, F.coalesce("processing_time_ms", F.lit(0.0)))
+    kind = txns.schema["pii_types"].dataType.typeName()
+    types = F.array_join("pii_types", ",") if kind == "array" else F.coalesce("pii_types", F.lit(""))
+    return txns.groupBy(minute.alias("minute"), "status", "target_model", F.round(ms, 2).alias("ms"), types.alias("pii_types")).agg(
+        F.count("*").alias("n"), F.sum(_exact(ms)).alias("sum_ms"))
+
+
+def _cells_since(held: DataFrame, start: datetime | str) -> DataFrame:
+    return held.filter(F.col("minute") >= _ntz(_moment(start)))
+
+
+def cell_stats(held: DataFrame, start: datetime, width: int, n: int) -> DataFrame:
+    """`bucket_stats` from `cells`; charts begin at a full minute, so no cell lies in two buckets."""
+    inside = _cells_since(held, start).filter(F.col("minute") < _ntz(start + timedelta(minutes=width * n)))
+    return _ranked(inside.groupBy(bucket_index(F.col("minute"), start, width).alias("idx"), "ms").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("status") == "allowed", F.col("n")).otherwise(0)).alias("n_allowed"),
+        F.sum(F.when(F.col("status") == "blocked", F.col("n")).otherwise(0)).alias("n_blocked"), F.sum("sum_ms").alias("sum_ms")))
+
+
+def cell_model_usage(held: DataFrame, start: datetime | str) -> DataFrame:
+    """`model_usage` from `cells`; `start` is a full minute."""
+    n_ok = F.when(F.col("status") == "allowed", F.col("n")).otherwise(0)
+    usage = _cells_since(held, start).filter(F.col("target_model").isin(*MODEL_NAMES)).groupBy("target_model").agg(
+        F.sum(n_ok).alias("allowed"), F.sum(F.col("n") - n_ok).alias("blocked"), F.when(F.sum(n_ok) > 0, _mean(F.sum("sum_ms"), F.sum(n_ok))).alias("avg_latency_ms"))
+    return complete(usage, tuple(MODEL_NAMES), "target_model", {"allowed": 0, "blocked": 0, "avg_latency_ms": 0.0})
+
+
+def cell_pii_distribution(held: DataFrame, start: datetime | str) -> DataFrame:
+    """`pii_distribution` from `cells`; `start` is a full minute."""
+    counts = _cells_since(held, start).select(F.explode(F.split("pii_types", ",")).alias("pii_type"), "n").groupBy("pii_type").agg(F.sum("n").alias("n"))
+    return complete(counts, PII_TYPES, "pii_type", {"n": 0})
+
+
+def series(txns: DataFrame, as_of: datetime | str, window_minutes: int = 60, stats=bucket_stats) -> DataFrame:
     """Per bucket: requests per minute by outcome, mean and p95 latency; empty buckets count 0, latency null.
 
-    `throttled` is everything neither allowed nor blocked.
+    `throttled` is everything neither allowed nor blocked. With `stats=cell_stats` the first argument is `cells`.
     """
     start, width, n = chart_window(as_of, window_minutes)
-    full = dense(bucket_stats(txns, start, width, n), "idx", n)
+    full = dense(stats(txns, start, width, n), "idx", n)
     zero = F.lit(0).cast("long")
     total, allowed, blocked = (F.coalesce(F.col(c), zero) for c in ("total", "allowed", "blocked"))
 

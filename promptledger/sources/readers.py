@@ -75,11 +75,12 @@ def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal the rows out to `partitions` tasks, those of the cluster's slots unless given.
-
-    For work that costs much more than a shuffle of the rows, over a table of a few large row groups.
-    """
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    """Deal the rows of a table of a few large row groups out to `partitions` tasks, for work that costs much more than
+    a shuffle of the rows. Without a number a table that is read in as many tasks as the cluster has slots stays as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if partitions is None and df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(partitions or slots)
 
 
 def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

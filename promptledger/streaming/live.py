@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.dashboard import cells
 from ..operators.keys import resolve_keys
 from ..operators.requests import validate
 from ..operators.responses import attach_responses
@@ -81,6 +82,33 @@ def live_series(txns: DataFrame, watermark: str = "10 minutes", width: str = "1
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("bucket_start"), "total", "allowed", "blocked", "throttled")
 
 
+# ---------------------------------------------------------------- live charts
+_CELL = ["minute", "status", "target_model", "ms", "pii_types"]
+
+
+def live_cells(txns: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """`dashboard.cells` that follow new rows; write them in update mode with `keep_cells`.
+
+    The state holds a count for each minute, outcome and hundredth of a millisecond, whatever the number of rows, until the
+    watermark has passed the minute. Rows later than that are dropped.
+    """
+    clocked = txns.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+    held = cells(clocked, F.window("timestamp", "1 minute"))
+    return held.withColumn("minute", F.col("minute.start").cast("timestamp_ntz"))
+
+
+def keep_cells(batch: DataFrame, path: str, batch_id: int) -> None:
+    """For `foreachBatch`: the cells that a micro-batch has changed, as they stand now. A repeated batch replaces its own."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells as the last micro-batch left them, for `dashboard.series(..., stats=cell_stats)` and the other charts."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct("n", "sum_ms"), "batch_id").alias("last")
+    return rows.groupBy(*_CELL).agg(last).select(*_CELL, "last.n", "last.sum_ms")
+
+
 # ---------------------------------------------------------------- recent buffer
 def _slots(spark: SparkSession, path: str) -> list[tuple[int, str, DataFrame]]:
     """The buffer's readable slots as (epoch, folder, rows), newest first."""

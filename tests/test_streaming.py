@@ -81,6 +81,35 @@ def test_feed_and_live_series(spark, sf, tmp_path):
     assert got == {r.d: (r.n, r.a, r.b, r.n - r.a - r.b) for r in want.collect()}
 
 
+def test_live_cells_add_up(spark, tmp_path):
+    """Cells of any cut of the rows into batches are those of all rows; a repeated batch and late rows change nothing."""
+    from promptledger.operators import dashboard as db
+
+    t0 = datetime(2024, 3, 1)
+    rows = [(t0 + timedelta(seconds=7 * i), ("allowed", "allowed", "blocked", "error")[i % 4], ("gpt-4", "llama")[i % 2], i % 13 + 0.125 * (i % 3),
+             ["EMAIL"] if i % 3 else []) for i in range(400)]
+    ddl = "timestamp timestamp_ntz, status string, target_model string, processing_time_ms double, pii_types array<string>"
+    src, out = str(tmp_path / "in"), str(tmp_path / "cells")
+    late = [(t0, "allowed", "gpt-4", 9.0, ["SSN"])]
+    for part in (rows[:150], rows[150:300], rows[300:], late):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(src)
+    batches = []
+
+    def keep(df, i):
+        live.keep_cells(df, out, i)
+        batches.append(i)
+        live.keep_cells(spark.read.parquet(f"{out}/batch_id={i}").cache(), out + "_again", i)
+
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    live.live_cells(stream, "5 minutes").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(**ONCE).foreachBatch(
+        keep).start().awaitTermination(240)
+    held, whole = live.read_cells(spark, out), spark.createDataFrame(rows, ddl)
+    assert len(batches) >= 4 and sorted(map(str, held.collect())) == sorted(map(str, live.read_cells(spark, out + "_again").collect()))
+    for got, want in ((db.series(held, t0 + timedelta(minutes=47), 60, stats=db.cell_stats), db.series(whole, t0 + timedelta(minutes=47), 60)),
+                      (db.cell_model_usage(held, t0), db.model_usage(whole, t0)), (db.cell_pii_distribution(held, t0), db.pii_distribution(whole, t0))):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_recent_buffer(spark, tmp_path):
     path, t0 = str(tmp_path / "recent"), datetime(2024, 3, 1)
 

@@ -113,18 +113,24 @@ def ag9(spark, sf):
     return db.threat_distribution(view(spark, sf, "threats_v"), START)
 
 
-@query("ag10_model_usage", f"""
+_MODELS_SQL = f"""
 SELECT m AS target_model, count(*) FILTER (status = 'allowed')::BIGINT AS allowed, count(*) FILTER (status <> 'allowed')::BIGINT AS blocked,
    coalesce({_OK_MEAN}, 0) AS avg_latency_ms
 FROM (VALUES ('gpt-4'), ('gemini-pro'), ('claude'), ('llama')) d(m)
-LEFT JOIN (SELECT * FROM transactions_v WHERE timestamp >= timestamp '{START}') t ON t.target_model = m GROUP BY m""")
+LEFT JOIN (SELECT * FROM transactions_v WHERE timestamp >= timestamp '{START}') t ON t.target_model = m GROUP BY m"""
+
+
+@query("ag10_model_usage", _MODELS_SQL)
 def ag10(spark, sf):
     return db.model_usage(_txns(spark, sf), START)
 
 
-@query("ag11_pii_distribution", f"""
+_PII_SQL = f"""
 SELECT p AS pii_type, count(id) AS n FROM (VALUES ('EMAIL'), ('PHONE'), ('CREDIT_CARD'), ('SSN')) d(p)
-LEFT JOIN transactions_v ON timestamp >= timestamp '{START}' AND list_contains(string_split(pii_types, ','), p) GROUP BY p""")
+LEFT JOIN transactions_v ON timestamp >= timestamp '{START}' AND list_contains(string_split(pii_types, ','), p) GROUP BY p"""
+
+
+@query("ag11_pii_distribution", _PII_SQL)
 def ag11(spark, sf):
     return db.pii_distribution(_txns(spark, sf), START)
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptledger.functions import injection as inj, pii
 from promptledger.session import use_checkpoint_dir
-from promptledger.operators import quota as qt
+from promptledger.operators import dashboard as db, quota as qt
 from promptledger.streaming import admission, budgets, live
 
 from .decisions import CONFIG, _HITS, _requests, key_dimension, sql_decided, sql_fold
 from .injections import HITS
 from .personal_data import _ALL, _expected
 from .registry import query
-from .reports import _PROJECTED
+from .reports import START, _MODELS_SQL, _PII_SQL, _PROJECTED, _series_sql
 from .views import AS_OF, VIEWS, WINDOW_S, table, view
 
 
@@ -269,3 +269,34 @@ def w6_stream(spark, sf):
     whole = spark.range(1).select(F.lit(None).cast("bigint").alias("k"), F.lit("2024-01-29 18:00:00").cast("timestamp_ntz").alias("reset_at"))
     resets, _ = parts(whole.unionByName(some), "reset_at", 1, "resets")
     return _peeked(spark, hits, resets=resets, all_keys=keys)
+
+
+# ---------------------------------------------------------------- live charts
+def _cells(spark, sf) -> DataFrame:
+    """The counts that a stream of four micro-batches of transactions keeps."""
+    at = stream_folder(spark)
+    rows = in_parts(view(spark, sf, "transactions_v"), "timestamp", 4, "txns")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        live.live_cells(rows).writeStream.outputMode("update").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).foreachBatch(
+            lambda df, i: live.keep_cells(df, f"{at}/cells", i)).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return live.read_cells(spark, f"{at}/cells")
+
+
+@query("st4_live_latency", f"SELECT * FROM ({_series_sql(1440, 30, 48)})")
+def st4_latency(spark, sf):
+    """Rates, mean and p95 latency of every bucket of the chart, from what the stream has counted."""
+    return db.series(_cells(spark, sf), AS_OF, 1440, stats=db.cell_stats)
+
+
+@query("st4_live_models", _MODELS_SQL)
+def st4_models(spark, sf):
+    return db.cell_model_usage(_cells(spark, sf), START)
+
+
+@query("st4_live_pii", _PII_SQL)
+def st4_pii(spark, sf):
+    return db.cell_pii_distribution(_cells(spark, sf), START)
