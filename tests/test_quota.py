@@ -39,12 +39,12 @@ def replay(hits, window=60, default=100):
 
 
 def test_worked_examples(spark):
-    a = run(spark, [("k", 1000, 40), ("k", 1001, 60), ("k", 1002, 1)])
-    assert [(q.allowed, q.used, q.remaining, q.request_count) for q in a] == [(True, 40, 60, 1), (True, 100, 0, 2), (False, 100, 0, 2)]
-    assert a[2].retry_after_seconds == 58 and a[0].limit == 100 and a[0].window_seconds == 60
-    b = run(spark, [("k", 0, 80), ("k", 30, 30), ("k", 60.5, 30)])
-    assert [q.allowed for q in b] == [True, False, True] and b[2].used == 30
-    c = run(spark, [("k", 0, 150), ("j", 0, 100), ("i", 0, 100), ("k", 60, 100)])
+    a = run(spark, [("k", 500, 35), ("k", 507, 64), ("k", 509, 2)])
+    assert [(q.allowed, q.used, q.remaining, q.request_count) for q in a] == [(True, 35, 65, 1), (True, 99, 1, 2), (False, 99, 1, 2)]
+    assert a[2].retry_after_seconds == 500 + 60 - 509 and a[0].limit == 100 and a[0].window_seconds == 60
+    b = run(spark, [("k", 3, 71), ("k", 21, 38), ("k", 63.25, 38)])
+    assert [q.allowed for q in b] == [True, False, True] and b[2].used == 38
+    c = run(spark, [("k", 7, 133), ("j", 7, 100), ("i", 8, 100), ("k", 9, 100)])
     assert [q.allowed for q in c] == [False, True, True, True] and c[0].retry_after_seconds == 60
     edge = run(spark, [("k", 0, 100), ("k", 59.999999, 1), ("k", 60, 1)])
     assert [q.allowed for q in edge] == [True, False, True]
