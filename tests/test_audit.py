@@ -281,3 +281,32 @@ def test_rule_files_are_bounded(spark, tmp_path, monkeypatch):
     path.write_text("[" + ", ".join('{"name": "r", "pattern": "x", "threat_type": "POLICY_BYPASS"}' for _ in range(3)) + "]")
     with pytest.raises(ValueError):
         readers.load_rules(spark, str(path))
+
+
+def test_providers_in_order(spark):
+    """Each provider sees what those before it failed; errors, exceptions and short answers count as failures."""
+    from promptledger.plans.provider import Answer, attempts, response_log
+
+    def broken(requests):
+        raise RuntimeError("down")
+
+    def odd(requests):
+        return [Answer("o" + r.text, len(r.text)) if r.request_id % 2 else Answer(error="even") for r in requests]
+
+    def short(requests):
+        return [("late", None, None)] * (len(requests) - 1)
+
+    def last(requests):
+        return [Answer("", 0) if r.request_id < 8 else Answer() for r in requests]
+
+    sent = spark.createDataFrame([(i, "gpt-4", None if i == 1 else f"t{i}") for i in range(10)], "request_id int, target_model string, text string").repartition(2)
+    log = attempts(sent, [("a", broken), ("b", odd), ("c", short), ("d", last)], batch=3).cache()
+    done = {r.request_id: r for r in rs.first_success(log).collect()}
+    assert len(done) == 10 and all(done[i].model == "b" and done[i].fallback and done[i].text == ("o" if i == 1 else f"ot{i}") for i in range(1, 10, 2))
+    assert all((done[i].model, done[i].text, done[i].won_at) == ("d", "", 3) for i in range(0, 8, 2)) and done[8].failed
+    assert [f.reason for f in done[1].failures] == ["RuntimeError: down"]
+    answers = {r.request_id: r for r in response_log(log).collect()}
+    assert answers[8].error.startswith("a: RuntimeError: down; b: even; c: ") and answers[8].error.endswith("d: no answer") and answers[0].error is None
+    assert attempts(sent.limit(0), [("a", broken)]).collect() == []
+    with pytest.raises(ValueError):
+        attempts(sent, [])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from promptledger.functions import injection as inj
 from promptledger.functions.text import bucket_minutes, count_tokens
 from promptledger.operators import requests as rq
+from promptledger.operators.responses import attach_responses
 from promptledger.plans import audit as au
+from promptledger.plans.provider import Answer, attempts, response_log
 from promptledger.session import use_checkpoint_dir
 from promptledger.sources import readers, writers
 
@@ -185,3 +188,27 @@ def ex6(spark, sf):
     prompts = rq.check(_requests(spark, sf)).select("request_id", F.col("prompt").alias("forwarded_text"))
     sent = au.forwarded(decided.join(prompts, "request_id"))
     return provider(sent).select("request_id", F.col("text").alias("response"), "output_tokens")
+
+
+def _answers(model: str, fails_every: int):
+    """A provider that turns some requests away and answers the others from their whole text."""
+    def provider(requests):
+        return [Answer(error="busy") if r.request_id % fails_every == 0 else
+                Answer(f"{model}:{hashlib.md5(r.text.encode()).hexdigest()}", len(r.text)) for r in requests]
+
+    return provider
+
+
+@query("ex6_provider_fallback", """
+SELECT request_id, CASE WHEN request_id % 12 = 0 THEN NULL WHEN request_id % 6 = 0 THEN 'm3' WHEN request_id % 3 = 0 THEN 'm2' ELSE 'm1' END || ':' || md5(trim(prompt)) AS response,
+   CASE WHEN request_id % 12 <> 0 THEN length(trim(prompt)) END::INTEGER AS output_tokens, request_id % 12 = 0 AS upstream_failed,
+   CASE WHEN request_id % 12 = 0 THEN 'm1: busy; m2: busy; m3: busy' END AS error
+FROM decided JOIN requests_v USING (request_id) WHERE status IN ('allowed', 'error')""", *sql_decided(), recursive=True)
+def ex6_fallback(spark, sf):
+    """Three batch functions in order, over all requests that go upstream; their attempts end in the answers of the audit."""
+    decided = au.decisions(_requests(spark, sf), key_dimension(spark, sf), CONFIG)
+    prompts = rq.check(_requests(spark, sf)).select("request_id", F.col("prompt").alias("forwarded_text"))
+    sent = au.forwarded(decided.join(prompts, "request_id"))
+    log = response_log(attempts(sent, [("m1", _answers("m1", 3)), ("m2", _answers("m2", 6)), ("m3", _answers("m3", 12))]))
+    answered = attach_responses(sent.select("request_id"), log).join(log.select("request_id", "error"), "request_id")
+    return answered.select("request_id", "response", "output_tokens", "upstream_failed", "error")
