@@ -460,5 +460,5 @@ def test_stages_take_awkward_tables(spark, tmp_path):
 def test_every_operator_is_registered():
     names = {q.split("_")[0] for q in queries.QUERIES}
     assert names == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
-    assert set(queries.ORACLES) == {"op3_url_filter", "op6_chat_format"} and corpus_pipeline.ORACLE_SQL is None
+    assert set(queries.ORACLES) == {"op3_url_filter", "op6_chat_format", "op11_collocations"} and corpus_pipeline.ORACLE_SQL is None
     assert os.path.exists(chat.VOCABULARY)
