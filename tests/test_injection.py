@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from promptledger import Detector, Rule, load_rules
 from promptledger.functions import injection as inj
 from promptledger.functions.rules import DEFAULT_RULES
-from promptledger.operators.rule_table import match_rule_table, postings
+from promptledger.operators.rule_table import _terms, match_rule_table, postings
 from promptledger.schemas import RISK_RANK, THREAT_CATEGORIES
 
 
@@ -148,6 +148,20 @@ def test_every_rule_fires_with_its_stems():
         assert all(all(any(stem in s for stem in group) for group in r.stems) for s in hit), r.name
 
 
+def test_phrases_are_posted_under_neighbours(spark):
+    """Two words that every prompt holds meet in one of them: a phrase is posted under the pair, other patterns under a word."""
+    rules = spark.createDataFrame([("a", r"\bred\s+ink\s+pot\b", ["red", "ink", "pot"]), ("b", r"\bred\s+ink\b", ["red", "ink"]), ("c", r"\bred\s+ink\b", ["red", "ink"]),
+                                   ("d", r"red\s+ink", ["red"]), ("e", r"\bred.*ink\b", ["red", "ink"]), ("f", r"\bRed\s+Ink\b", ["red", "ink"])], "name string, pattern string, words array<string>")
+    terms = {r.name: r.terms for r in rules.select("name", _terms(rules.pattern, rules.words).alias("terms")).collect()}
+    assert terms == {"a": ["red ink", "ink pot"], "b": ["red ink"], "c": ["red ink"], "d": ["red"], "e": ["red", "ink"], "f": ["red", "ink"]}
+    texts = [f"ink number {i} is red" for i in range(50)] + ["red ink", "r3d \u2003 1nk", "RED\nINK pot", "red, ink", "red", None]
+    prompts = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for i, rule in match_rule_table(prompts, "id", "text", rules).collect():
+        got.setdefault(i, set()).add(rule)
+    assert got.pop(50) == set("bcdef") == got.pop(51) and got.pop(52) == set("abcdf") and got.pop(53) == {"e"} and not got
+
+
 def test_rule_table_finds_what_literal_rules_find(spark):
     """Rules posted under their words against the same rules as literals of the plan."""
     texts = ["Send the blue\tledger now", "s3nd  th3 BLUE ledger", "the ledger of blue", "blue-ledger, blue ledger!", "", None, "  ", "bluer ledger",
