@@ -15,19 +15,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.quota import QUOTA_DDL, LiveWindow, effective_cost, effective_limit, micros, quota_state
 from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, QUOTA_TYPE
-from .admission import _JSON, UNCHARGED_SLOTS
+from .admission import _JSON, BUCKETS, UNCHARGED_SLOTS, bucket
 
 _FIELDS = [f.name for f in QUOTA_TYPE.fields]
 _HIT, _RESET, _PASS = 0, 1, 2
-_PENDING = "us bigint, ord bigint, cost bigint, lim int, kind int, payload string"
+_LIVE = "k string, us bigint, cost bigint"
+_PENDING = "k string, us bigint, ord bigint, cost bigint, lim int, kind int, payload string"
 _OUT = f"k string, us bigint, ord bigint, payload string, late boolean, {QUOTA_DDL}"
 
 
 class _Ordered(StatefulProcessor):
-    """Per key: the live window, and the requests whose time the watermark has not passed.
+    """Per bucket of keys: the live window of each key, and the requests whose time the watermark has not passed.
 
-    One timer stands at the earliest of these, or where the window will be empty: a key without requests leaves
-    the state by itself.
+    One timer stands at the earliest of these, or where a window will be empty: a key without requests leaves the
+    state by itself. A call costs more than the few rows that most keys have, so keys share one by their hash.
     """
 
     def __init__(self, width: int):
@@ -35,60 +36,74 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getListState("live", "us bigint, cost bigint")
+        self.live = handle.getListState("live", _LIVE)
         self.pending = handle.getListState("pending", _PENDING)
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        entries = sorted(zip(initialState["us"].tolist(), initialState["cost"].tolist()))
+        entries = sorted(zip(initialState["k"].tolist(), initialState["us"].tolist(), initialState["cost"].tolist()))
         if entries:
-            self.live.put(sorted([*(self.live.get() if self.live.exists() else ()), *entries]))
-            self._wake(entries[-1][0] + self.width)
+            self.live.appendList(entries)
+            self._wake(min({k: us for k, us, _ in entries}.values()) + self.width)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        first, freed = None, {}
         for pdf in rows:
             late = pdf["us"] < passed
             at_once = pdf[(pdf["kind"] == _PASS) | (late & (pdf["kind"] == _HIT))]
             if len(at_once):
-                yield _told(key[0], at_once, [(None,) * len(_FIELDS)] * len(at_once), (late & (pdf["kind"] == _HIT))[at_once.index])
-            for us in pdf.loc[late & (pdf["kind"] == _RESET), "us"]:
-                # A late reset frees what it can and revises no decision.
-                self._keep([e for e in (self.live.get() if self.live.exists() else ()) if e[0] > us])
+                yield _told(at_once, [(None,) * len(_FIELDS)] * len(at_once), (late & (pdf["kind"] == _HIT))[at_once.index])
+            resets = pdf[late & (pdf["kind"] == _RESET)]
+            for k, us in zip(resets["k"].tolist(), resets["us"].tolist()):
+                freed[k] = max(us, freed.get(k, us))
             wait = pdf[~late & (pdf["kind"] != _PASS)]
             if len(wait):
                 columns = [wait[c.split()[0]] for c in _PENDING.split(", ")]
                 self.pending.appendList([tuple(r) for r in zip(*(c.tolist() for c in columns))])
-                self._wake(int(wait["us"].min()))
+                first = int(wait["us"].min()) if first is None else min(first, int(wait["us"].min()))
+        if freed:
+            # A late reset frees what it can and revises no decision.
+            self._keep([e for e in self._held() if e[0] not in freed or e[1] > freed[e[0]]])
+        if first is not None:
+            self._wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = list(self.pending.get()) if self.pending.exists() else []
         # At one time a reset comes after the requests.
-        due = sorted((p for p in waiting if p[0] < passed), key=lambda p: (p[0], p[4], p[1]))
-        rest = [p for p in waiting if p[0] >= passed]
-        window = LiveWindow(self.width, self.live.get() if self.live.exists() else ())
+        due = sorted((p for p in waiting if p[1] < passed), key=lambda p: (p[1], p[5], p[2]))
+        rest = [p for p in waiting if p[1] >= passed]
+        held: dict[str, list] = {}
+        for k, us, cost in self._held():
+            held.setdefault(k, []).append((us, cost))
+        windows = {k: LiveWindow(self.width, sorted(entries, key=lambda e: e[0])) for k, entries in held.items()}
         told, quota = [], []
         for p in due:
-            us, _, cost, lim, kind, _ = p
-            if kind == _RESET:
-                window = LiveWindow(self.width)
-            else:
+            k, us, _, cost, lim, kind, _ = p
+            if kind == _RESET or k not in windows:
+                windows[k] = LiveWindow(self.width)
+            if kind != _RESET:
                 told.append(p)
-                quota.append(window.offer(us, cost, lim))
-        window.expire(passed)
+                quota.append(windows[k].offer(us, cost, lim))
+        for window in windows.values():
+            window.expire(passed)
         if due:
             self.pending.put(rest) if rest else self.pending.clear()
-        self._keep(list(window.entries))
-        if rest:
-            self._wake(min(p[0] for p in rest))
-        elif window.entries:
-            self._wake(window.entries[-1][0] + self.width)
+        entries = [(k, us, cost) for k, window in windows.items() for us, cost in window.entries]
+        if due or len(entries) < sum(map(len, held.values())):
+            self._keep(entries)
+        next_us = [p[1] for p in rest] + [w.entries[-1][0] + self.width for w in windows.values() if w.entries]
+        if next_us:
+            self._wake(min(next_us))
         if told:
             rows = pd.DataFrame(told, columns=[c.split()[0] for c in _PENDING.split(", ")])
-            yield _told(key[0], rows, quota, pd.Series(False, rows.index))
+            yield _told(rows, quota, pd.Series(False, rows.index))
+
+    def _held(self) -> list[tuple]:
+        return list(self.live.get()) if self.live.exists() else []
 
     def _keep(self, entries: list) -> None:
         if entries:
@@ -100,16 +115,15 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def _told(k: str, rows: pd.DataFrame, quota: list[tuple], late: pd.Series) -> pd.DataFrame:
-    out = rows[["us", "ord", "payload"]].reset_index(drop=True)
-    out.insert(0, "k", k)
+def _told(rows: pd.DataFrame, quota: list[tuple], late: pd.Series) -> pd.DataFrame:
+    out = rows[["k", "us", "ord", "payload"]].reset_index(drop=True)
     out["late"] = late.to_numpy()
     return pd.concat([out, pd.DataFrame(quota, columns=_FIELDS, dtype=object)], axis=1)
 
 
 def admit_in_order(stream: DataFrame, key: str, ts: str, order: str, cost: str, limit: str | None = None, *, lateness_s: int,
                    default_limit: int = DEFAULT_LIMIT, window_s: int = DEFAULT_WINDOW_S, resets: DataFrame | None = None,
-                   all_keys: DataFrame | None = None, opening: DataFrame | None = None) -> DataFrame:
+                   all_keys: DataFrame | None = None, opening: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The stream with the struct `quota` and the flag `late` added; rows come out when they are decided.
 
     A request is decided once a request `lateness_s` later has been seen, in the order of (`ts`, `order`) among all of its
@@ -120,8 +134,9 @@ def admit_in_order(stream: DataFrame, key: str, ts: str, order: str, cost: str,
     with a null key all of `all_keys` (a table with the column `key`). They do not move the clock and may be given ahead. `opening` is a table of admitted requests
     (`key`, `ts`, `cost`), such as a batch audit left behind: the windows start with them.
 
-    State per key: the admitted requests of the last window and what waits for the watermark; both leave by timers.
-    A key's waiting rows are sorted in one task. Needs the RocksDB state store (`use_rocksdb`).
+    State: the admitted requests of each key's last window and what waits for the watermark; both leave by timers. Keys
+    share `buckets` lots of it by their hash, each read and written as a whole where one of its keys has rows; the number is
+    kept for the life of a checkpoint. A key's waiting rows are sorted in one task. Needs the RocksDB state store (`use_rocksdb`).
     """
     rest = [c for c in stream.columns if c not in (ts, order, key)]
     name = F.col(key).cast("string")
@@ -129,7 +144,7 @@ def admit_in_order(stream: DataFrame, key: str, ts: str, order: str, cost: str,
     # The clock column ends here: Spark would drop late rows by it, and here they are told apart.
     clocked = stream.withColumn("_clock", F.col(ts).cast("timestamp")).withWatermark("_clock", f"{lateness_s} seconds")
     packed = clocked.select(
-        F.coalesce(F.concat(F.lit("k"), name), slot).alias("slot"), F.unix_micros("_clock").alias("us"),
+        F.when(name.isNull(), slot).otherwise(bucket(name, buckets)).alias("slot"), name.alias("k"), F.unix_micros("_clock").alias("us"),
         F.col(order).cast("long").alias("ord"), effective_cost(F.col(cost)).alias("cost"),
         effective_limit(F.col(limit) if limit else None, default_limit).alias("lim"),
         F.when(name.isNull(), _PASS).otherwise(_HIT).alias("kind"), F.to_json(F.struct(*[F.col(c) for c in rest]), _JSON).alias("payload"))
@@ -140,19 +155,20 @@ def admit_in_order(stream: DataFrame, key: str, ts: str, order: str, cost: str,
             whole = resets.where(F.col(key).isNull()).select(F.lit(1).alias("every"), "reset_at")
             own = own.unionByName(whole.join(all_keys.select(F.col(key).cast("string").alias("k"), F.lit(1).alias("every")), "every").select("k", "reset_at"))
         packed = packed.unionByName(own.select(
-            F.concat(F.lit("k"), "k").alias("slot"), micros(F.col("reset_at")).alias("us"), F.lit(0).cast("long").alias("ord"),
+            bucket(F.col("k"), buckets).alias("slot"), "k", micros(F.col("reset_at")).alias("us"), F.lit(0).cast("long").alias("ord"),
             F.lit(0).cast("long").alias("cost"), F.lit(0).alias("lim"), F.lit(_RESET).alias("kind"), F.lit(None).cast("string").alias("payload")))
     start = None
     if opening is not None:
-        start = opening.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("slot"), micros(F.col(ts)).alias("us"),
-                               effective_cost(F.col(cost)).alias("cost")).groupBy("slot")
+        start = opening.where(F.col(key).isNotNull()).select(
+            bucket(F.col(key).cast("string"), buckets).alias("slot"), F.col(key).cast("string").alias("k"), micros(F.col(ts)).alias("us"),
+            effective_cost(F.col(cost)).alias("cost")).groupBy("slot")
     decided = packed.groupBy("slot").transformWithStateInPandas(
         _Ordered(window_s * 1_000_000), outputStructType=_OUT, outputMode="Append", timeMode="EventTime", initialState=start)
     shape = stream.select(*rest).schema
     kinds = {c: stream.schema[c].dataType for c in (key, ts, order)}
     back = decided.withColumn("_rest", F.from_json("payload", shape, _JSON))
     return back.select(
-        F.when(F.col("k").startswith("k"), F.substring("k", 2, 1 << 30)).cast(kinds[key]).alias(key),
+        F.col("k").cast(kinds[key]).alias(key),
         F.timestamp_micros("us").cast(kinds[ts]).alias(ts), F.col("ord").cast(kinds[order]).alias(order), "_rest.*", "late",
         F.when(F.col("allowed").isNotNull(), F.struct(*[F.col(f) for f in _FIELDS])).alias("quota"))
 
@@ -161,7 +177,7 @@ def live_entries(spark: SparkSession, checkpoint: str, key_type: str = "string")
     """What the windows of a stream hold after its last micro-batch: `key`, `ts`, `cost`. The stream may be running."""
     rows = spark.read.format("statestore").option("stateVarName", "live").load(checkpoint)
     entry = F.col("list_element")
-    return rows.select(F.substring(F.col("key.slot"), 2, 1 << 30).cast(key_type).alias("key"),
+    return rows.select(entry["k"].cast(key_type).alias("key"),
                        F.timestamp_micros(entry["us"]).cast("timestamp_ntz").alias("ts"), entry["cost"].alias("cost"))
 
 
@@ -169,7 +185,7 @@ def waiting(spark: SparkSession, checkpoint: str, key_type: str = "string") -> D
     """Requests and resets that the watermark has not passed: `key`, `ts`, `order`, `cost`, `reset`."""
     rows = spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
     entry = F.col("list_element")
-    return rows.select(F.substring(F.col("key.slot"), 2, 1 << 30).cast(key_type).alias("key"),
+    return rows.select(entry["k"].cast(key_type).alias("key"),
                        F.timestamp_micros(entry["us"]).cast("timestamp_ntz").alias("ts"), entry["ord"].alias("order"),
                        entry["cost"].alias("cost"), (entry["kind"] == _RESET).alias("reset"))
 

@@ -49,6 +49,25 @@ def test_order_late_rows_and_idle_state(spark, log):
     assert budgets.live_entries(spark, ck).count() == 0 and budgets.waiting(spark, ck).count() == 0
 
 
+def test_keys_share_buckets(spark, log, tmp_path):
+    """One call decides many keys; each key has its own window, resets and opening entries all the same."""
+    write, stream, run = log
+    keys = [f"k{i}" for i in range(20)]
+    write([(i, k, 10, 60) for i, k in enumerate(keys)])
+    write([(100 + i, k, 30, 60) for i, k in enumerate(keys)] + [(200, None, 40, 0)])
+    write([(300 + i, k, 80 + i, 90) for i, k in enumerate(keys)])
+    write([(400, None, 10_000, 0)])
+    opening = spark.createDataFrame([("k3", T0, 50), ("k4", T0, 10)], "k string, ts timestamp_ntz, cost int")
+    resets = spark.createDataFrame([("k5", T0 + timedelta(seconds=20))], "k string, reset_at timestamp_ntz")
+    resets.write.parquet(str(tmp_path / "resets"))
+    frees = spark.readStream.schema(resets.schema).parquet(str(tmp_path / "resets"))
+    rows, ck = run(budgets.admit_in_order(stream(), "k", "ts", "id", "cost", lateness_s=5, window_s=60, resets=frees, opening=opening, buckets=1))
+    got = {r.id: r.quota.allowed for r in rows.collect() if r.quota}
+    assert {i for i, ok in got.items() if not ok and i < 100} == {3} and {i for i, ok in got.items() if ok and 100 <= i < 200} == {105}
+    assert all(got[300 + i] == (i != 5) for i in range(20)) and len(got) == 60
+    assert budgets.live_entries(spark, ck).count() == 0 and budgets.waiting(spark, ck).count() == 0
+
+
 def test_peek_while_requests_wait(spark, log):
     write, stream, run = log
     write([(1, "a", 10, 40), (2, "b", 20, 30), (3, "a", 80, 25)])

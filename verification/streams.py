@@ -69,8 +69,12 @@ def st2(spark, sf):
 
 
 
+#: Rows of a file of a part, at least.
+FILE_ROWS = 500_000
+
+
 def in_parts(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
-    """The rows as a stream of `n` files, one micro-batch each, cut at equal steps of `by` and written in that order."""
+    """The rows as a stream of `n` parts, one micro-batch each, cut at equal steps of `by` and written in that order."""
     return parts(rows, by, n, name)[0]
 
 
@@ -82,9 +86,12 @@ def parts(rows: DataFrame, by: str, n: int, name: str) -> tuple[DataFrame, str]:
     us = F.unix_micros(F.col(by).cast("timestamp"))
     low, high = rows.agg(F.min(us), F.max(us)).first()
     step = (high - low) // n + 1
+    # As many files in each part, which the rows of the smallest part fill for certain.
+    sizes = [r["count"] for r in rows.groupBy(F.floor((us - low) / step)).count().collect()]  # n rows
+    files = max(1, min(min(sizes) // FILE_ROWS, spark.sparkContext.defaultParallelism)) if len(sizes) == n else 1
     for i in range(n):
-        rows.where((us >= low + i * step) & (us < low + (i + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
+        rows.where((us >= low + i * step) & (us < low + (i + 1) * step)).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder), folder
 
 
 @query("st1_stream_scrub", f"SELECT id, {_expected(*_ALL)} AS redacted_text FROM pii_notes_v")
