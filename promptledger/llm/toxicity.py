@@ -22,6 +22,8 @@ FOLDS = 3
 #: A bucket enters a model from so many texts and standard errors on, up to a number of buckets.
 MIN_TEXTS, MIN_Z, MAX_BUCKETS = 5, 4.5, 4096
 LASSO, STEPS = 2e-4, 150
+#: Places of buckets that are worked on at a time where the model is fitted.
+PLACES = 1 << 20
 REJECT_FROM = 0.5
 
 #: Runs of letters in lower-cased UTF-8; all other scripts' characters count as letters.
@@ -77,6 +79,16 @@ def _row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate([[0], ends[:-1]])]
 
 
+def _slices(flat: np.ndarray, ends: np.ndarray, places: int = PLACES) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of rows with about `places` places, and their part of `flat`: what is derived from it stays small."""
+    at = 0
+    while at < len(ends):
+        start = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, start + places, "right")))
+        yield slice(at, stop), flat[start:int(ends[stop - 1])]
+        at = stop
+
+
 class Limits(NamedTuple):
     """Which buckets enter a model: those of so many texts whose presence differs between the classes by so many
     standard errors, the clearest of them."""
@@ -92,9 +104,12 @@ def fit_linear(flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndar
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1.0)
         return Linear(weights, np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))))
-    sizes = np.diff(np.concatenate([[0], ends]))
     # A bucket counts once per text, so its number of places is its number of texts.
-    texts, good = np.bincount(flat, minlength=DIMS), np.bincount(flat[np.repeat(y > 0, sizes)], minlength=DIMS)
+    texts, good = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+    for rows, part in _slices(flat, ends):
+        sizes = np.diff(ends[rows], prepend=ends[rows.start - 1] if rows.start else 0)
+        texts += np.bincount(part, minlength=DIMS)
+        good += np.bincount(part[np.repeat(y[rows] > 0, sizes)], minlength=DIMS)
     ones, p = y.sum(), (texts + 0.5) / (n + 1.0)
     z = np.abs(good / ones - (texts - good) / (n - ones)) / np.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)))
     used = np.flatnonzero((texts >= limits.min_texts) & (z >= limits.min_z))
@@ -102,16 +117,30 @@ def fit_linear(flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndar
     k = len(used)
     place = np.full(DIMS, -1, np.int32)
     place[used] = np.arange(k, dtype=np.int32)
-    cols = place[flat]
-    kept = cols >= 0
-    rows, cols = np.repeat(np.arange(n, dtype=np.int32), sizes)[kept], cols[kept]
+    rows, cols, at = np.empty(int(texts[used].sum()), np.int32), np.empty(int(texts[used].sum()), np.int32), 0
+    for those, part in _slices(flat, ends):
+        sizes = np.diff(ends[those], prepend=ends[those.start - 1] if those.start else 0)
+        held = place[part]
+        kept = held >= 0
+        end = at + int(kept.sum())
+        rows[at:end], cols[at:end] = np.repeat(np.arange(those.start, those.stop, dtype=np.int32), sizes)[kept], held[kept]
+        at = end
     dense = np.hstack([dense, np.ones((n, 1))])
 
+    # The same sums in the same order, a part of the places at a time.
+    parts = [slice(i, i + PLACES) for i in range(0, len(rows), PLACES)]
+
     def forward(x):
-        return np.bincount(rows, weights=x[cols], minlength=n) + dense @ x[k:]
+        out = np.zeros(n)
+        for i in parts:
+            np.add.at(out, rows[i], x[cols[i]])
+        return out + dense @ x[k:]
 
     def backward(v):
-        return np.concatenate([np.bincount(cols, weights=v[rows], minlength=k), dense.T @ v])
+        out = np.zeros(k)
+        for i in parts:
+            np.add.at(out, cols[i], v[rows[i]])
+        return np.concatenate([out, dense.T @ v])
 
     v = np.ones(k + dense.shape[1])
     for _ in range(15):  # the largest curvature, by power iteration
@@ -195,11 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, max_labe
                 names=["h", "y", "b"])
 
     hashed_rows = rows.join(F.broadcast(taken), "h", "left_semi").select("h", "y", "text").mapInArrow(run, "h bigint, y array<int>, b array<int>")
-    found = hashed_rows.groupBy("h").agg(F.first("y").alias("y"), F.first("b").alias("b")).toArrow().sort_by("h")
-    h, b = found["h"].to_numpy(), found["b"].combine_chunks()
-    offsets, flat = b.offsets.to_numpy(), b.values.to_numpy()
-    buckets = [flat[offsets[i]:offsets[i + 1]] for i in range(len(h))]
-    y = np.array([[np.nan if v is None else v for v in r] for r in found["y"].to_pylist()], float).reshape(len(h), len(categories))
+    found = hashed_rows.groupBy("h").agg(F.first("y").alias("y"), F.first("b").alias("b")).toArrow()
+    # In the order of the hashes; the buckets stay where they were received.
+    h = found["h"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    buckets = [flat[start:end] for c in found["b"].chunks for flat, offsets in [(c.values.to_numpy(), c.offsets.to_numpy().tolist())]
+               for start, end in zip(offsets, offsets[1:])]
+    h, buckets = h[order], [buckets[i] for i in order.tolist()]
+    y = np.array([[np.nan if v is None else v for v in r] for r in found["y"].to_pylist()], float).reshape(len(h), len(categories))[order]
     return fit_chain(buckets, y, np.abs(h) % FOLDS, limits)
 
 
