@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .common import rows_of, text_rows
@@ -41,6 +41,8 @@ NODE, SLOTS = 256, 1 << 24
 WIDE_NODE, PICKS = 4096, 3
 #: Owner of a set that only rows without an id have.
 NO_ID = -(2**63)
+#: Larger than four thirds of any size.
+NO_SIZE = 1 << 40
 
 
 def _group(shingles: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ _REMEMBER = 1 << 16
 
 def _shared(tiles: DataFrame) -> DataFrame:
     """Rows (`tile`, `a`, `b`): a pair (tile null) of each text of a tile with its first, and the members (`b` is
-    what they have left) of tiles with three texts or more.
+    their `place`) of tiles with three texts or more.
 
     A pair has to be tried in the first tile it shares only, and there the coordinates left bound its overlap.
     Tiles are named by their members here, so those with the same members, such as a family's, are one: a task passes
@@ -238,7 +240,7 @@ def _shared(tiles: DataFrame) -> DataFrame:
                 pair_b.append(members[near])
                 many_t.append(np.full(k, _name(*key)))
                 many_m.append(members)
-                many_l.append(left[i:i + k])
+                many_l.append(place[i:i + k])
             pairs = np.unique(np.column_stack([np.concatenate(pair_a), np.concatenate(pair_b)]), axis=0)
             if len(pairs):
                 yield out(np.array([None] * len(pairs)), pairs[:, 0], pairs[:, 1])
@@ -254,8 +256,9 @@ def _name(*of: int) -> int:
 
 
 def _members(shared: DataFrame) -> DataFrame:
-    """(`tile`, `sig`, `left`): each member of the different tiles once, with the most it has left in any of them."""
-    return shared.where("tile is not null").groupBy("tile", F.col("a").alias("sig")).agg(F.max("b").alias("left"))
+    """(`tile`, `sig`, `n`, `left`): each member of the different tiles once, with the most it has left in any of them."""
+    places = shared.where("tile is not null").groupBy("tile", F.col("a").alias("sig")).agg(F.max("b").alias("place"))
+    return places.select("tile", "sig", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("left"))
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -330,14 +333,19 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _across(members: DataFrame, label: DataFrame, points: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs of a tile's texts that are not connected yet and pass the bound.
 
-    A tile's texts are cut into nodes by hash; every two nodes of a tile meet in a cell of their own, which is
+    A text goes on only if the next smaller or larger one of its tile has a size it can link with, three quarters to
+    four thirds of its own. A tile's texts are cut into nodes by hash; every two nodes of a tile meet in a cell of their own, which is
     opened only if the nodes' boxes pass. With `likeliest` a text is only paired, within its own and larger node,
     with its best partner and the best few in the node's largest component: enough to join families that the first
     links left in parts, before all pairs are listed.
     """
     rows = members.join(label.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    split = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / (WIDE_NODE if likeliest else NODE)).cast("int").alias("nodes"))
-    rows = rows.join(split.where("lo < hi").select("tile", "nodes"), "tile").join(points.select("sig", "n", F.col("rough").alias("point")), "sig")
+    ordered, whole = Window.partitionBy("tile").orderBy("n", "sig"), Window.partitionBy("tile")
+    before, behind = F.lag("n", 1, 0).over(ordered), F.lead("n", 1, NO_SIZE).over(ordered)
+    rows = rows.select("*", before.alias("before"), behind.alias("behind")).where((4 * F.col("before") >= 3 * F.col("n")) | (3 * F.col("behind") <= 4 * F.col("n")))
+    rows = rows.select("tile", "sig", "n", "left", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi"),
+                       F.ceil(F.count("*").over(whole) / (WIDE_NODE if likeliest else NODE)).cast("int").alias("nodes")).where("lo < hi")
+    rows = rows.join(points.select("sig", F.col("rough").alias("point")), "sig")
     rows = rows.withColumn("node", F.pmod(F.xxhash64("sig"), "nodes").cast("int"))
     others = F.array("node") if likeliest else F.sequence(F.lit(0), F.col("nodes") - 1)
     cells = rows.withColumn("other", F.explode(others)).select(

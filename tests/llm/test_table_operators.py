@@ -68,6 +68,18 @@ def test_groups_as_by_brute_force(spark, seed, node, monkeypatch):
     assert got == slow_groups(rows)
 
 
+def test_members_go_on_by_size(spark):
+    """Of a tile only texts with another of three quarters to four thirds of their size are sent to its cells."""
+    sizes = {1: 100, 2: 133, 3: 200, 4: 1000, 5: 1334, 6: 30}
+    shared = spark.createDataFrame([(7, sig, (n << 32) + n) for sig, n in sizes.items()], "tile long, a long, b long")
+    members = jaccard._members(shared)
+    assert sorted(map(tuple, members.collect())) == [(7, sig, n, n) for sig, n in sizes.items()]
+    flat = jaccard.point(np.arange(100, dtype=np.uint64))
+    points = spark.createDataFrame([(sig, flat) for sig in sizes], "sig long, rough binary")  # without texts 3 to 6 their rows end here
+    pairs = jaccard._across(members, spark.createDataFrame([], "v long, label long"), points, False).collect()
+    assert {(r.a, r.b) for r in pairs} == {(1, 2)}
+
+
 def test_exact_border_links():
     # 12 of 16 shingles shared is just enough, 11 of 16 is not: the bound must keep the first.
     a, b = set(range(14)), set(range(2, 16))
