@@ -250,7 +250,7 @@ def _store(spark, sf) -> str:
     path, rows = folder(spark, "log"), view(spark, sf, "audit_rows_v")
     write_transactions(rows.where("id % 10 < 9").repartition("timestamp"), path)
     update_search_index(spark, path)
-    write_transactions(rows.where("id % 10 = 9").coalesce(1), path)
+    write_transactions(rows.where("id % 10 = 9").repartition(F.to_date("timestamp")), path)  # one file a day
     return path
 
 
