@@ -1,5 +1,7 @@
 """Streams give what the batch gives."""
 
+import glob
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from promptledger import admissions, audit, stream_requests
 from promptledger.plans.audit import build_rows
 from promptledger.streaming import admission, live
+from verification import streams
 from verification.decisions import CONFIG, key_dimension
 from verification.views import view
 
@@ -131,3 +134,30 @@ def test_recent_buffer(spark, tmp_path):
 def test_rows_have_batch_columns(spark, sf):
     reqs = view(spark, sf, "requests_v").drop("user_id")
     assert build_rows(audit(reqs, key_dimension(spark, sf), CONFIG).decided).columns[:3] == ["id", "transaction_id", "timestamp"]
+
+
+def test_parts_are_read_by_all_slots(spark, tmp_path):
+    """A part has as many files as there are slots, each with rows, and the parts stay apart."""
+    rows = spark.range(200_000).selectExpr("id", "timestamp_ntz '2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts")
+    stream, folder = streams.parts(rows, "ts", 2, "apart")
+    slots = spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 2 * slots and min(sizes) > 0
+    spans = []
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(**ONCE).foreachBatch(
+        lambda df, i: spans.append(tuple(df.agg(F.min("id"), F.max("id"), F.count("*")).first()))).start().awaitTermination()
+    assert spans == [(0, 99_999, 100_000), (100_000, 199_999, 100_000)]
+
+
+def test_stream_audit_keeps_a_state_partition_per_slot(spark, sf):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    there = set(glob.glob(f"{spark.sparkContext.getCheckpointDir() or ''}/audit-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert streams.st6(spark, sf).count() > 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    made, = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/audit-*")) - there
+    kept = [d for d in os.listdir(f"{made}/ck/state/0") if d.isdigit()]
+    assert len(kept) == spark.sparkContext.defaultParallelism

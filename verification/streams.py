@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,22 +30,28 @@ def stream_folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def slot_partitions(spark):
+    """A stream keeps its number of state partitions for good and has no adaptive merging: size it to the slots."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream to its end and read back what it wrote to the shared folder."""
     spark = stream.sparkSession
     folder = folder or stream_folder(spark)
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
-    # A stream keeps its number of state partitions for good and has no adaptive merging: size it to the slots.
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
-    try:
+    with slot_partitions(spark):
         if mode == "append":
             run = sink.format("parquet").start(f"{folder}/out")
         else:
             run = sink.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
         run.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -69,8 +76,8 @@ def st2(spark, sf):
 
 
 
-#: Rows of a file of a part, at least.
-FILE_ROWS = 500_000
+#: Rows of a file of a part, at least. A file is read by one task, so parts have as many as there are slots as soon as they can.
+FILE_ROWS = 10_000
 
 
 def in_parts(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
@@ -119,8 +126,9 @@ def st6(spark, sf):
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/audit-{uuid.uuid4().hex}"
     requests = in_parts(_requests(spark, sf), "ts", 2, "requests")
-    live.start_audit(requests, key_dimension(spark, sf).checkpoint(), CONFIG, folder, f"{folder}/ck", {"availableNow": True},
-                     view(spark, sf, "responses_v")).awaitTermination()
+    with slot_partitions(spark):
+        live.start_audit(requests, key_dimension(spark, sf).checkpoint(), CONFIG, folder, f"{folder}/ck", {"availableNow": True},
+                         view(spark, sf, "responses_v")).awaitTermination()
     return spark.read.parquet(f"{folder}/transactions").select("id", "status", "output_tokens")
 
 
@@ -283,13 +291,9 @@ def _cells(spark, sf) -> DataFrame:
     """The counts that a stream of four micro-batches of transactions keeps."""
     at = stream_folder(spark)
     rows = in_parts(view(spark, sf, "transactions_v"), "timestamp", 4, "txns")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
-    try:
+    with slot_partitions(spark):
         live.live_cells(rows).writeStream.outputMode("update").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).foreachBatch(
             lambda df, i: live.keep_cells(df, f"{at}/cells", i)).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
     return live.read_cells(spark, f"{at}/cells")
 
 
