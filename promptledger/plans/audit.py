@@ -25,7 +25,7 @@ from ..operators.quota import admissions, quota_info
 from ..operators.requests import effective_key, model_name, prompt_status, validate
 from ..operators.responses import attach_responses
 from ..schemas import DEFAULT_LIMIT, DEFAULT_WINDOW_S, MAX_PROMPT_CHARS
-from ..session import checkpointed
+from ..session import checkpointed, computed_once
 
 
 @dataclass(frozen=True)
@@ -215,7 +215,8 @@ def trace(decided: DataFrame) -> DataFrame:
               .otherwise(say(F.coalesce(model_name(model), model), " responded in ", latency, " ms")), done),
         stage("telemetry", "passed", "audit record stored", done),
     ]
-    return decided.withColumn("pipeline", F.array_compact(F.array(*stages)))
+    # Exploding a column makes Spark test it in a filter first, which would build the stages twice more.
+    return computed_once(decided, [c for c in decided.columns if c != "pipeline"], F.array_compact(F.array(*stages)).alias("pipeline"))
 
 
 def response_record(decided: DataFrame) -> DataFrame:
