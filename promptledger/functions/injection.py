@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schemas import RISK_RANK, THREAT_CATEGORIES
 from ..session import computed_once
 from .rules import DEFAULT_RULES, Detector, Rule
-from .text import sql_text, strip_blank
+from .text import holds, not_ascii, sql_text, strip_blank
 
 # Characters dropped before matching, and the look-alike fold.
 ZERO_WIDTH = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)))
@@ -26,14 +25,6 @@ def _nfkc(values: pa.Array) -> pa.Array:
     return pa.array([v if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
 
-def _not_ascii(c: Column) -> Column:
-    return F.octet_length(c) > F.length(c)
-
-
-def _holds(c: Column, *pieces: str) -> Column:
-    return reduce(Column.__or__, [c.contains(p) for p in pieces])
-
-
 def normalise(c: Column, nfkc: bool = True) -> Column:
     """NFKC, no zero-width characters, runs of blanks other than newline as one space, stripped.
 
@@ -42,12 +33,12 @@ def normalise(c: Column, nfkc: bool = True) -> Column:
     """
     if nfkc:
         fold = F.arrow_udf(_nfkc, "string")
-        c = F.coalesce(F.translate(fold(F.when(_not_ascii(c), c)), ZERO_WIDTH, ""), c)
+        c = F.coalesce(F.translate(fold(F.when(not_ascii(c), c)), ZERO_WIDTH, ""), c)
     else:
-        c = F.when(_not_ascii(c), F.translate(c, ZERO_WIDTH, "")).otherwise(c)
+        c = F.when(not_ascii(c), F.translate(c, ZERO_WIDTH, "")).otherwise(c)
     # Most texts have only lone spaces, which stay as they are.
     single = F.regexp_replace(c, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
-    return strip_blank(F.when(_holds(c, "  ", "\t", "\r", "\f", "\x0b"), single).otherwise(c))
+    return strip_blank(F.when(holds(c, "  ", "\t", "\r", "\f", "\x0b"), single).otherwise(c))
 
 
 def fold_leet(c: Column) -> Column:
@@ -57,7 +48,7 @@ def fold_leet(c: Column) -> Column:
 def _stem_text(c: Column) -> Column:
     # Besides A-Z, four letters equal an ASCII letter when case is ignored; the Kelvin sign lower-cases to k.
     odd = F.translate(c, "".join(map(chr, (0x130, 0x131, 0x17F))), "iis")
-    return F.lower(F.when(_not_ascii(c), odd).otherwise(c))
+    return F.lower(F.when(not_ascii(c), odd).otherwise(c))
 
 
 # The rule set becomes one SQL text: hundreds of small expressions that the JVM parses in one go.
@@ -77,7 +68,7 @@ def _fired(rules: tuple[Rule, ...]) -> Column:
     entries = []
     for r in rules:
         code = 4 * (3 - RISK_RANK[r.risk_level]) + THREAT_CATEGORIES.index(r.threat_type)
-        hit = f"{_search(r, '_base', '_stems')} or {_search(r, '_leet', '_leet_stems')}"
+        hit = f"{_search(r, '_base', '_stems')} or _leet <> '' and {_search(r, '_leet', '_leet_stems')}"
         entries.append(f"named_struct('name', {sql_text(r.name)}, 'weight', {float(r.weight)!r}D, 'code', {code}, 'hit', {hit})")
     return F.expr(f"filter(array({', '.join(entries)}), r -> r.hit)")
 
@@ -105,7 +96,7 @@ def searchable(df: DataFrame, col: str, keep: list[str], nfkc: bool = True) -> D
     # The patterns' blanks cover the ASCII separators as well; Java's do not, so they become another wide blank.
     ascii_separators = "\x1c\x1d\x1e\x1f"
     wide = F.translate(base, ascii_separators, "\u2003" * 4)
-    step = step.withColumn("_base", F.when(_holds(base, *ascii_separators), wide).otherwise(base))
+    step = step.withColumn("_base", F.when(holds(base, *ascii_separators), wide).otherwise(base))
     step = step.withColumn("_leet", F.when(base.rlike("[013457@$]"), fold_leet(base)).otherwise(F.lit("")))
     return step.withColumns({"_stems": _stem_text(base), "_leet_stems": _stem_text(leet)})
 

@@ -96,9 +96,11 @@ def valid_phone(name: str) -> Column:
 
 # ---------------------------------------------------------------- detectors
 _BRACKETED_AT = sql_text(rf"(?iu)[\[(]{BLANK}*at{BLANK}*[\])]")
-_EMAIL_HINT = f"contains({{t}}, '@') or rlike({{t}}, {_BRACKETED_AT})"
+_EMAIL_HINT = f"contains({{t}}, '@') or (contains({{t}}, '[') or contains({{t}}, '(')) and rlike({{t}}, {_BRACKETED_AT})"
 # A phone, card or SSN has at least 8 digits with never more than 2 other characters between them.
-_NUMBER_HINT = f"rlike({{t}}, {sql_text(r'\p{Nd}(?:\P{Nd}{0,2}\p{Nd}){7}')})"
+# In ASCII text the digits are 0-9, which the regex engine finds much faster than all decimals.
+_NUMBER_HINT = f"""if(octet_length({{t}}) > length({{t}}), rlike({{t}}, {sql_text(r'\p{Nd}(?:\P{Nd}{0,2}\p{Nd}){7}')}),
+    rlike({{t}}, '[0-9](?:[^0-9]{{0,2}}[0-9]){{7}}'))"""
 
 # The four detector patterns.
 _AT = rf"(?:@|{BLANK}*[\[(]{BLANK}*at{BLANK}*[\])]{BLANK}*)"

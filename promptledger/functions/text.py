@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # The characters with the Unicode White_Space property, and the same set plus the four
@@ -43,6 +45,14 @@ def sql_text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def not_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
+
+
+def holds(c: Column, *pieces: str) -> Column:
+    return reduce(Column.__or__, [c.contains(p) for p in pieces])
+
+
 def strip(c: Column) -> Column:
     """Drop White_Space characters from both ends."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -76,7 +86,10 @@ def transaction_id(*key_cols: Column) -> Column:
 
 def preview(c: Column, n: int = PREVIEW_CHARS) -> Column:
     """Blanks collapsed, at most `n` characters, an ellipsis when cut."""
-    flat = strip_blank(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK + "+", " "))
+    text = F.coalesce(c, F.lit(""))
+    # Most texts are ASCII with only lone spaces, which stay as they are.
+    odd = not_ascii(text) | holds(text, "  ", *[b for b in BLANK_CHARS if b < "\x80" and b != " "])
+    flat = strip_blank(F.when(odd, F.regexp_replace(text, BLANK + "+", " ")).otherwise(text))
     return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.left(flat, F.lit(n - 1)), F.lit("…")))
 
 

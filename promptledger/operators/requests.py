@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, strip
 from ..schemas import MAX_KEY_CHARS, MAX_PROMPT_CHARS, MODEL_ALIASES, MODEL_NAMES
+from ..session import computed_once
 from ..sources.readers import CORRUPT, MISTYPED
 
 
@@ -71,7 +72,10 @@ def check(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     if CORRUPT in requests.columns:
         malformed = F.array(F.struct(F.lit("body").alias("field"), F.lit("malformed record").alias("message")))
         errors = F.when(F.col(CORRUPT).isNotNull(), malformed).otherwise(errors)
-    return clean.withColumn("errors", errors)
+    # What is cleaned and found here is filtered on next; it is not to be worked out again in that filter.
+    made = ["prompt", "api_key", "target_model"]
+    done = computed_once(clean, [c for c in clean.columns if c not in (*made, "errors")], *[F.col(c) for c in made], errors.alias("errors"))
+    return done.select(*[F.col(f"`{c}`") for c in clean.columns if c != "errors"], "errors")
 
 
 def validate(requests: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> tuple[DataFrame, DataFrame]:

@@ -310,3 +310,38 @@ def test_providers_in_order(spark):
     assert attempts(sent.limit(0), [("a", broken)]).collect() == []
     with pytest.raises(ValueError):
         attempts(sent, [])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exploded_trace_is_built_once(spark, keys):
+    decided = audit(requests(spark, {}, dict(prompt=ATTACK)), keys, AuditConfig(SECRET)).decided
+    steps = au.trace(decided).select("request_id", F.posexplode("pipeline").alias("step", "s")).select("request_id", "step", "s.*")
+    assert _plan(steps).count("audit record stored") == 1
+    assert {r.request_id: r.n for r in steps.groupBy("request_id").agg(F.count("*").alias("n")).collect()} == {0: 9, 1: 9}
+
+
+def test_errors_are_found_once(spark):
+    reqs = requests(spark, {}, dict(prompt=" \t "), dict(prompt=None), dict(prompt="x" * 9), dict(api_key=" k "), dict(target_model="other"))
+    checked = rq.check(reqs, 8)
+    assert checked.columns == reqs.columns + ["errors"]
+    valid, quarantine = rq.validate(reqs, 8)
+    for df in (valid, quarantine):
+        assert _plan(df).count("must not be blank") == 1
+    assert {r.request_id: (r.prompt, r.api_key) for r in valid.collect()} == {0: ("hello", "enterprise-demo-key"), 4: ("hello", "k")}
+    assert {r.request_id: [e.message for e in r.errors] for r in quarantine.collect()} == {
+        1: ["must not be blank"], 2: ["field required"], 3: ["exceeds 8 characters"], 5: ["unsupported"]}
+
+
+def test_requests_are_dealt_out_beyond_the_slots(spark, sf):
+    """A file can have as many splits as there are slots and rows in few of them; and one slow task must not hold up all."""
+    assert view(spark, sf, "requests_v").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_preview_of_plain_and_odd_blanks(spark):
+    odd = ["a b", " a  b ", "a\tb", "a\x1cb", "a\x0b\x0cb", "a b", "a  b", "é b", "\x85a b", "", None, "\x1f", "a\r\nb" + " c" * 200]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", tx.preview(F.col("t")).alias("p")).collect()
+    flat = [" ".join((t or "").split()) for t in odd]
+    assert {r.i: r.p for r in rows} == {i: t if len(t) <= 240 else t[:239] + "…" for i, t in enumerate(flat)}

@@ -226,3 +226,15 @@ def test_filter_on_result_runs_detectors_once(spark):
     twice = pii.contains_pii(pii.scrub(df, "t").filter("pii.redaction_count > 0"), "t").filter("contains_pii")
     plan = twice._jdf.queryExecution().optimizedPlan().toString()
     assert twice.count() == 1 and plan.count("regexp_extract_all") <= 8
+
+
+def test_hints_hold_for_ascii_and_other_digits(spark):
+    texts = ["Ring 555 010 4477 99", "Ring ٥٥٥ ٠١٠ ٤٤٧٧", "café, card 4242 4242 4242 4242", "SSN: 219099999",
+             "bo [at] site [dot] org", "bo(AT)site.org", "bo {at} site.org", "1 2 3 4 5 6 7", "", "12345678 [x]"]
+    hints = {h for p in pii.DEFAULT_PATTERNS if (h := p.hint)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = rf"(?iu)[\[(]{pii.BLANK}*at{pii.BLANK}*[\])]"
+    for h in hints:
+        exact = F.expr("contains(t, '@')") | F.col("t").rlike(slow) if "contains" in h else F.col("t").rlike(r"\p{Nd}(?:\P{Nd}{0,2}\p{Nd}){7}")
+        assert all(a == b for a, b in df.select(F.expr(h.replace("{t}", "t")), exact).collect())
+    assert [len(r.pii.detected_types) for r in pii.scrub(df, "t").collect()] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 0]

@@ -15,6 +15,8 @@ AS_OF = "2024-01-30 12:34:56"
 WINDOW_S = 86_400
 SECRET = "check-secret-0123456789"
 
+TASKS_PER_SLOT = 4
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -176,5 +178,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ctes = [f"{t} AS (SELECT * FROM {{{t}}})" for t in used] + [f"{n} AS ({VIEWS[n]})" for n in names]
     frames = {t: table(spark, sf_dir, t) for t in used}
     if name == "requests_v":
-        frames["events"] = spread(frames["events"])
+        # Scoring a prompt costs far more than moving an event, and files may have fewer row groups than splits.
+        frames["events"] = spread(frames["events"], TASKS_PER_SLOT * spark.sparkContext.defaultParallelism)
     return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}", **frames)
