@@ -47,6 +47,7 @@ class AuditResult:
     """`decided` has one wide row per valid request; the two tables are projections of it.
 
     `quarantine` holds rejected requests with `errors`; `keys` is the key table with the last use moved on.
+    `materialised` says that `decided` is a table already, cut down to what is stored; see `writers.materialised`.
     """
 
     decided: DataFrame
@@ -54,6 +55,7 @@ class AuditResult:
     threats: DataFrame
     quarantine: DataFrame
     keys: DataFrame
+    materialised: bool = False
 
 
 # ---------------------------------------------------------------- steps
@@ -169,6 +171,17 @@ def build_rows(decided: DataFrame) -> DataFrame:
         F.when(passed, F.col("injection.risk_level")).alias("risk_level"), "masked_ip", "prompt_preview")
 
 
+def stored(decided: DataFrame) -> DataFrame:
+    """The columns that audit rows and threat events are made of: no answers, budgets or matches."""
+    def part(name: str, *fields: str) -> Column:
+        return F.struct(*[F.col(f"{name}.{f}").alias(f) for f in fields]).alias(name)
+
+    return decided.select(
+        "request_id", "transaction_id", "ts", "key_hash", "masked_key", "masked_ip", "target_model", "input_tokens", "output_tokens",
+        "llm_latency_ms", "status", "http_status", "enable_pii", part("pii", "redaction_count", "detected_types"),
+        part("injection", "detected", "threat_type", "risk_level"), "prompt_preview", "threat")
+
+
 def trace(decided: DataFrame) -> DataFrame:
     """Per request the stages it went through: array `pipeline` of (stage, status, detail)."""
     status, pii, inj, quota = F.col("status"), F.col("pii"), F.col("injection"), F.col("quota")
@@ -257,8 +270,10 @@ def _answered(rows: DataFrame, responses: DataFrame | None) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in ANSWER_FIELDS.items()})
 
 
-def _decided(known: DataFrame, config: AuditConfig, responses: DataFrame | None) -> DataFrame:
+def _decided(known: DataFrame, config: AuditConfig, responses: DataFrame | None, settle: bool = False) -> DataFrame:
     quotas = charge(known, config).select("request_id", "quota")
+    if settle:
+        quotas = checkpointed(quotas)
     return threat(decide(_answered(known.join(quotas, "request_id", "left"), responses)))
 
 
@@ -275,16 +290,19 @@ def decisions(requests: DataFrame, keys: DataFrame, config: AuditConfig, respons
 
 
 def audit(requests: DataFrame, keys: DataFrame, config: AuditConfig, responses: DataFrame | None = None,
-          keep_text: bool = False) -> AuditResult:
+          keep_text: bool = False, settle: bool = False) -> AuditResult:
     """The whole pipeline. With `keep_text` the text that goes upstream stays in `decided`.
 
+    With `settle` the budgets are decided in a job of their own when this is called: what the fold shuffles is gone from
+    the disks before the wide rows are joined with its decisions, and these are made once for all tables.
+
     `responses` is the log of upstream answers; a request whose entry has an error ends as `error`, one
     without an entry counts as not answered yet and is allowed with zero output. Runs one job when called, over
     the requests.
     """
     prepared, quarantine = _checked(requests, config)
     known = once(score(prepared, config, keep_text), keys)
-    decided = _decided(known, config, responses)
+    decided = _decided(known, config, responses, settle)
     valid = known.filter(F.col("auth_reason").isNull())
     return AuditResult(decided, build_rows(decided), derive_threats(decided), quarantine, touch_keys(keys, valid)
                        if "last_used_at" in keys.columns else keys)

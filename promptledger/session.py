@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,10 +44,26 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="promptledger-"))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames made in this block give their shuffle files back when their run ends, not when the driver next collects garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder, so lost executors re-read instead of recompute."""
     use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def computed_once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:

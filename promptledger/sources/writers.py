@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import to_iso
-from ..session import checkpointed
+from ..session import checkpointed, shuffles_removed
 
 RULES_CSV_CHARS = 255
 
@@ -56,19 +58,30 @@ def rejected(quarantine: DataFrame) -> DataFrame:
     return quarantine.select("request_id", "ts", "errors")
 
 
+def materialised(result):
+    """The result with its decided rows in the checkpoint folder, those columns that are stored.
+
+    `write_audit` reads them as they are: for callers who write a result, or parts of it, more than once.
+    """
+    from ..plans.audit import stored
+
+    return result if result.materialised else replace(result, decided=checkpointed(stored(result.decided)), materialised=True)
+
+
 def write_audit(result, path: str, mode: str = "append") -> None:
     """Both tables of an audit and the rejected requests under one folder; `mode="overwrite"` empties them first.
 
     Appending is idempotent: ids are hashes of the requests, and those that are stored already are left out. The
-    narrow decided rows are materialised for both tables; `rejected` is replaced by each run.
+    narrow decided rows are materialised for both tables, unless they are already; `rejected` is replaced by each run.
     """
     from ..plans.audit import build_rows, derive_threats
 
-    decided = checkpointed(result.decided)
+    decided = materialised(result).decided
     txns, threats = f"{path}/transactions", f"{path}/threat_events"
-    write_transactions(_not_there_yet(build_rows(decided), txns, mode), txns, mode)
-    write_threats(_not_there_yet(derive_threats(decided), threats, mode), threats, mode)
-    rejected(result.quarantine).write.mode("overwrite").parquet(f"{path}/rejected")
+    with shuffles_removed(decided.sparkSession):
+        write_transactions(_not_there_yet(build_rows(decided), txns, mode), txns, mode)
+        write_threats(_not_there_yet(derive_threats(decided), threats, mode), threats, mode)
+        rejected(result.quarantine).write.mode("overwrite").parquet(f"{path}/rejected")
 
 
 def rules_csv(rules: Column) -> Column:

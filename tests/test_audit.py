@@ -1,5 +1,6 @@
 """Validation, keys, decisions, audit rows, privacy and sinks."""
 
+import glob
 import hashlib
 import hmac
 import re
@@ -12,6 +13,7 @@ from promptledger import AuditConfig, Detector, audit, audit_projection, event_j
 from promptledger.functions import masking, text as tx
 from promptledger.operators import keys as ky, requests as rq, responses as rs
 from promptledger.plans import audit as au
+from promptledger.session import checkpointed
 from promptledger.sources import readers, writers
 from promptledger.sources.writers import rules_csv
 from verification import load_all
@@ -215,6 +217,34 @@ def test_sinks(spark, keys, tmp_path):
     assert len(long) == 255
 
 
+def _checkpoints(spark) -> set[str]:
+    return set(glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/rdd-*"))
+
+
+def test_a_materialised_result_is_written_without_another_copy(spark, keys, tmp_path):
+    reqs = requests(spark, dict(prompt=ATTACK), dict(prompt=PII_PROMPT), dict(api_key=None), dict(prompt="hi"), dict(prompt="  "))
+    done = audit(reqs, keys, AuditConfig(SECRET), settle=True)
+    write_audit(done, f"{tmp_path}/plain")
+    kept = writers.materialised(done)
+    assert "quota" not in kept.decided.columns and writers.materialised(kept) is kept
+    there = _checkpoints(spark)
+    for mode in ("append", "append", "overwrite"):
+        write_audit(kept, f"{tmp_path}/kept", mode=mode)
+        assert _checkpoints(spark) <= there
+    for name in ("transactions", "threat_events", "rejected"):
+        plain, again = (spark.read.parquet(f"{tmp_path}/{at}/{name}") for at in ("plain", "kept"))
+        assert plain.schema == again.schema and sorted(map(str, plain.collect())) == sorted(map(str, again.collect())) != []
+
+
+def test_shuffles_go_when_a_checkpoint_is_there(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", disk.getAllFiles().toString()))
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted = checkpointed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert shuffles() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert {r.n for r in counted.collect()} == {142, 143}
+
+
 def test_no_pii_or_key_is_stored(spark, sf):
     from promptledger.functions.pii import leak_check
 

@@ -14,7 +14,7 @@ from promptledger.operators import requests as rq
 from promptledger.operators.responses import attach_responses
 from promptledger.plans import audit as au
 from promptledger.plans.provider import Answer, attempts, response_log
-from promptledger.session import checkpointed, use_checkpoint_dir
+from promptledger.session import use_checkpoint_dir
 from promptledger.sources import readers, writers
 
 from .decisions import CONFIG, _requests, key_dimension, sql_decided
@@ -55,9 +55,9 @@ def snk2(spark, sf):
 def snk5(spark, sf):
     """A store filled once, then emptied by a run over other requests; appending that run again changes nothing."""
     path, keys = folder(spark, "snk5"), key_dimension(spark, sf)
-    done = au.audit(_requests(spark, sf), keys, CONFIG, view(spark, sf, "responses_v"))
-    done = replace(done, decided=checkpointed(done.decided))  # three runs write it
-    odd = au.AuditResult(done.decided.where("request_id % 2 = 1"), done.transactions, done.threats, done.quarantine, done.keys)
+    done = au.audit(_requests(spark, sf), keys, CONFIG, view(spark, sf, "responses_v"), settle=True)
+    done = writers.materialised(done)  # three runs write it
+    odd = replace(done, decided=done.decided.where("request_id % 2 = 1"))
     writers.write_audit(done, path)
     writers.write_audit(odd, path, mode="overwrite")
     writers.write_audit(odd, path)
