@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptledger import Detector, Rule, load_rules
 from promptledger.functions import injection as inj
 from promptledger.functions.rules import DEFAULT_RULES
+from promptledger.operators import rule_table
 from promptledger.operators.rule_table import _terms, match_rule_table, postings
 from promptledger.schemas import RISK_RANK, THREAT_CATEGORIES
 
@@ -182,3 +183,33 @@ def test_rule_table_finds_what_literal_rules_find(spark):
     many = spark.range(300).selectExpr("'r' || id as name", "'x' as pattern", "cast(null as array<string>) as words")
     with pytest.raises(ValueError):
         match_rule_table(prompts, "id", "text", many)
+
+
+@pytest.mark.parametrize("cell,sent", [(2_000, 1_000_000), (2, 0), (1, 3)])
+def test_matches_of_one_pattern_meet_in_cells(spark, monkeypatch, cell, sent):
+    """Many rules of one pattern, prompts that come twice, names that several patterns share or that are null."""
+    monkeypatch.setattr(rule_table, "CELL", cell)
+    monkeypatch.setattr(rule_table, "MAX_SENT", sent)
+    texts = ["red fox runs", "a RED  fox", "red hen", "r3d f0x", "", None, "blue hen sits", "fox red"]
+    prompts = spark.createDataFrame([(i % 9 if i != 30 else None, texts[i % 8]) for i in range(40)], "id int, text string")
+    patterns = {r"\bred\s+fox\b": ["red", "fox"], r"\bhen\b": ["hen"], r"fox|hen": None}
+    made = [(f"fox_{i}", r"\bred\s+fox\b") for i in range(7)] + [("fox_1", r"\bred\s+fox\b"), ("both", r"\bred\s+fox\b"), ("both", r"\bhen\b"),
+                                                                 ("hen", r"\bhen\b"), (None, r"\bhen\b"), ("plain", r"fox|hen")]
+    rules = spark.createDataFrame([(n, p, patterns[p]) for n, p in made], "name string, pattern string, words array<string>")
+    found = match_rule_table(prompts, "id", "text", rules)
+    rows = [(r.id, r.rule) for r in found.collect()]
+    fold = lambda t: (t or "").translate(str.maketrans("013457@$", "oieastas"))
+    want = {(p.id, n) for p in prompts.where("id is not null").collect() for n, pat in made if n
+            if any(re.search(pat, t, re.I) for t in (p.text or "", fold(p.text)))}
+    assert len(rows) == len(set(rows)) and {r for r in rows if r[0] is not None} == want
+    assert {r for r in rows if r[0] is None} <= {(None, "plain")}
+
+
+def test_matches_are_not_moved(spark):
+    """Behind the join that makes a row of each match nothing is sorted, grouped or dealt out."""
+    prompts = spark.createDataFrame([(1, "red fox")], "id int, text string")
+    rules = spark.createDataFrame([("a", r"\bred\s+fox\b", ["red", "fox"])], "name string, pattern string, words array<string>")
+    at = match_rule_table(prompts, "id", "text", rules)._jdf.queryExecution().optimizedPlan()
+    while at.nodeName() in ("Project", "Union"):
+        at = at.children().head()
+    assert at.nodeName() == "Join"
