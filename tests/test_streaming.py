@@ -151,7 +151,7 @@ def test_parts_are_read_by_all_slots(spark, tmp_path):
 
 def test_stream_audit_keeps_a_state_partition_per_slot(spark, sf):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    there = set(glob.glob(f"{spark.sparkContext.getCheckpointDir() or ''}/audit-*"))
+    there = set(glob.glob(f"{(spark.sparkContext.getCheckpointDir() or '').removeprefix('file:')}/audit-*"))
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
         assert streams.st6(spark, sf).count() > 0
