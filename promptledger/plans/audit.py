@@ -82,10 +82,15 @@ def score(prepared: DataFrame, config: AuditConfig, keep_text: bool = False) ->
 
 
 def once(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per request id with its key looked up, materialised: the only pass over what `rows` reads."""
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct("ts", "transaction_id", "masked_key"))
-    unique = rows.groupBy(F.col("request_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
-    return checkpointed(resolve_keys(unique, keys))
+    """One row per request id with its key looked up, materialised: the only pass over what `rows` reads.
+
+    Transaction ids do not compress and follow from id and time, which rows of one id are told apart by first: they are
+    neither moved nor kept.
+    """
+    moved = rows.drop("transaction_id")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in moved.columns]), F.struct("ts", "masked_key"))
+    unique = moved.groupBy(F.col("request_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
+    return checkpointed(resolve_keys(unique, keys)).withColumn("transaction_id", transaction_id(F.col("request_id"), F.col("ts")))
 
 
 def charge(known: DataFrame, config: AuditConfig) -> DataFrame:

@@ -276,6 +276,18 @@ def test_a_request_that_comes_twice_is_one_request(spark, sf):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
+def test_transaction_ids_are_not_moved(spark, sf, monkeypatch):
+    """They do not compress and follow from id and time; the earliest row of a request gives the time."""
+    seen = []
+    monkeypatch.setattr(au, "checkpointed", lambda df: seen.append(df.columns) or checkpointed(df))
+    reqs = view(spark, sf, "requests_v").drop("user_id").where("request_id % 9 = 0")
+    later = reqs.withColumn("ts", F.expr("ts + interval 1 hour"))
+    known = au.once(au.prepare(rq.validate(later.union(reqs))[0], CONFIG).drop("prompt"), key_dimension(spark, sf))
+    assert len(seen) == 1 and "transaction_id" not in seen[0]
+    want = rq.validate(reqs)[0].select("request_id", "ts", tx.transaction_id(F.col("request_id"), F.col("ts")))
+    assert sorted(map(tuple, known.select("request_id", "ts", "transaction_id").collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_requests_are_read_once(spark, sf, tmp_path):
     view(spark, sf, "requests_v").drop("user_id").write.parquet(f"{tmp_path}/requests")
     done = audit(spark.read.parquet(f"{tmp_path}/requests"), key_dimension(spark, sf), CONFIG)
